@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import langid, license_scan, media, mil, quality_rules, toxicity
+from corvane.llm import langid, license_scan, media, mil, packing, quality_rules, toxicity
 
 LABELLED, LANG_ROWS = 6000, 4000
 
@@ -36,6 +36,18 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("row.doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces, packed."""
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def pack_documents(docs: DataFrame) -> DataFrame:
+    import public_tokenizers
+
+    got = packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, carry=["doc_id"])
+    return got.select("row.doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document; learned from labels outside the held-out third."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -63,7 +75,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", (split_mod(4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_license_scan, op4_media_columns, op8_quality_classifier, op9_toxicity, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_license_scan, op4_media_columns, op5_best_fit_packing, op8_quality_classifier, op9_toxicity, op10_language_id)}
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 LICENSE_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

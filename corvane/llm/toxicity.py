@@ -59,7 +59,7 @@ def folder(most: int = 200_000):
         except KeyError:
             if len(known) > most:
                 known.clear()
-            for w in set(words) - known.keys():
+            for w in {x for x in words if x not in known}:
                 known[w] = fold(w)
             return [known[w] for w in words]
 
@@ -172,6 +172,20 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
+def specific(found: dict[str, tuple[int, float]]) -> dict[str, float]:
+    """Weights of terms; a beginning goes where one longer term or word explains nearly all of its documents."""
+    kept: dict[str, float] = {}
+    most: dict[str, int] = {}  # of each beginning: documents of its largest kept term
+    for t in sorted(found, key=lambda t: (t[0] != "=", -len(t), t)):
+        a, w = found[t]
+        if t[0] == "^" and most.get(t[1:], 0) >= 0.85 * a:
+            continue
+        kept[t] = w
+        for n in range(4, len(t) - (t[0] == "^")):
+            most[t[1 : n + 1]] = max(most.get(t[1 : n + 1], 0), a)
+    return kept
+
+
 def learn(train: DataFrame, terms: int = 4000, support: int = 6, odds: float = 3.0) -> Lexicon:
     """A Lexicon from (text, y) rows. Counts are made on the executors; the driver gets the chosen terms only."""
     train = stored(train, "toxic-train")
@@ -183,7 +197,7 @@ def learn(train: DataFrame, terms: int = 4000, support: int = 6, odds: float = 3
     counts = term_counts(train)
     w = F.log((F.col("a") + 0.5) / (tox + 1)) - F.log((F.col("b") + 0.5) / (clean + 1))
     got = counts.where(F.col("a") >= support).withColumn("w", w).where(F.col("w") >= odds).orderBy(F.desc(F.col("a") * F.col("w")), "t").limit(terms).collect()
-    weights = {r["t"]: float(r["w"]) for r in got}
+    weights = specific({r["t"]: (r["a"], float(r["w"])) for r in got})
     first = Lexicon(weights)
 
     def phrases():
