@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import langid, license_scan, media, mil, packing, quality_rules, toxicity
+from corvane.llm import langid, license_scan, media, mil, minhash, packing, quality_rules, toxicity
 
 LABELLED, LANG_ROWS = 6000, 4000
 
@@ -48,6 +48,11 @@ def pack_documents(docs: DataFrame) -> DataFrame:
     return got.select("row.doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document; learned from labels outside the held-out third."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -75,7 +80,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", (split_mod(4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_license_scan, op4_media_columns, op5_best_fit_packing, op8_quality_classifier, op9_toxicity, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_license_scan, op4_media_columns, op5_best_fit_packing, op6_minhash_near_dedup, op8_quality_classifier, op9_toxicity, op10_language_id)}
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 LICENSE_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -113,4 +118,17 @@ ORACLES = {
     select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, a or b as base_failed, not (a or b) and bad.source is null as kept
     from f left join bad using (source)""",
     "op3_license_scan": license_sql(),
+    "op6_minhash_near_dedup": r"""
+    with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+    s as (select doc_id, list_distinct(case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')]
+        else list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) end) as ss from w),
+    g as (select ss, min(doc_id) as least from (select doc_id, list_sort(ss) as ss from s) where len(ss) > 0 group by ss),
+    x as (select least as doc_id, len(ss) as n, unnest(ss) as h from g),
+    pairs as (select a.doc_id as a, b.doc_id as b from x a join x b on a.h = b.h and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+        group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+    e as (select a, b from pairs union select b, a from pairs),
+    reach(node, root) as (select least, least from g union select e.b, reach.root from reach join e on e.a = reach.node),
+    c as (select node, min(root) as component_id from reach group by node)
+    select s.doc_id, len(s.ss) as n_shingles, coalesce(component_id, s.doc_id) as component_id, s.doc_id = coalesce(component_id, s.doc_id) as kept
+    from s left join g on list_sort(s.ss) = g.ss left join c on c.node = g.least""",
 }
