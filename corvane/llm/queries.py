@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import langid, license_scan, media, mil, minhash, packing, quality_rules, toxicity
+from corvane.llm import langid, license_scan, media, mil, minhash, packing, quality_rules, substring, toxicity
 
 LABELLED, LANG_ROWS = 6000, 4000
 
@@ -53,6 +53,12 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without the words of repeated windows."""
+    got = substring.substring_dedup(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return got.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document; learned from labels outside the held-out third."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -80,7 +86,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", (split_mod(4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_license_scan, op4_media_columns, op5_best_fit_packing, op6_minhash_near_dedup, op8_quality_classifier, op9_toxicity, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_license_scan, op4_media_columns, op5_best_fit_packing, op6_minhash_near_dedup, op7_substring_dedup, op8_quality_classifier, op9_toxicity, op10_language_id)}
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 LICENSE_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -131,4 +137,12 @@ ORACLES = {
     c as (select node, min(root) as component_id from reach group by node)
     select s.doc_id, len(s.ss) as n_shingles, coalesce(component_id, s.doc_id) as component_id, s.doc_id = coalesce(component_id, s.doc_id) as kept
     from s left join g on list_sort(s.ss) = g.ss left join c on c.node = g.least""",
+    "op7_substring_dedup": rf"""
+    with w as (select doc_id, {WORDS} as ws from documents),
+    x as (select doc_id, s, array_to_string(ws[s:s + 34], ' ') as win from w, unnest(range(1, len(ws) - 33)) t(s)),
+    twice as (select doc_id, s from x join (select win from x group by win having count(*) > 1) using (win)),
+    gone as (select doc_id, list(distinct p) as ps from (select doc_id, unnest(range(s, s + 35)) as p from twice) group by doc_id)
+    select doc_id, len(ws) as n_words, coalesce(len(ps), 0) as n_removed,
+      sha256(array_to_string(case when ps is null then ws else list_filter(ws, lambda v, i: not list_contains(ps, i)) end, ' ')) as kept_sha256
+    from w left join gone using (doc_id)""",
 }
