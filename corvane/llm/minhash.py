@@ -32,6 +32,7 @@ from corvane.scratch import stored
 
 T, LIMIT = 96, 85
 BLOCK_ROWS, BLOCK_BYTES = 512, 24 << 20
+BROADCAST_ROWS = 2_000_000  # ids of 8 bytes; more are joined by shuffle
 
 
 def _key(b: bytes) -> bytes:
@@ -123,12 +124,6 @@ def _linker(limit: int):
     return run
 
 
-def _labelled(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """members with `label`: the component of the node by the links so far, else the node itself."""
-    known = components(edges)
-    return members.join(known, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-
-
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", limit: int = LIMIT) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per document."""
     rows = map_text(docs.select(name(key).alias("_id"), name(text).alias("_text")), lambda: _sketches, "class binary, n long, sketch array<long>", "_text", ["_id"])
@@ -141,8 +136,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", li
     near = banded.join(buckets, ["band", "value"]).where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
     clusters = components(near).withColumnRenamed("root", "cluster")
 
-    picked = clusters.join(classes, "node").select("node", "cluster", "class", "least", "sketch", "n")
+    picked = stored(clusters.join(classes, "node").select("node", "cluster", "class", "least", "sketch"), "picked")
     texts = docs.select(name(key).alias("_id"), name(text).cast("string").alias("_text"))
+    if picked.count() <= BROADCAST_ROWS:  # then only the texts of candidates are shuffled
+        texts = texts.join(F.broadcast(picked.select("least")), F.col("_id").eqNullSafe(F.col("least")), "left_semi")
     found = texts.join(picked, F.col("_id").eqNullSafe(F.col("least")))
     found = map_text(found, lambda: _sets, "own binary, shingles binary", "_text", ["node", "cluster", "class", "sketch"])
     members = stored(found.where("own = row.class").select("row.node", "row.cluster", "row.sketch", "shingles").dropDuplicates(["node"]), "members")
@@ -155,15 +152,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", li
     def dealt(salt: int) -> Column:
         return F.pmod(F.xxhash64("node", F.lit(salt)), F.col("blocks")).cast("int")
 
-    def resolve(part: DataFrame, salt: int, label: str) -> DataFrame:
-        block = part.withColumn("block", dealt(salt)).select("cluster", "block", F.col(label).alias("label"), "node", F.lit(None).cast("int").alias("side"), "sketch", "shingles")
+    def resolve(part: DataFrame, salt: int) -> DataFrame:
+        block = part.withColumn("block", dealt(salt)).select("cluster", "block", F.col("node").alias("label"), "node", F.lit(None).cast("int").alias("side"), "sketch", "shingles")
         return block.groupBy("cluster", "block").applyInArrow(_linker(limit), "a long, b long")
 
-    verified = stored(resolve(members, 0, "node"), "links")
+    verified = stored(resolve(members, 0), "links")
     if wide.limit(1).count():
-        again = stored(resolve(_labelled(wide, verified), 1, "label"), "links")
-        verified = verified.union(again)
-        wide = stored(_labelled(wide, verified), "wide")
+        verified = verified.union(stored(resolve(wide, 1), "links"))
+        inside = verified.join(wide.select(F.col("node").alias("a")), "a", "left_semi")
+        wide = stored(wide.join(components(inside), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "wide")
         part = wide.groupBy("cluster", "label").agg(F.count("*").alias("k"))
         core = part.groupBy("cluster").agg(F.max_by("label", F.struct("k", "label")).alias("core"))
         outer = wide.join(core, "cluster").where("label <> core").drop("core")
