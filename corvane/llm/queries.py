@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import langid, license_scan, media, mil, minhash, packing, quality_rules, substring, toxicity
+from corvane.llm import bpe, langid, license_scan, media, mil, minhash, packing, quality_rules, substring, toxicity
 
 LABELLED, LANG_ROWS = 6000, 4000
 
@@ -24,6 +24,15 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text's ids and of the bytes decoded from them."""
+    import public_tokenizers
+
+    got = bpe.byte_bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, carry=["doc_id"])
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return got.select("row.doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and templates of every document."""
     got = license_scan.license_scan(table(spark, sf_dir, "documents"), carry=["doc_id"])
@@ -86,7 +95,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", (split_mod(4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_license_scan, op4_media_columns, op5_best_fit_packing, op6_minhash_near_dedup, op7_substring_dedup, op8_quality_classifier, op9_toxicity, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_license_scan, op4_media_columns, op5_best_fit_packing, op6_minhash_near_dedup, op7_substring_dedup, op8_quality_classifier, op9_toxicity, op10_language_id)}
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 LICENSE_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
