@@ -70,7 +70,7 @@ def repeated(docs: DataFrame, text: str, key: str, length: int, gram: int) -> tu
     seeds = map_text(texts, _seeds(length, gram), "spans array<struct<a:long,c:long>>", "_text", ["d"])
     seeds = seeds.select("row.d", F.posexplode("spans").alias("j", "s")).select("d", "j", "s.a", "s.c")
     often = seeds.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").select("a")
-    seeds = stored(seeds.join(often, "a"), "seeds")
+    seeds = stored(seeds.join(stored(often, "often"), "a"), "seeds")  # a written side leaves a hot anchor to be split
 
     contexts = seeds.groupBy("a", "c").agg(F.count("*").alias("k"), F.min(F.struct("d", "j")).alias("one"))
     contexts = stored(contexts, "contexts")
