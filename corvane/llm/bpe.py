@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.rows import name
+from corvane.llm.rows import name, slices
 from corvane.scratch import stored
 
 NONE = 2147483647
@@ -109,7 +109,7 @@ def words(docs: DataFrame, pattern: str, text: str = "text", most: int = 300_000
 
         from collections import Counter
 
-        for batch in batches:
+        for batch in (x for whole in batches for x in slices(whole, whole.column(0))):
             for t in batch.column(0).to_pylist():
                 if t:
                     for w, k in Counter(split(t)).items():
@@ -151,7 +151,7 @@ def byte_bpe(docs: DataFrame, path: str, pattern: str, text: str = "text", carry
         import regex
 
         split, known = regex.compile(pattern).findall, frequent.value
-        for batch in batches:
+        for batch in (x for whole in batches for x in slices(whole, whole.column(0))):
             d, piece = [], []
             for t, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 new = {w for w in split(t or "") if w not in known}
@@ -164,7 +164,7 @@ def byte_bpe(docs: DataFrame, path: str, pattern: str, text: str = "text", carry
         import regex
 
         split, known = regex.compile(pattern).findall, frequent.value
-        for batch in batches:
+        for batch in (x for whole in batches for x in slices(whole, whole.column(1))):
             ids, ends, back = [], [0], []
             for t, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 mine = {x["piece"].decode(): (array("i", x["ids"]).tobytes(), x["back"]) for x in own or ()}

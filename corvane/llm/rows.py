@@ -9,6 +9,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+SLICE_BYTES = 4 << 20
+
+
+def slices(batch: pa.RecordBatch, texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts hold about `limit` bytes (one row at least): what a worker handles at once."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    n = batch.num_rows
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) if n and not pa.types.is_null(texts.type) else np.zeros(n)
+    at = 0
+    while at < n:
+        base = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 Make = Callable[[], Callable[[list], Sequence]]
 
 
@@ -34,13 +52,14 @@ def map_text(df: DataFrame, make: Make, fields: str, text: str = "text", carry:
         from pyspark.sql.pandas.types import to_arrow_type
 
         fn, arrow = make(), [to_arrow_type(t) for t in types]
-        for batch in batches:
-            row = batch.column(0)
-            col = row.field(at) if inside else batch.column(1)
-            if pa.types.is_null(col.type):
-                col = col.cast(pa.string())
-            got = fn(col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist())
-            cols = [g if isinstance(g, pa.Array) else pa.array(g, type=t) for g, t in zip(got, arrow, strict=True)]
-            yield pa.RecordBatch.from_arrays([row, *cols], names=["row", *[f.name for f in schema.fields[1:]]])
+        for whole in batches:
+            for batch in slices(whole, whole.column(0).field(at) if inside else whole.column(1)):
+                row = batch.column(0)
+                col = row.field(at) if inside else batch.column(1)
+                if pa.types.is_null(col.type):
+                    col = col.cast(pa.string())
+                got = fn(col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist())
+                cols = [g if isinstance(g, pa.Array) else pa.array(g, type=t) for g, t in zip(got, arrow, strict=True)]
+                yield pa.RecordBatch.from_arrays([row, *cols], names=["row", *[f.name for f in schema.fields[1:]]])
 
     return rows.mapInArrow(run, schema)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.rows import map_text, name
+from corvane.llm.rows import map_text, name, slices
 from corvane.llm.shingles import mix, runs, word_hashes
 from corvane.scratch import stored
 
@@ -58,8 +58,14 @@ class Spans:
 
 def _seeds(length: int, gram: int):
     def run(texts: list) -> list:
-        got = [Spans(b or b"", length, gram) for b in texts]
-        return [[list(zip(s.anchor.view(np.int64).tolist(), s.context.view(np.int64).tolist(), strict=True)) for s in got]]
+        import pyarrow as pa
+
+        a, c, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [0]
+        for b in texts:
+            s = Spans(b or b"", length, gram)
+            a.append(s.anchor.view(np.int64)), c.append(s.context.view(np.int64)), ends.append(ends[-1] + len(s.anchor))
+        spans = pa.StructArray.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(c))], names=["a", "c"])
+        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spans)]
 
     return lambda: run
 
@@ -87,18 +93,16 @@ def repeated(docs: DataFrame, text: str, key: str, length: int, gram: int) -> tu
     def windows(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            d, at, win, anchor, known = [], [], [], [], []
+        for batch in (x for whole in batches for x in slices(whole, whole.column(1))):
+            d, at, win, anchor, known = [[np.zeros(0, np.int64)] for _ in range(5)]
             for i, b, asks in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
                 s = Spans((b or "").encode(), length, gram)
                 for x in asks:
                     lo, hi = int(s.first[x["j"]]), int(s.last[x["j"]]) + 1
-                    d += [i] * (hi - lo)
-                    at += range(lo, hi)
-                    win += s.windows[lo:hi].view(np.int64).tolist()
-                    anchor += [int(s.anchor[x["j"]].view(np.int64))] * (hi - lo)
-                    known += [x["known"]] * (hi - lo)
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(at, pa.int32()), pa.array(win, pa.int64()), pa.array(anchor, pa.int64()), pa.array(known, pa.bool_())], names=["d", "at", "win", "a", "known"])
+                    d.append(np.full(hi - lo, i)), at.append(np.arange(lo, hi)), win.append(s.windows[lo:hi].view(np.int64))
+                    anchor.append(np.full(hi - lo, s.anchor.view(np.int64)[x["j"]])), known.append(np.full(hi - lo, int(x["known"])))
+            cols = [np.concatenate(v) for v in (d, at, win, anchor, known)]
+            yield pa.RecordBatch.from_arrays([pa.array(v).cast(t) for v, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["d", "at", "win", "a", "known"])
 
     listed = stored(pending.select("d", "_text", "asked").mapInArrow(windows, "d long, at int, win long, a long, known boolean"), "windows")
     twice = listed.groupBy("a", "win").agg(F.count("*").alias("k")).where("k > 1").select("a", "win")
@@ -130,7 +134,7 @@ def substring_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", le
     def cut(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (x for whole in batches for x in slices(whole, whole.column(1))):
             n, removed, kept = [], [], []
             for b, whole, starts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 words = (b or "").encode().split()
