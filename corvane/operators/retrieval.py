@@ -38,7 +38,7 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
 def vector_search(records: DataFrame, queries: list[tuple[int, list[float]]], k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, record_id, score, rank): the k records of highest cosine for each query. Zero vectors score 0."""
     names = [q for q, _ in queries]
-    m = np.array([v for _, v in queries], np.float64).reshape(len(names), -1)
+    m = np.array([v for _, v in queries], np.float64).reshape(len(names), -1) if names else np.zeros((0, 1))
     n = np.linalg.norm(m, axis=1, keepdims=True)
     m = m / np.where(n > 0, n, 1)
 
