@@ -22,6 +22,7 @@ from corvane.llm.rows import map_text
 from corvane.scratch import stored
 
 SYMBOLS = b"#*$%&|<>"
+BROADCAST_ROWS, SALTS = 1_000_000, 64
 RULES = ("short", "repetition", "symbols", "lines")
 FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 
@@ -72,8 +73,7 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", car
     """`row` (the carried columns), the counts of FIELDS, base_failed, host_rejected and kept, one row per input row.
 
     The measured rows are written once to the shared folder: the host counts and the join back read that narrow table.
-    The join of documents with host verdicts is left to adaptive execution, which broadcasts the verdicts when they
-    have proved small and otherwise splits the partitions of a hot host.
+    Rejected hosts are counted: up to BROADCAST_ROWS are broadcast, so no row moves; more are joined by salted host.
     """
     carry = list(docs.columns if carry is None else carry)
     inner = carry if host in carry else [*carry, host]
@@ -82,6 +82,12 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", car
     bad = host_rates(rows).where(F.greatest(*[F.col(f"rate_{k}") for k in RULES]) >= host_limit).select("host", F.lit(True).alias("host_rejected"))
     rules = failures()
     base = F.coalesce(rules["short"] | rules["repetition"], F.lit(True))
-    out = rows.join(bad, "host", "left").withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False))).withColumn("base_failed", base)
+    bad = stored(bad, "hosts")
+    if bad.count() <= BROADCAST_ROWS:
+        joined = rows.join(F.broadcast(bad), "host", "left")
+    else:  # the rows of a hot host go to `SALTS` places
+        salted = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS))).join(salted, ["host", "salt"], "left")
+    out = joined.withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False))).withColumn("base_failed", base)
     out = out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
     return out.select(F.struct(*[F.col("row")[c].alias(c) for c in carry]).alias("row"), *[f.split()[0] for f in FIELDS.split(", ")], "base_failed", "host_rejected", "kept")
