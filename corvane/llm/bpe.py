@@ -3,10 +3,10 @@
 A text is split by the pattern; equal pieces have equal ids, so every distinct piece is encoded once. The fold starts
 from a piece's bytes and at each step merges the leftmost adjacent pair of least rank, found in a rank map that is a
 literal of the plan (pairs hashed into short buckets: their keys and their ranks). The rank of a merged pair is its
-token's id. Decoding concatenates the tokens' bytes, another literal.
+token's id. Decoding concatenates the tokens' bytes.
 
-Texts are then put together from the pieces' results: those of the `broadcast_words` most frequent pieces travel as a
-broadcast of bounded size, and each text's other pieces are joined to their results by piece and brought back by row.
+The `broadcast_words` most frequent pieces of the corpus are encoded first and travel as a broadcast of bounded size.
+Every text's other pieces are folded beside it, once each, so no text and no piece is shuffled for the join back.
 
 Defined cases: null and empty texts have no ids; repeated rows are encoded each; an empty table gives an empty result;
 bytes outside the pattern can't occur, as it matches every character. Input columns are carried in `row`.
@@ -27,11 +27,11 @@ from corvane.llm.rows import name, slices
 from corvane.scratch import stored
 
 NONE = 2147483647
-BUCKETS = 1 << 17
+BUCKETS = 1 << 15
 
 
 class Ranks:
-    """Literals of a vocabulary: `rank(a, b)` of a pair of ids, `byte` ids and `pieces` of bytes."""
+    """Literals of a vocabulary: `rank(a, b)` of a pair of ids and the `byte` ids."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
@@ -49,8 +49,11 @@ class Ranks:
         self.keys = _literal(keys, "array<array<bigint>>")
         self.values = _literal(values, "array<array<int>>")
         self.byte = _literal([vocabulary[bytes([i])] for i in range(256)], "array<int>")
+
+    @staticmethod
+    def bytes_of(vocabulary: dict[bytes, int]) -> list[bytes]:
         back = {r: t for t, r in vocabulary.items()}
-        self.pieces = _literal([base64.b64encode(back.get(i, b"")).decode() for i in range(max(back) + 1)], "array<binary>")
+        return [back.get(i, b"") for i in range(max(back) + 1)]
 
     def rank(self, a: Column, b: Column) -> Column:
         h = (a * 31337 + b).bitwiseAND(BUCKETS - 1)
@@ -62,14 +65,16 @@ class Ranks:
         n = F.octet_length(piece)
         start = F.transform(F.sequence(F.lit(1), n), lambda i: F.get(self.byte, F.conv(F.hex(F.substring(piece, i, F.lit(1))), 16, 10).cast("int")))
 
-        empty = F.lit([]).cast("array<int>")
-
         def merged(p: Column, r: Column, least: Column, i: Column) -> Column:
             """Parts and pair ranks after the i-th pair is merged: only the ranks beside it are looked up."""
-            left = F.when(i > 1, F.array(self.rank(F.get(p, i - 2), least))).otherwise(empty)
-            right = F.when(i < F.size(r), F.array(self.rank(least, F.get(p, i + 1)))).otherwise(empty)
             parts = F.concat(F.slice(p, F.lit(1), i - 1), F.array(least), F.slice(p, i + 2, F.size(p)))
-            return F.struct(parts.alias("p"), F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, F.size(r))).alias("r"))
+
+            def ranked(two: Column) -> Column:
+                left, right = F.slice(two, F.lit(1), (i > 1).cast("int")), F.slice(two, F.lit(2), (i < F.size(r)).cast("int"))
+                return F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, F.size(r)))
+
+            beside = F.zip_with(F.array(F.get(p, i - 2), least), F.array(least, F.get(p, i + 1)), self.rank)
+            return F.struct(parts.alias("p"), _with(beside, ranked).alias("r"))
 
         def step(s: Column, _: Column) -> Column:
             least = F.array_min(s["r"])
@@ -79,9 +84,6 @@ class Ranks:
         first = _with(start, lambda p: F.struct(p.alias("p"), F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p)), self.rank).alias("r")))
         return F.aggregate(F.sequence(F.lit(1), n), first, step, lambda s: s["p"])
 
-    def decode(self, ids: Column) -> Column:
-        return F.aggregate(ids, F.lit(b""), lambda a, i: F.concat(a, F.get(self.pieces, i)))
-
 
 def _literal(value: list, kind: str) -> Column:
     """A literal of any nested kind; the optimizer folds the call."""
@@ -123,60 +125,55 @@ def words(docs: DataFrame, pattern: str, text: str = "text", most: int = 300_000
 
 
 def encoded_words(found: DataFrame, ranks: Ranks) -> DataFrame:
-    """found with `ids` and `back`, the decoded bytes."""
-    ids = found.select("piece", "k", ranks.encode(F.col("piece")).alias("ids"))
-    return ids.select("piece", "k", "ids", ranks.decode(F.col("ids")).alias("back"))
+    """(piece, ids) of distinct pieces."""
+    return found.select("piece", ranks.encode(F.col("piece")).alias("ids"))
 
 
-def byte_bpe(docs: DataFrame, path: str, pattern: str, text: str = "text", carry: list[str] | None = None, broadcast_words: int = 400_000) -> DataFrame:
+def byte_bpe(docs: DataFrame, path: str, pattern: str, text: str = "text", carry: list[str] | None = None, broadcast_words: int = 200_000) -> DataFrame:
     """`row` (the carried columns), ids array<int> and decoded binary."""
     spark = docs.sparkSession
     carry = list(docs.columns if carry is None else carry)
-    codes = stored(encoded_words(words(docs, pattern, text), Ranks(path)), "words")
+    ranks = Ranks(path)
+    found = stored(words(docs, pattern, text), "words")
     # the least count whose pieces, with all more frequent ones, stay within the bound
-    counts = codes.groupBy(F.least("k", F.lit(10_000)).alias("k")).agg(F.count("*").alias("n")).orderBy(F.desc("k")).collect()
+    counts = found.groupBy(F.least("k", F.lit(10_000)).alias("k")).agg(F.count("*").alias("n")).orderBy(F.desc("k")).collect()
     total, least = 0, 10_001
     for r in counts:
         total += r["n"]
         if total > broadcast_words:
             break
         least = r["k"]
-    top = codes.where(F.col("k") >= least).select("piece", "ids", "back").toArrow()  # at most broadcast_words rows
-    frequent = spark.sparkContext.broadcast({w.decode(): (array("i", i).tobytes(), b) for w, i, b in zip(*[top.column(c).to_pylist() for c in top.column_names], strict=True)})
-
-    texts = docs.select(F.struct(*[name(c) for c in carry]).alias("row"), name(text).cast("string").alias("t"), F.xxhash64(name(text)).alias("d"))
+    top = encoded_words(found.where(F.col("k") >= least), ranks).toArrow()  # at most broadcast_words rows
+    often = spark.sparkContext.broadcast({w.decode() for w in top.column("piece").to_pylist()})
+    frequent = spark.sparkContext.broadcast({w.decode(): array("i", i).tobytes() for w, i in zip(*[top.column(c).to_pylist() for c in top.column_names], strict=True)})
+    back = Ranks.bytes_of(ranks.vocabulary)
+    tokens = spark.sparkContext.broadcast(back)  # the vocabulary
+    texts = docs.select(F.struct(*[name(c) for c in carry]).alias("row"), name(text).cast("string").alias("t"))
 
     def rare(batches):
         import pyarrow as pa
         import regex
 
-        split, known = regex.compile(pattern).findall, frequent.value
-        for batch in (x for whole in batches for x in slices(whole, whole.column(0))):
-            d, piece = [], []
-            for t, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                new = {w for w in split(t or "") if w not in known}
-                d += [i] * len(new)
-                piece += [w.encode() for w in new]
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(piece, pa.binary())], names=["d", "piece"])
+        split, known = regex.compile(pattern).findall, often.value
+        for batch in (x for whole in batches for x in slices(whole, whole.column(1))):
+            own = [[w.encode() for w in dict.fromkeys(split(t)) if w not in known] if t else [] for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.list_(pa.binary()))], names=["row", "t", "rare"])
 
     def build(batches):
         import pyarrow as pa
         import regex
 
-        split, known = regex.compile(pattern).findall, frequent.value
+        split, known, pieces = regex.compile(pattern).findall, frequent.value, tokens.value
         for batch in (x for whole in batches for x in slices(whole, whole.column(1))):
-            ids, ends, back = [], [0], []
-            for t, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                mine = {x["piece"].decode(): (array("i", x["ids"]).tobytes(), x["back"]) for x in own or ()}
-                got = [known.get(w) or mine[w] for w in split(t or "")]
-                ids.append(b"".join([g for g, _ in got]))
+            ids, ends, out = [], [0], []
+            for t, words_, codes_ in zip(*[batch.column(k).to_pylist() for k in (1, 2, 3)], strict=True):
+                mine = {w.decode(): array("i", c).tobytes() for w, c in zip(words_, codes_, strict=True)}
+                ids.append(b"".join([known.get(w) or mine[w] for w in split(t or "")]))
                 ends.append(ends[-1] + len(ids[-1]) // 4)
-                back.append(b"".join([b for _, b in got]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32))), pa.array(back, pa.binary())], names=["row", "ids", "decoded"])
-
-    others = texts.select("t", "d").mapInArrow(rare, "d long, piece binary").distinct()
-    others = others.join(codes.where(F.col("k") < least).select("piece", "ids", "back"), "piece")
-    others = others.groupBy("d").agg(F.collect_list(F.struct("piece", "ids", "back")).alias("own"))
-    joined = texts.join(others, "d", "left").select("row", "t", "own")
-    kind = T.StructType([joined.schema["row"], *T._parse_datatype_string("ids array<int>, decoded binary").fields])
-    return joined.mapInArrow(build, kind)
+                out.append(b"".join([pieces[i] for i in array("i", ids[-1])]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32))), pa.array(out, pa.binary())], names=["row", "ids", "decoded"])
+
+    found = T.StructType([texts.schema["row"], texts.schema["t"], *T._parse_datatype_string("rare array<binary>").fields])
+    folded = texts.mapInArrow(rare, found).select("row", "t", "rare", F.transform("rare", ranks.encode).alias("codes"))
+    kind = T.StructType([texts.schema["row"], *T._parse_datatype_string("ids array<int>, decoded binary").fields])
+    return folded.mapInArrow(build, kind)
