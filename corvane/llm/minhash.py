@@ -146,7 +146,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", li
 
     sizes = members.groupBy("cluster").agg(F.count("*").alias("rows"), F.sum(F.length("shingles")).alias("bytes"))
     sizes = sizes.select("cluster", F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    members = members.join(sizes, "cluster")
+    members = members.join(stored(sizes, "sizes"), "cluster")  # a written side leaves a hot cluster to be split
     wide = members.where("blocks > 1")
 
     def dealt(salt: int) -> Column:
@@ -163,10 +163,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", li
         wide = stored(wide.join(components(inside), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "wide")
         part = wide.groupBy("cluster", "label").agg(F.count("*").alias("k"))
         core = part.groupBy("cluster").agg(F.max_by("label", F.struct("k", "label")).alias("core"))
+        core = stored(core, "core")
         outer = wide.join(core, "cluster").where("label <> core").drop("core")
         # every block of outsiders against every block of the cluster, as far as the latter goes
         count = outer.groupBy("cluster").agg(F.count("*").alias("rows"), F.sum(F.length("shingles")).alias("bytes"))
         count = count.select("cluster", F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("outside"))
+        count = stored(count, "outside")
         o = outer.join(count, "cluster").withColumn("x", F.pmod(F.xxhash64("node", F.lit(3)), F.col("outside")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         a = wide.join(count, "cluster").withColumn("y", dealt(4)).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("outside") - 1)))
         cols = ["cluster", "x", "y", "label", "node", "side", "sketch", "shingles"]
