@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,3 +23,9 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/corvane/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, tag: str, most: int = 1_000_000) -> DataFrame:
+    """df as written, to be broadcast if it has at most `most` rows; for narrow rows."""
+    df = stored(df, tag)
+    return F.broadcast(df) if df.count() <= most else df
