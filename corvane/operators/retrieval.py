@@ -1,13 +1,16 @@
 """Exact top-k retrieval, reranking and citations.
 
-The query set is small by nature and travels with the task; the corpus is scanned once, in blocks, by matrix products.
-Each block passes on its own k best per query, so what is shuffled is at most k rows a query and block.
+A block of queries travels with the task; the corpus is scanned once for it, by matrix products of bounded size. Each task
+passes on its own k best per query, so what is shuffled is at most k rows a query and task. Query tables of any size are
+searched block after block.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,17 +19,52 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.functions.vectors import DIMENSIONS
+from corvane.scratch import stored
 
+BLOCK, CELLS = 4096, 4_000_000  # queries a scan; scores held at once
 
-def _best(scores: np.ndarray, ids: np.ndarray, queries: list, k: int) -> pa.RecordBatch:
-    """scores: rows by queries. Ties go to the lower id."""
-    q, i, s = [], [], []
-    for j, name in enumerate(queries):
-        order = np.lexsort((ids, -scores[:, j]))[:k]
-        q += [name] * len(order)
-        i += ids[order].tolist()
-        s += scores[order, j].tolist()
-    return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "record_id", "score"])
+
+def _merged(best: list[np.ndarray], scores: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
+    """The k best of each query so far, as (query place, id, score), with a block of rows by queries. Ties: lower id."""
+    n = min(k, len(scores))
+    least = np.partition(scores, len(scores) - n, axis=0)[len(scores) - n]
+    r, c = np.nonzero(scores >= least)
+    q, i, v = [np.concatenate(x) for x in zip(best, (c, ids[r], scores[r, c]), strict=True)] if best else (c, ids[r], scores[r, c])
+    order = np.lexsort((i, -v, q))
+    q, i, v = q[order], i[order], v[order]
+    starts = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
+    near = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q)))) < k
+    return [q[near], i[near], v[near]]
+
+
+def _search(records: DataFrame, key: str, value: Column, names: list, make, k: int) -> DataFrame:
+    """One scan. make() runs in each task and returns the function from a column of values to scores, rows by queries."""
+    kind = "bigint" if records.schema[key].dataType.typeName() in ("byte", "short", "integer", "long") else "string"
+    arrow = pa.int64() if kind == "bigint" else pa.string()
+
+    def run(batches):
+        score, best, step = make(), [], max(1, CELLS // max(1, len(names)))
+        for b in batches:
+            for at in range(0, b.num_rows if names and k > 0 else 0, step):
+                part = b.slice(at, step)
+                best = _merged(best, score(part.column(1).to_pylist()), np.array(part.column(0).to_pylist()), k)
+        if best:
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(names)[best[0]], pa.int64()), pa.array(best[1].tolist(), arrow), pa.array(best[2], pa.float64())], names=["query_id", "record_id", "score"])
+
+    rows = records.where(F.col(key).isNotNull()).select(F.col(key).cast(kind), value)
+    return ranked(rows.mapInArrow(run, f"query_id long, record_id {kind}, score double"), k)
+
+
+def in_blocks(queries: DataFrame, search: Callable[[list[tuple]], DataFrame], block: int = BLOCK) -> DataFrame:
+    """search() of all rows (id, value) of `queries`, of which the driver holds two blocks at a time."""
+    rows = ((r[0], r[1]) for r in queries.where(F.col(queries.columns[0]).isNotNull()).toLocalIterator())
+    part, rest = list(islice(rows, block)), list(islice(rows, block))
+    out = search(part)
+    if rest:
+        out = stored(out, "found")
+    while rest:
+        out, rest = out.union(stored(search(rest), "found")), list(islice(rows, block))
+    return out
 
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -36,21 +74,24 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
 
 
 def vector_search(records: DataFrame, queries: list[tuple[int, list[float]]], k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, record_id, score, rank): the k records of highest cosine for each query. Zero vectors score 0."""
+    """(query_id, record_id, score, rank): the k records of highest cosine for each query.
+
+    Zero vectors score 0. Records without id or vector are left out; ids may be integers or strings.
+    """
     names = [q for q, _ in queries]
     m = np.array([v for _, v in queries], np.float64).reshape(len(names), -1) if names else np.zeros((0, 1))
     n = np.linalg.norm(m, axis=1, keepdims=True)
     m = m / np.where(n > 0, n, 1)
 
-    def run(batches):
-        for b in batches:
-            if b.num_rows and names:
-                x = np.array(b.column(1).to_pylist(), np.float64)
-                size = np.linalg.norm(x, axis=1, keepdims=True)
-                s = np.round(x / np.where(size > 0, size, 1) @ m.T, 6) + 0.0
-                yield _best(s, b.column(0).to_numpy(zero_copy_only=False), names, k)
+    def make():
+        def score(vectors: list) -> np.ndarray:
+            x = np.array(vectors, np.float64)
+            size = np.linalg.norm(x, axis=1, keepdims=True)
+            return np.round(x / np.where(size > 0, size, 1) @ m.T, 6) + 0.0
+
+        return score
 
-    return ranked(records.select(F.col(key).cast("bigint"), vector).mapInArrow(run, "query_id long, record_id long, score double"), k)
+    return _search(records.where(F.col(vector).isNotNull()), key, F.col(vector), names, make, k)
 
 
 def hash_search(records: DataFrame, queries: list[tuple[int, str]], k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -72,16 +113,17 @@ def hash_search(records: DataFrame, queries: list[tuple[int, str]], k: int, key:
     m = np.array([counts(t, {}) for _, t in queries]).reshape(len(names), DIMENSIONS)
     q2 = (m * m).sum(1)
 
-    def run(batches):
+    def make():
         known: dict = {}
-        for b in batches:
-            if b.num_rows and names:
-                x = np.array([counts(t, known) for t in b.column(1).to_pylist()])
-                n = np.sqrt((x * x).sum(1))[:, None] * np.sqrt(q2)[None, :]
-                s = np.round(np.divide(x @ m.T, n, out=np.zeros((len(x), len(names))), where=n > 0), 6)
-                yield _best(s, b.column(0).to_numpy(zero_copy_only=False), names, k)
 
-    return ranked(records.select(F.col(key).cast("bigint"), F.col(text).cast("string")).mapInArrow(run, "query_id long, record_id long, score double"), k)
+        def score(texts: list) -> np.ndarray:
+            x = np.array([counts(t, known) for t in texts])
+            n = np.sqrt((x * x).sum(1))[:, None] * np.sqrt(q2)[None, :]
+            return np.round(np.divide(x @ m.T, n, out=np.zeros((len(x), len(names))), where=n > 0), 6)
+
+        return score
+
+    return _search(records, key, F.col(text).cast("string"), names, make, k)
 
 
 def overlap(question: Column, content: Column) -> Column:

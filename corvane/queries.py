@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from corvane.functions import text as T
 from corvane.functions import vectors as V
 from corvane.operators import graph, retrieval, stats
+from corvane.scratch import small
 from corvane.sources.tables import files, query_log, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-QUESTIONS, VECTORS, TOP, FETCH = 40, 20, 5, 10
+EVERY, TOP, FETCH = 20, 5, 10
 FOLDER = ".engine"
 
 
@@ -203,36 +204,33 @@ def vector_norms(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(V.norm(F.col("embedding")), 5).alias("norm"))
 
 
-@query(f"select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 5) as score from embeddings a join embeddings b on a.vec_id < b.vec_id where a.vec_id < {VECTORS} and b.vec_id < {VECTORS}")
+@query(f"select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 5) as score from embeddings a join embeddings b on a.vec_id = 0")
 def pairwise_cosine(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < VECTORS)
-    a, b = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")), e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
-    return F.broadcast(a).join(b, F.col("a") < F.col("b")).select("a", "b", F.round(V.cosine(F.col("x"), F.col("y")), 5).alias("score"))
+    """Every vector with the one vector that is asked about."""
+    e = table(spark, sf_dir, "embeddings")
+    b = e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
+    one = e.where("vec_id = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
+    return F.broadcast(one).join(b).select("a", "b", F.round(V.cosine(F.col("x"), F.col("y")), 5).alias("score"))
 
 
 KNN = "select query_id, record_id, score, rank from (select q.vec_id as query_id, e.vec_id as record_id, round(list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 6) as score, row_number() over (partition by q.vec_id order by round(list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 6) desc, e.vec_id) as rank from embeddings q, embeddings e where q.vec_id {which}) where rank <= {k}"
 
 
-def asked(df, key, value, most):
-    """A query set of stated size."""
-    return [(r[0], r[1]) for r in df.where(F.col(key) < most).select(key, value).orderBy(key).collect()]
-
-
 @query(KNN.format(which="= 0", k=TOP))
 def knn_topk(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return retrieval.vector_search(e, asked(e, "vec_id", "embedding", 1), TOP)
+    return retrieval.in_blocks(e.where("vec_id = 0").select("vec_id", "embedding"), lambda q: retrieval.vector_search(e, q, TOP))
 
 
-@query(KNN.format(which=f"< {VECTORS}", k=TOP))
+@query(KNN.format(which=f"% {EVERY} = 0", k=TOP))
 def knn_join(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return retrieval.vector_search(e, asked(e, "vec_id", "embedding", VECTORS), TOP)
+    return retrieval.in_blocks(e.where(F.col("vec_id") % EVERY == 0).select("vec_id", "embedding"), lambda q: retrieval.vector_search(e, q, TOP))
 
 
 # ---- answers
 
-HITS = f"""qb as ({BUCKETS.format(id='item_id', t=f'(select * from benchmark where item_id < {QUESTIONS})')}), db as ({BUCKETS.format(id='doc_id', t='documents')}),
+HITS = f"""qb as ({BUCKETS.format(id='item_id', t='benchmark')}), db as ({BUCKETS.format(id='doc_id', t='documents')}),
     qn as (select item_id, sqrt(sum(tf * tf)::double) as n from qb group by 1), dn as (select doc_id, sqrt(sum(tf * tf)::double) as n from db group by 1),
     dots as (select item_id, doc_id, sum(qb.tf * db.tf)::double as d from qb join db using (bucket) group by all),
     scored as (select item_id as query_id, doc_id as record_id, round(d / (dn.n * qn.n), 6) as score from dots join qn using (item_id) join dn using (doc_id)),
@@ -240,14 +238,15 @@ HITS = f"""qb as ({BUCKETS.format(id='item_id', t=f'(select * from benchmark whe
 
 
 def hits(spark, sf_dir, k=FETCH):
-    return retrieval.hash_search(table(spark, sf_dir, "documents"), asked(table(spark, sf_dir, "benchmark"), "item_id", "text", QUESTIONS), k)
+    d = table(spark, sf_dir, "documents")
+    return retrieval.in_blocks(table(spark, sf_dir, "benchmark").select("item_id", "text"), lambda q: retrieval.hash_search(d, q, k))
 
 
 def answered(spark, sf_dir):
     """The reranked hits of every question, with path and content."""
     f = files(spark, sf_dir).select(F.col("doc_id").alias("record_id"), "path", "language", F.col("content").alias("snippet"))
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    return retrieval.reranked(f.join(F.broadcast(hits(spark, sf_dir)), "record_id").join(F.broadcast(b.where(F.col("query_id") < QUESTIONS)), "query_id"), TOP)
+    return retrieval.reranked(f.join(small(hits(spark, sf_dir).join(b, "query_id"), "asked"), "record_id"), TOP)
 
 
 QT = TOK.format("lower(b.text)")
@@ -263,7 +262,7 @@ CITED = RERANK + f""", c as (select query_id, position, path, {TWO} as two, lang
 def overlap_score(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), "text")
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    j = d.join(F.broadcast(hits(spark, sf_dir)), "record_id").join(F.broadcast(b.where(F.col("query_id") < QUESTIONS)), "query_id")
+    j = d.join(small(hits(spark, sf_dir).join(b, "query_id"), "asked"), "record_id")
     return j.select("query_id", "record_id", F.col("rank").cast("bigint").alias("rank"), F.round(retrieval.overlap(F.col("question"), F.col("text")), 6).alias("overlap"))
 
 
@@ -313,13 +312,13 @@ def parse_citations(spark, sf_dir):
 
 # ---- evaluation
 
-TRUTH = f"truth as (select item_id as query_id, min(doc_id) as expected from benchmark b join documents d on contains(d.text, b.text) where item_id < {QUESTIONS} group by 1)"
+TRUTH = "truth as (select item_id as query_id, min(doc_id) as expected from benchmark b join documents d on contains(d.text, b.text) group by 1)"
 EVAL = f"with {HITS}, {TRUTH}, e as (select t.*, exists (select 1 from hits h where h.query_id = t.query_id and h.record_id = t.expected and rank <= {TOP}) as hit from truth t)"
 
 
 def truth(spark, sf_dir):
     """Each question that some document quotes, and the first such document."""
-    b = table(spark, sf_dir, "benchmark").where(F.col("item_id") < QUESTIONS).select("item_id", F.col("text").alias("q"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q"))
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     return d.join(F.broadcast(b), F.contains("text", "q")).groupBy(F.col("item_id").alias("query_id")).agg(F.min("doc_id").alias("expected"))
 

@@ -160,3 +160,25 @@ def test_agents():
 @pytest.mark.parametrize("enabled,expected,given,code", [(False, None, None, 200), (True, None, "x", 500), (True, "k", "x", 401), (True, "k", "k", 200)])
 def test_authorized(enabled, expected, given, code):
     assert agents.authorized(enabled, expected, given) == code
+
+
+def test_string_ids_ties_and_blocks(spark):
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 3, (300, 4)).astype(float)
+    df = spark.createDataFrame([(f"f{i}.py", r.tolist()) for i, r in enumerate(x)] + [(None, [1.0] * 4), ("none", None)], "vec_id string, embedding array<double>").repartition(4)
+    asked = spark.createDataFrame([(i, x[i].tolist()) for i in range(25)], "q long, v array<double>")
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    unit = x / np.where(n > 0, n, 1)
+    want = {(q, j + 1, f"f{i}.py") for q in range(25) for j, i in enumerate(sorted(range(300), key=lambda i: (-round(float(unit[i] @ unit[q]), 6), f"f{i}.py"))[:7])}
+    for block in (4096, 10):
+        got = retrieval.in_blocks(asked, lambda q: retrieval.vector_search(df, q, 7), block)
+        assert {(r.query_id, r.rank, r.record_id) for r in got.collect()} == want
+
+
+def test_p95_of_large_and_tied_groups(spark):
+    rng = random.Random(3)
+    groups = {"even": [rng.random() for _ in range(4000)], "tied": [float(rng.randrange(3)) for _ in range(3000)], None: [5.0] * 50, "one": [2.0]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs] + [("one", None)], "agent string, latency_ms double").repartition(6)
+    got = {r.agent: (r.p95_ms, r.n) for r in stats.p95(df, "agent", whole=40).collect()}
+    assert got == {g: (sorted(v)[min(int(len(v) * 0.95), len(v) - 1)], len(v)) for g, v in groups.items()}
+    assert stats.p95(df.limit(0), "agent").count() == 0
