@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.scratch import small
@@ -53,3 +53,22 @@ def histogram(log: DataFrame, by: str, seconds: str) -> DataFrame:
 def latest(log: DataFrame, n: int, *order: str) -> DataFrame:
     """The last n rows by the given columns."""
     return log.orderBy(*[F.desc(c) for c in order]).limit(n)
+
+
+def _label(**columns: str) -> Column:
+    """{name="value",...} with backslashes, quotes and line feeds escaped."""
+    escaped = {k: F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")) for k, c in columns.items()}
+    return F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'{k}="'), v, F.lit('"')) for k, v in escaped.items()]), F.lit("}"))
+
+
+def exposition(requests: DataFrame, counter: str = "requests_total", timer: str = "request_latency_seconds") -> DataFrame:
+    """(place, line): requests (method, path, status, elapsed_s) as a counter and a histogram in the text format that
+    scrapers read; order by place and line. Only the counts of label sets, never requests, reach the text."""
+    n = requests.groupBy("method", "path", "status").agg(F.count("*").cast("double").alias("v"))
+    buckets = histogram(requests, "path", "elapsed_s").select(F.concat(F.lit(f"{timer}_bucket"), _label(path="path", le="le"), F.lit(" "), F.col("count").cast("double")).alias("line"))
+    totals = requests.groupBy("path").agg(F.count("*").cast("double").alias("n"), F.coalesce(F.sum("elapsed_s"), F.lit(0.0)).alias("s"))
+    sums = totals.select(F.explode(F.array(*[F.concat(F.lit(f"{timer}_{k} ".rstrip()), _label(path="path"), F.lit(" "), F.col(c)) for k, c in (("count", "n"), ("sum", "s"))])).alias("line"))
+    heads = [f"# HELP {counter} Requests by method, path and status.", f"# TYPE {counter} counter", f"# HELP {timer} Seconds that requests took.", f"# TYPE {timer} histogram"]
+    head = requests.sparkSession.createDataFrame([(0, heads[0]), (1, heads[1]), (3, heads[2]), (4, heads[3])], "place int, line string")
+    counted = n.select(F.lit(2).alias("place"), F.concat(F.lit(counter), _label(method="method", path="path", status="status"), F.lit(" "), F.col("v")).alias("line"))
+    return head.union(counted).union(buckets.select(F.lit(5), "line")).union(sums.select(F.lit(6), "line"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions import text as T
 from corvane.operators import extraction, graph, retrieval, stats
 from corvane.plans import agents
+from corvane.settings import Settings, settings
 from corvane.sources import repository
 from corvane.streaming import tracker
 
@@ -182,3 +183,19 @@ def test_p95_of_large_and_tied_groups(spark):
     got = {r.agent: (r.p95_ms, r.n) for r in stats.p95(df, "agent", whole=40).collect()}
     assert got == {g: (sorted(v)[min(int(len(v) * 0.95), len(v) - 1)], len(v)) for g, v in groups.items()}
     assert stats.p95(df.limit(0), "agent").count() == 0
+
+
+def test_settings():
+    assert settings({}) == Settings() and not settings({}).auth_enabled
+    got = settings({"CORVANE_AUTH_ENABLED": "True", "CORVANE_LLM_TEMPERATURE": "0.7", "CORVANE_ALLOWED_ORIGINS": " http://a , ,http://b", "OTHER": "x"})
+    assert (got.auth_enabled, got.llm_temperature, got.allowed_origins) == (True, 0.7, ("http://a", "http://b"))
+    assert settings({"CORVANE_ALLOWED_ORIGINS": ""}).allowed_origins == Settings.allowed_origins
+
+
+def test_exposition(spark):
+    log = spark.createDataFrame([("GET", "/x", "200", 0.02), ("GET", "/x", "200", 3.0), ("POST", '/"y', "500", 20.0)], "method string, path string, status string, elapsed_s double")
+    lines = [r.line for r in stats.exposition(log).orderBy("place", "line").collect()]
+    assert lines[:2] == ["# HELP requests_total Requests by method, path and status.", "# TYPE requests_total counter"]
+    for want in ('requests_total{method="GET",path="/x",status="200"} 2.0', 'requests_total{method="POST",path="/\\"y",status="500"} 1.0', 'request_latency_seconds_bucket{path="/x",le="0.025"} 1.0', 'request_latency_seconds_bucket{path="/x",le="+Inf"} 2.0', 'request_latency_seconds_count{path="/x"} 2.0', 'request_latency_seconds_sum{path="/x"} 3.02', 'request_latency_seconds_bucket{path="/\\"y",le="10.0"} 0.0'):
+        assert want in lines, want
+    assert len(stats.exposition(log.limit(0)).collect()) == 4
