@@ -126,6 +126,37 @@ def hash_search(records: DataFrame, queries: list[tuple[int, str]], k: int, key:
     return _search(records, key, F.col(text).cast("string"), names, make, k)
 
 
+def quoting(records: DataFrame, queries: list[tuple[int, str]], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(query_id, record_id): for each query whose text some record contains, the least such record (integer id).
+
+    One scan, one automaton of all query texts; a task passes on one row a query at most. An empty query text is in every
+    text; a null one, and a null text, is in none.
+    """
+    ids: dict[str, list[int]] = {}
+    for q, t in queries:
+        if t is not None:
+            ids.setdefault(t, []).append(q)
+
+    def run(batches):
+        import ahocorasick
+
+        auto = ahocorasick.Automaton()
+        for t in filter(None, ids):
+            auto.add_word(t, t)
+        auto.make_automaton()
+        least: dict[str, int] = {}
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = {w for _, w in auto.iter(t)} if len(auto) else set()
+                for w in found | ({""} & ids.keys()):
+                    least[w] = min(i, least.get(w, i))
+        rows = [(q, i) for w, i in least.items() for q in ids[w]]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.int64())], names=["query_id", "record_id"])
+
+    rows = records.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint"), F.col(text).cast("string"))
+    return rows.mapInArrow(run, "query_id long, record_id long").groupBy("query_id").agg(F.min("record_id").alias("record_id"))
+
+
 def overlap(question: Column, content: Column) -> Column:
     """Share of the question's distinct tokens that the content has; 0 where either has none."""
     q = T.token_set(question)

@@ -318,9 +318,8 @@ EVAL = f"with {HITS}, {TRUTH}, e as (select t.*, exists (select 1 from hits h wh
 
 def truth(spark, sf_dir):
     """Each question that some document quotes, and the first such document."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q"))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return d.join(F.broadcast(b), F.contains("text", "q")).groupBy(F.col("item_id").alias("query_id")).agg(F.min("doc_id").alias("expected"))
+    d = table(spark, sf_dir, "documents")
+    return retrieval.in_blocks(table(spark, sf_dir, "benchmark").select("item_id", "text"), lambda q: retrieval.quoting(d, q)).withColumnRenamed("record_id", "expected")
 
 
 def found(spark, sf_dir):
@@ -402,10 +401,11 @@ def layer_classify(spark, sf_dir):
     return paths(spark, sf_dir).select("p_partkey", "path", T.layer(F.col("path")).alias("layer"))
 
 
-@query(f"select {sql_layer('path')} as layer, count(distinct path) as files, string_agg(distinct path, '|' order by path) as paths from ({PATHS}) group by 1")
+@query(f"select layer, path, count(*) over (partition by layer) as files from (select distinct {sql_layer('path')} as layer, path from ({PATHS}))")
 def layer_files(spark, sf_dir):
+    """The files of each layer, a row each, and how many the layer has; there are few layers, so counts are broadcast."""
     p = paths(spark, sf_dir).select(T.layer(F.col("path")).alias("layer"), "path").distinct()
-    return p.groupBy("layer").agg(F.count("*").alias("files"), F.array_join(F.array_sort(F.collect_list("path")), "|").alias("paths"))
+    return p.join(F.broadcast(p.groupBy("layer").agg(F.count("*").alias("files"))), "layer").select("layer", "path", "files")
 
 
 LAYERED = f"select source, target, {sql_layer('source')} as sl, {sql_layer('target')} as tl from ({EDGES})"

@@ -199,3 +199,10 @@ def test_exposition(spark):
     for want in ('requests_total{method="GET",path="/x",status="200"} 2.0', 'requests_total{method="POST",path="/\\"y",status="500"} 1.0', 'request_latency_seconds_bucket{path="/x",le="0.025"} 1.0', 'request_latency_seconds_bucket{path="/x",le="+Inf"} 2.0', 'request_latency_seconds_count{path="/x"} 2.0', 'request_latency_seconds_sum{path="/x"} 3.02', 'request_latency_seconds_bucket{path="/\\"y",le="10.0"} 0.0'):
         assert want in lines, want
     assert len(stats.exposition(log.limit(0)).collect()) == 4
+
+
+def test_quoting(spark):
+    docs = spark.createDataFrame([(3, "the cat sat"), (1, "a cat"), (2, None), (None, "cat"), (5, "naïve sat")], "doc_id long, text string").repartition(3)
+    asked = [(10, "cat"), (11, "sat"), (12, "dog"), (13, None), (14, "cat"), (15, ""), (16, "ïve")]
+    assert {tuple(r) for r in retrieval.quoting(docs, asked).collect()} == {(10, 1), (11, 3), (14, 1), (15, 1), (16, 5)}
+    assert retrieval.quoting(docs, []).count() == 0 and retrieval.quoting(docs.limit(0), asked).count() == 0
