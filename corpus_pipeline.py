@@ -9,6 +9,9 @@ from corvane.llm import minhash, quality_rules, substring, toxicity
 from corvane.llm.queries import pack_documents, table, toxic_lexicon
 from corvane.scratch import stored
 
+#: Near-duplicates of the corpus: percent of common shingles, words of a shingle. op6 has its own, of its contract.
+LIMIT, SHINGLE = 80, 5
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules and whose host does."""
@@ -23,7 +26,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the least id."""
-    out = stored(minhash.near_duplicates(docs).where("component_id <> doc_id").select("doc_id").distinct(), "copies")
+    out = stored(minhash.near_duplicates(docs, limit=LIMIT, shingle=SHINGLE).where("component_id <> doc_id").select("doc_id").distinct(), "copies")
     if out.count() <= minhash.BROADCAST_ROWS:
         out = F.broadcast(out)
     return docs.join(out, "doc_id", "left_anti").select(docs.columns)

@@ -1,9 +1,10 @@
 """Near-duplicates by fast similarity sketching, banding and exact verification.
 
-1. Each text's set of 3-word shingles gets a sketch of 96 coordinates; texts with the same word sequence are one class.
-2. Banding: classes that agree in all four coordinates of one of 24 bands are candidates. A pair at similarity 0.85
-   misses all bands with probability below 2e-8. Buckets are joined through their least member, so the candidate graph
-   stays linear in the rows, and its components (clusters) hold every candidate pair.
+1. Each text's set of shingles (runs of `shingle` words) gets a sketch of 96 coordinates; texts with the same word
+   sequence are one class.
+2. Banding: classes that agree in all four coordinates of one of 24 bands are candidates. A pair at similarity s misses
+   all bands with probability (1 - s^4)^24: 2.0e-8 at 0.85, 3.2e-6 at 0.8. Buckets are joined through their least
+   member, so the candidate graph stays linear in the rows, and its components (clusters) hold every candidate pair.
 3. Verification inside clusters, in blocks of bounded size: pairs whose sketches agree enough are checked on their full
    sets, most similar first, unless they are already linked. Members of a cluster that spans several blocks are dealt
    out twice by different hashes, which unites its bulk; whoever is still outside the largest part is then compared
@@ -11,7 +12,7 @@
 4. Components of the verified links; the least id stands for each.
 
 Links: 100 * |A & B| >= limit * |A | B|. Defined cases: null, empty and word-less texts have no shingles and link with
-nothing; fewer than three words are one shingle; equal rows are linked; a null id keeps a null component; an empty table
+nothing; fewer than `shingle` words are one shingle; equal rows are linked; a null id keeps a null component; an empty table
 gives an empty result.
 """
 
@@ -30,7 +31,7 @@ from corvane.llm.shingles import shingle_set, word_hashes
 from corvane.llm.sketch import bands, fill, short
 from corvane.scratch import stored
 
-T, LIMIT = 96, 85
+T, SHINGLE, LIMIT = 96, 5, 85  # op6 and the pipeline each pass their own words and percent
 BLOCK_ROWS, BLOCK_BYTES = 512, 24 << 20
 BROADCAST_ROWS = 2_000_000  # ids of 8 bytes; more are joined by shuffle
 
@@ -39,26 +40,32 @@ def _key(b: bytes) -> bytes:
     return hashlib.blake2b(b" ".join(b.split()), digest_size=16).digest()
 
 
-def _sketches(texts: list) -> list:
-    keys, sizes, out = [], [], []
-    known: dict[bytes, tuple] = {}
-    for b in texts:
-        b = (b or b"").lower()
-        k = _key(b)
-        if k not in known:
-            s = shingle_set(word_hashes(b))
-            known[k] = (k, len(s), bands(short(fill(s, T))).tolist()) if len(s) else (None, 0, None)
-        got = known[k]
-        keys.append(got[0]), sizes.append(got[1]), out.append(got[2])
-    return [keys, sizes, out]
+def _sketches(shingle: int):
+    def run(texts: list) -> list:
+        keys, sizes, out = [], [], []
+        known: dict[bytes, tuple] = {}
+        for b in texts:
+            b = (b or b"").lower()
+            k = _key(b)
+            if k not in known:
+                s = shingle_set(word_hashes(b), shingle)
+                known[k] = (k, len(s), bands(short(fill(s, T))).tolist()) if len(s) else (None, 0, None)
+            got = known[k]
+            keys.append(got[0]), sizes.append(got[1]), out.append(got[2])
+        return [keys, sizes, out]
 
+    return lambda: run
 
-def _sets(texts: list) -> list:
-    keys, sets = [], []
-    for b in texts:
-        b = (b or b"").lower()
-        keys.append(_key(b)), sets.append(shingle_set(word_hashes(b)).tobytes())
-    return [keys, sets]
+
+def _sets(shingle: int):
+    def run(texts: list) -> list:
+        keys, sets = [], []
+        for b in texts:
+            b = (b or b"").lower()
+            keys.append(_key(b)), sets.append(shingle_set(word_hashes(b), shingle).tobytes())
+        return [keys, sets]
+
+    return lambda: run
 
 
 def linked(a: np.ndarray, b: np.ndarray, limit: int) -> bool:
@@ -124,9 +131,9 @@ def _linker(limit: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", limit: int = LIMIT) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row per document."""
-    rows = map_text(docs.select(name(key).alias("_id"), name(text).alias("_text")), lambda: _sketches, "class binary, n long, sketch array<long>", "_text", ["_id"])
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", limit: int = LIMIT, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row per document; links at `limit` percent of shingles of `shingle` words."""
+    rows = map_text(docs.select(name(key).alias("_id"), name(text).alias("_text")), _sketches(shingle), "class binary, n long, sketch array<long>", "_text", ["_id"])
     rows = stored(rows.select(F.col("row._id").alias("doc_id"), "class", "n", "sketch"), "sketches")
     classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
@@ -141,7 +148,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", li
     if picked.count() <= BROADCAST_ROWS:  # then only the texts of candidates are shuffled
         texts = texts.join(F.broadcast(picked.select("least")), F.col("_id").eqNullSafe(F.col("least")), "left_semi")
     found = texts.join(picked, F.col("_id").eqNullSafe(F.col("least")))
-    found = map_text(found, lambda: _sets, "own binary, shingles binary", "_text", ["node", "cluster", "class", "sketch"])
+    found = map_text(found, _sets(shingle), "own binary, shingles binary", "_text", ["node", "cluster", "class", "sketch"])
     members = stored(found.where("own = row.class").select("row.node", "row.cluster", "row.sketch", "shingles").dropDuplicates(["node"]), "members")
 
     sizes = members.groupBy("cluster").agg(F.count("*").alias("rows"), F.sum(F.length("shingles")).alias("bytes"))

@@ -59,7 +59,7 @@ def pack_documents(docs: DataFrame) -> DataFrame:
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document."""
-    return minhash.near_duplicates(table(spark, sf_dir, "documents")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), limit=85, shingle=3).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,7 +46,7 @@ def runs(w: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def shingle_set(w: np.ndarray, n: int = 3) -> np.ndarray:
+def shingle_set(w: np.ndarray, n: int = 5) -> np.ndarray:
     """Sorted distinct run hashes; with fewer words, the whole sequence as one; without words none."""
     if not len(w):
         return w
