@@ -25,11 +25,15 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the least id."""
-    out = stored(minhash.near_duplicates(docs, limit=LIMIT, shingle=SHINGLE).where("component_id <> doc_id").select("doc_id").distinct(), "copies")
+    """One row of each group of near-duplicates: the one with the least id (null ids last), then the least row number."""
+    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")  # written, so numbers stay
+    near = minhash.near_duplicates(numbered, key="_row", limit=LIMIT, shingle=SHINGLE).select(F.col("doc_id").alias("_row"), "component_id")
+    rows = stored(near.join(numbered.select("_row", "doc_id"), "_row"), "grouped")
+    kept = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("k")).select("k._row")
+    out = stored(rows.join(kept, "_row", "left_anti").select("_row"), "copies")
     if out.count() <= minhash.BROADCAST_ROWS:
         out = F.broadcast(out)
-    return docs.join(out, "doc_id", "left_anti").select(docs.columns)
+    return numbered.join(out, "_row", "left_anti").select(docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
