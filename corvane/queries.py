@@ -290,6 +290,14 @@ def context_block(spark, sf_dir):
     return got.select("query_id", F.array_join(F.col("xs.x"), "\n\n").alias("block"))
 
 
+@query(RERANK + " select query_id, string_agg('[' || path || ']' || chr(10) || content, chr(10) || chr(10) order by position) as block from r join (select doc_id, source || '/' || doc_id as path, coalesce(text, '') as content from documents) on doc_id = record_id group by query_id")
+def context_block_whole(spark, sf_dir):
+    """The context of every question: path and whole content of each of its TOP documents."""
+    item = F.concat(F.lit("["), "path", F.lit("]\n"), F.coalesce("snippet", F.lit("")))
+    got = answered(spark, sf_dir).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("position", item.alias("x")))).alias("xs"))
+    return got.select("query_id", F.array_join(F.col("xs.x"), "\n\n").alias("block"))
+
+
 @query("select conv_id, array_to_string(list_sort(list_distinct(list(role))), '|') as roles from conversations where role <> '' group by conv_id")
 def citation_dedupe(spark, sf_dir):
     g = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_set("role").alias("r"))
