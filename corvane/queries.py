@@ -134,6 +134,27 @@ def function_snippets(spark, sf_dir):
     return cut.select(F.concat("path", F.lit(":"), "s", F.lit("-"), "s").alias("record_id"), T.line_range(F.col("content"), F.col("s"), F.col("s")).alias("snippet"))
 
 
+WHOLE_LINES = f"select f.path, s, ls[s] as x from ({LINES}) f, unnest(range(1, len(ls) + 1)) t(s) where ls[s] <> ''"
+
+
+def line_spans(spark, sf_dir):
+    """Every line that isn't empty, with its number from 1."""
+    f = files(spark, sf_dir).select("path", F.posexplode(T.lines(F.col("content"))).alias("i", "x")).where("x <> ''")
+    return f.select("path", F.concat("path", F.lit(":"), F.col("i") + 1, F.lit("-"), F.col("i") + 1).alias("record_id"), "x")
+
+
+@query(f"select path || ':' || s || '-' || s as record_id, x as snippet from ({WHOLE_LINES})")
+def function_snippets_whole(spark, sf_dir):
+    return line_spans(spark, sf_dir).select("record_id", F.col("x").alias("snippet"))
+
+
+@query(f"""select path as record_id, 'file' as scope, path, null::varchar as name from ({FILES}) union all
+    select path || ':' || s || '-' || s, 'function', path, left(x, 20) from ({WHOLE_LINES})""")
+def index_records_whole(spark, sf_dir):
+    whole = files(spark, sf_dir).select(F.col("path").alias("record_id"), F.lit("file").alias("scope"), "path", F.lit(None).cast("string").alias("name"))
+    return whole.unionByName(line_spans(spark, sf_dir).select("record_id", F.lit("function").alias("scope"), "path", F.substring("x", 1, 20).alias("name")))
+
+
 @query(r"select doc_id, left(regexp_replace(string_split(text, chr(10))[1], '^\s+|\s+$', '', 'g'), 200) as signature from documents")
 def node_signature(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.signature(F.col("text")).alias("signature"))

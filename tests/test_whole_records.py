@@ -1,6 +1,7 @@
-"""Queries that hold whole contents, not their first characters."""
+"""Queries that hold whole contents, not their first characters or lines."""
 
 from corvane import queries
+from corvane.sources.tables import files
 
 SF = "/root/testdata/sf0.001"
 
@@ -11,3 +12,11 @@ def test_context_holds_whole_documents(spark):
     for r in queries.answered(spark, SF).select("query_id", "position", "path", "snippet").orderBy("query_id", "position").collect():
         want.setdefault(r.query_id, []).append(f"[{r.path}]\n{r.snippet or ''}")
     assert got == {q: "\n\n".join(x) for q, x in want.items()} and max(map(len, want.values())) == queries.TOP
+
+
+def test_every_line_is_a_record(spark):
+    want = {(f"{r.path}:{i}-{i}", x) for r in files(spark, SF).collect() for i, x in enumerate((r.content or "").split("\n"), 1) if x}
+    got = [(r.record_id, r.snippet) for r in queries.QUERIES["function_snippets_whole"](spark, SF).collect()]
+    assert len(got) == len(want) and set(got) == want and any(not k.endswith(("-1", "-2")) for k, _ in want)
+    index = queries.QUERIES["index_records_whole"](spark, SF).where("scope = 'function'").collect()
+    assert {(r.record_id, r.name) for r in index} == {(k, x[:20]) for k, x in want}
