@@ -490,6 +490,13 @@ def repo_stats(spark, sf_dir):
     return overview(spark, sf_dir)
 
 
+@query(f"select repo_id, sum(len(list_filter(ls, lambda x: x <> '')))::bigint as function_count from ({LINES}) group by repo_id")
+def repo_functions(spark, sf_dir):
+    """Lines, which stand for functions, of every repository; `pages` has no repository, so edges can't be counted by it."""
+    n = F.size(F.filter(T.lines(F.col("content")), lambda x: x != ""))
+    return files(spark, sf_dir).groupBy("repo_id").agg(F.sum(F.when(F.col("content").isNotNull(), n)).alias("function_count"))
+
+
 @query(f"select count(*) as total_queries, coalesce(round(avg(latency_ms), 1), 0.0) as avg_latency_ms, coalesce(round(avg(citations), 1), 0.0) as avg_citations from ({LOG})")
 def session_stats(spark, sf_dir):
     return stats.session(query_log(spark, sf_dir))

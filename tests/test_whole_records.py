@@ -20,3 +20,10 @@ def test_every_line_is_a_record(spark):
     assert len(got) == len(want) and set(got) == want and any(not k.endswith(("-1", "-2")) for k, _ in want)
     index = queries.QUERIES["index_records_whole"](spark, SF).where("scope = 'function'").collect()
     assert {(r.record_id, r.name) for r in index} == {(k, x[:20]) for k, x in want}
+
+
+def test_functions_of_every_repository(spark):
+    want = {}
+    for r in files(spark, SF).collect():
+        want[r.repo_id] = want.get(r.repo_id, 0) + sum(x != "" for x in (r.content or "").split("\n"))
+    assert {r.repo_id: r.function_count for r in queries.QUERIES["repo_functions"](spark, SF).collect()} == want
