@@ -26,11 +26,17 @@ def word_hashes(b: bytes) -> np.ndarray:
     start = np.flatnonzero(begins)
     if not len(start):
         return np.zeros(0, np.uint64)
-    place = np.arange(len(x)) - np.repeat(start, np.diff(np.append(start, len(x)))) if start[0] == 0 else np.arange(len(x)) - np.concatenate((np.zeros(start[0], np.int64), np.repeat(start, np.diff(np.append(start, len(x))))))
+    return span_hashes(x, start, space)
+
+
+def span_hashes(x: np.ndarray, start: np.ndarray, space: np.ndarray | None = None) -> np.ndarray:
+    """One 64-bit hash for each span of bytes that begins at `start`, without the bytes marked in `space`."""
+    place = np.arange(len(x)) - np.repeat(np.append(0, start), np.diff(np.concatenate(([0], start, [len(x)]))))
     value = _TABLE[place & 63, x]
     if place.max() > 63:
         value *= (2 * (place >> 6) + 1).astype(np.uint64)
-    value[space] = 0
+    if space is not None:
+        value[space] = 0
     return mix(np.add.reduceat(value, start))
 
 
