@@ -8,7 +8,8 @@
 3. Verification inside clusters, in blocks of bounded size: pairs whose sketches agree enough are checked on their full
    sets, most similar first, unless they are already linked. Members of a cluster that spans several blocks are dealt
    out twice by different hashes, which unites its bulk; whoever is still outside the largest part is then compared
-   with all members, block against block. No link between different components is left unchecked.
+   with the members of its own buckets, block against block, unless a bucket is of one part already. No candidate pair
+   of different parts is left unchecked.
 4. Components of the verified links; the least id stands for each.
 
 Links: 100 * |A & B| >= limit * |A | B|. Defined cases: null, empty and word-less texts have no shingles and link with
@@ -29,11 +30,11 @@ from corvane.llm.components import components
 from corvane.llm.rows import map_text, name
 from corvane.llm.shingles import shingle_set, word_hashes
 from corvane.llm.sketch import bands, fill, short
-from corvane.scratch import stored
+from corvane.scratch import small, stored
 
 T, SHINGLE, LIMIT = 96, 5, 85  # op6 and the pipeline each pass their own words and percent
 BLOCK_ROWS, BLOCK_BYTES = 512, 24 << 20
-BROADCAST_ROWS = 2_000_000  # ids of 8 bytes; more are joined by shuffle
+BROADCAST_ROWS = 1_000_000  # narrow rows; more are joined by shuffle
 
 
 def _key(b: bytes) -> bytes:
@@ -135,15 +136,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", li
     """(doc_id, n_shingles, component_id), one row per document; links at `limit` percent of shingles of `shingle` words."""
     rows = map_text(docs.select(name(key).alias("_id"), name(text).alias("_text")), _sketches(shingle), "class binary, n long, sketch array<long>", "_text", ["_id"])
     rows = stored(rows.select(F.col("row._id").alias("doc_id"), "class", "n", "sketch"), "sketches")
-    classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     banded = classes.select("node", F.posexplode("sketch").alias("band", "value"))
     buckets = banded.groupBy("band", "value").agg(F.min("node").alias("centre"), F.count("*").alias("members")).where("members > 1").select("band", "value", "centre")
+    buckets = small(buckets, "buckets", BROADCAST_ROWS)
     near = banded.join(buckets, ["band", "value"]).where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
     clusters = components(near).withColumnRenamed("root", "cluster")
 
-    picked = stored(clusters.join(classes, "node").select("node", "cluster", "class", "least", "sketch"), "picked")
+    picked = stored(classes.join(clusters, "node").select("node", "cluster", "class", "least", "sketch"), "picked")
     texts = docs.select(name(key).alias("_id"), name(text).cast("string").alias("_text"))
     if picked.count() <= BROADCAST_ROWS:  # then only the texts of candidates are shuffled
         texts = texts.join(F.broadcast(picked.select("least")), F.col("_id").eqNullSafe(F.col("least")), "left_semi")
@@ -153,7 +155,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", li
 
     sizes = members.groupBy("cluster").agg(F.count("*").alias("rows"), F.sum(F.length("shingles")).alias("bytes"))
     sizes = sizes.select("cluster", F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    members = members.join(stored(sizes, "sizes"), "cluster")  # a written side leaves a hot cluster to be split
+    members = members.join(small(sizes, "sizes", BROADCAST_ROWS), "cluster")  # written, which leaves a hot cluster to be split
     wide = members.where("blocks > 1")
 
     def dealt(salt: int) -> Column:
@@ -169,20 +171,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", li
         inside = verified.join(wide.select(F.col("node").alias("a")), "a", "left_semi")
         wide = stored(wide.join(components(inside), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "wide")
         part = wide.groupBy("cluster", "label").agg(F.count("*").alias("k"))
-        core = part.groupBy("cluster").agg(F.max_by("label", F.struct("k", "label")).alias("core"))
-        core = stored(core, "core")
-        outer = wide.join(core, "cluster").where("label <> core").drop("core")
-        # every block of outsiders against every block of the cluster, as far as the latter goes
-        count = outer.groupBy("cluster").agg(F.count("*").alias("rows"), F.sum(F.length("shingles")).alias("bytes"))
-        count = count.select("cluster", F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("outside"))
-        count = stored(count, "outside")
-        o = outer.join(count, "cluster").withColumn("x", F.pmod(F.xxhash64("node", F.lit(3)), F.col("outside")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        a = wide.join(count, "cluster").withColumn("y", dealt(4)).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("outside") - 1)))
-        cols = ["cluster", "x", "y", "label", "node", "side", "sketch", "shingles"]
-        blocks = o.withColumn("side", F.lit(0)).select(cols).union(a.withColumn("side", F.lit(1)).select(cols))
-        verified = verified.union(stored(blocks.groupBy("cluster", "x", "y").applyInArrow(_linker(limit), "a long, b long"), "links"))
-
-    joined = classes.join(components(verified), "node", "left").select("class", "least", F.coalesce("root", "node").alias("root"))
-    ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = joined.join(ids, "root").select("class", "component_id")
+        core = small(part.groupBy("cluster").agg(F.max_by("label", F.struct("k", "label")).alias("core")), "core", BROADCAST_ROWS)
+        banded = stored(wide.join(core, "cluster").select("node", "label", (F.col("label") != F.col("core")).alias("out"), F.length("shingles").alias("bytes"), F.posexplode("sketch").alias("band", "value")), "banded")
+        # buckets of several parts: every block of outsiders against every block of the bucket's members
+        outside = F.when(F.col("out"), F.col("bytes"))
+        count = banded.groupBy("band", "value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(outside).alias("o"), F.sum(outside).alias("ob"), F.count("*").alias("m"), F.sum("bytes").alias("mb")).where("lo <> hi")
+        blocks_of = lambda n, size: F.greatest(F.ceil(F.col(n) / BLOCK_ROWS), F.ceil(F.col(size) / BLOCK_BYTES)).cast("int")
+        asked = banded.join(small(count.select("band", "value", blocks_of("o", "ob").alias("xs"), blocks_of("m", "mb").alias("ys")), "open", BROADCAST_ROWS), ["band", "value"])
+        at = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = asked.where("out").select("band", "value", "node", at(3, "xs").alias("x"), every("ys").alias("y"), F.lit(0).alias("side"))
+        right = asked.select("band", "value", "node", every("xs").alias("x"), at(4, "ys").alias("y"), F.lit(1).alias("side"))
+        blocks = left.union(right).join(wide.select("node", "label", "sketch", "shingles"), "node")
+        verified = verified.union(stored(blocks.groupBy("band", "value", "x", "y").applyInArrow(_linker(limit), "a long, b long"), "links"))
+
+    roots = components(verified)
+    joined = classes.join(roots, "node", "left").select("class", "least", "copies", "root", F.coalesce("root", "node").alias("part"))
+    ids = joined.where("root is not null").groupBy("part").agg(F.min("least").alias("component_id"))
+    named = joined.join(ids, "part", "left").where("copies > 1 or root is not null").select("class", F.coalesce("component_id", "least").alias("component_id"))
+    named = small(named, "named", BROADCAST_ROWS)  # classes of several rows or with links; any other row is its own component
     return rows.join(named, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -25,10 +25,10 @@ from pyspark.sql import types as T
 
 from corvane.llm.rows import map_text, name, slices
 from corvane.llm.shingles import mix, runs, word_hashes
-from corvane.scratch import stored
+from corvane.scratch import small, stored
 
 LENGTH, ANCHOR = 35, 8
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000  # narrow rows; more are joined by shuffle
 
 
 class Spans:
@@ -73,15 +73,17 @@ def _seeds(length: int, gram: int):
 def repeated(docs: DataFrame, text: str, key: str, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
     """The texts (d, their columns in `row`) and, by d, their repeated places: `whole` anchors and single `starts`."""
     texts = docs.select(F.struct(*[name(c) for c in docs.columns]).alias("row"), name(text).cast("string").alias("_text"), F.xxhash64(name(key), F.xxhash64(name(text), F.lit(1))).alias("d"))
-    seeds = map_text(texts, _seeds(length, gram), "spans array<struct<a:long,c:long>>", "_text", ["d"])
-    seeds = seeds.select("row.d", F.posexplode("spans").alias("j", "s")).select("d", "j", "s.a", "s.c")
+    spans = map_text(texts, _seeds(length, gram), "spans array<struct<a:long,c:long>>", "_text", ["d"])
+    seeds = stored(spans.where(F.size("spans") > 0).select("row.d", "spans"), "spans").select("d", F.posexplode("spans").alias("j", "s")).select("d", "j", "s.a", "s.c")
+    # rows that are counted small are broadcast; beyond, a written side leaves a hot anchor to be split
     often = seeds.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").select("a")
-    seeds = stored(seeds.join(stored(often, "often"), "a"), "seeds")  # a written side leaves a hot anchor to be split
+    seeds = stored(seeds.join(small(often, "often", BROADCAST_ROWS), "a"), "seeds")
 
     contexts = seeds.groupBy("a", "c").agg(F.count("*").alias("k"), F.min(F.struct("d", "j")).alias("one"))
     contexts = stored(contexts, "contexts")
-    mixed = contexts.groupBy("a").agg(F.count("*").alias("ways")).where("ways > 1").select("a")
-    whole = seeds.join(contexts.where("k > 1").select("a", "c"), ["a", "c"], "left_semi").groupBy("d").agg(F.collect_set("j").alias("whole"))
+    mixed = small(contexts.groupBy("a").agg(F.count("*").alias("ways")).where("ways > 1").select("a"), "mixed", BROADCAST_ROWS)
+    again = small(contexts.where("k > 1").select("a", "c"), "again", BROADCAST_ROWS)
+    whole = seeds.join(again, ["a", "c"], "left_semi").groupBy("d").agg(F.collect_set("j").alias("whole"))
     asked = contexts.join(mixed, "a", "left_semi").select("one.d", "one.j", "k").groupBy("d").agg(F.collect_list(F.struct("j", (F.col("k") > 1).alias("known"))).alias("asked"))
     asked = stored(asked, "asked")
 
@@ -128,7 +130,13 @@ def substring_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", le
     base = docs.select(*[name(c) for c in dict.fromkeys([*carry, key, text])])
     texts, places = repeated(base, text, key, length, gram)
     texts = texts.select(F.struct(*[F.col("row")[c].alias(c) for c in carry]).alias("row"), "_text", "d")
-    joined = texts.join(places, "d", "left").select("row", "_text", "whole", "starts")
+    places = stored(places, "places")
+    held = places.select("d")
+    if places.count() <= BROADCAST_ROWS:  # then only texts with places are shuffled
+        none = texts.join(F.broadcast(held), "d", "left_anti").select("row", "_text", *[F.lit(None).cast("array<int>").alias(c) for c in ("whole", "starts")])
+        joined = texts.join(F.broadcast(held), "d", "left_semi").join(places, "d").select("row", "_text", "whole", "starts").union(none)
+    else:
+        joined = texts.join(places, "d", "left").select("row", "_text", "whole", "starts")
     out_type = T.StructType([joined.schema["row"], *T._parse_datatype_string("n_words long, n_removed long, kept string").fields])
 
     def cut(batches):
