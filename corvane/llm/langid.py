@@ -6,9 +6,10 @@ k-means makes `k` centroids. A text gets the language of the centroid with the h
 column of its own; the nearest language is still given) when it lies farther from it than nearly all (`quantile`) of
 that centroid's own training texts.
 
-`sample` bounds the rows learned from (smallest hashes of their ids, within each language); every row is predicted.
-Defined cases: null text or no letter: `und`, score 0; nothing to learn from: `und` everywhere; equal cosines: the
-alphabetically first language; repeated rows predict alike; input columns are carried in `row`.
+`sample` bounds the rows learned from: an equal share for every language there is, 20 at least, of those with the
+smallest hashes of id and text; every row is predicted. Defined cases: null text or no letter: `und`, score 0; nothing to
+learn from: `und` everywhere; equal cosines: the alphabetically first language; rows repeated in id and text teach once
+and predict alike; rows with a null id teach like others where `keep` lets them; input columns are carried in `row`.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.rows import map_text, name
+from corvane.scratch import small
 
 FIELDS = "lang_pred string, score double, rejected boolean"
 
@@ -97,22 +99,21 @@ class Model:
         return predict
 
 
-def train_rows(docs: DataFrame, keep: Column, sample: int, text: str = "text", lang: str = "lang", key: str = "doc_id") -> list:
-    """At most `sample` (text, lang) rows in all, an equal share for each language (by hash of the id)."""
+def train_rows(docs: DataFrame, keep: Column, sample: int, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
+    """(_id, lang, text) rows to learn from: about `sample` in all, the same number for each language.
+
+    A row's hash is compared with its language's share, so no language's rows are ordered or meet in one task.
+    """
     rows = docs.select(name(key).alias("_id"), name(lang).cast("string").alias("lang"), name(text).cast("string").alias("text")).where("lang is not null and text is not null").where(keep)
-    known = [r["lang"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()]
-    out = []
-    for v in known:
-        one = rows.where(F.col("lang") == v).select("_id", "lang", F.xxhash64("_id", F.lit(29)).alias("h")).orderBy("h", "_id").limit(max(1, sample // len(known)))
-        out.append(one.select("_id").distinct())
-    ids = out[0] if out else rows.select("_id").limit(0)
-    for o in out[1:]:
-        ids = ids.union(o)
-    return rows.join(F.broadcast(ids), "_id").select("_id", "lang", "text")
+    known = small(rows.groupBy("lang").agg(F.count("*").alias("n")), "langs")
+    share = max(20, sample // max(1, known.count()))
+    h = F.xxhash64("_id", F.xxhash64("text"), F.lit(29))
+    drawn = rows.withColumn("h", h).join(known, "lang").where(F.col("h") / F.lit(float(1 << 64)) + 0.5 < F.lit(float(share)) / F.col("n"))
+    return drawn.groupBy("lang", "h").agg(F.first("_id").alias("_id"), F.first("text").alias("text")).select("_id", "lang", "text")
 
 
-def learn(train: DataFrame, sample: int, k: int = 4, dims: int = 8192, quantile: float = 0.005) -> Model:
-    """Centroids from (lang, text) rows, at most `sample` of them. Vectors are made on the executors."""
+def learn(train: DataFrame, k: int = 4, dims: int = 8192, quantile: float = 0.005) -> Model:
+    """Centroids from (lang, text) rows, whose number the caller has bounded. Vectors are made on the executors."""
 
     def make():
         def run(texts: list) -> list:
@@ -125,8 +126,8 @@ def learn(train: DataFrame, sample: int, k: int = 4, dims: int = 8192, quantile:
 
         return run
 
-    rows = map_text(train, make, "sparse binary", "text", ["_id", "lang"]).select("row.lang", "sparse", "row._id").toPandas()  # at most `sample` sparse rows
-    rows = rows.sort_values(["lang", "_id"], kind="stable").head(max(sample, 1) * 2)
+    rows = map_text(train, make, "sparse binary", "text", ["_id", "lang"]).select("row.lang", "sparse", "row._id").toPandas()  # sparse rows
+    rows = rows.sort_values(["lang", "_id", "sparse"], kind="stable")
     x = np.zeros((len(rows), dims), np.float32)
     for i, b in enumerate(rows["sparse"]):
         n = len(b) // 4

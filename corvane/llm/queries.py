@@ -91,7 +91,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document; learned outside the held-out quarter."""
     docs = table(spark, sf_dir, "documents")
     train = langid.train_rows(docs, F.coalesce(toxicity.split_of(F.col("_id"), 4), F.lit(-1)) != 2, LANG_ROWS)
-    got = langid.language_id(docs, langid.learn(train, LANG_ROWS), carry=["doc_id"]).select("row.doc_id", "lang_pred", "score", "rejected")
+    got = langid.language_id(docs, langid.learn(train), carry=["doc_id"]).select("row.doc_id", "lang_pred", "score", "rejected")
     return got.select("doc_id", (split_mod(4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 

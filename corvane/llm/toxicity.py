@@ -8,10 +8,11 @@ clean documents use and toxic ones never do becomes an exception, which cancels
 score is the sum of its hits' weights over log2(2 + words); a one-variable logistic curve, fitted on the same labelled
 rows, turns it into 0..1.
 
-`sample` bounds the labelled rows that are learned from (those with the smallest hash of their id) and `terms` the
+`sample` bounds the labelled rows that are learned from (those with the smallest hash of their id), and by that the
 lexicon; scoring covers every row. Defined cases: null and empty texts have no hit and get the curve's value at 0; no
 labelled rows, or one class only: the lexicon is empty and the score is the smoothed share of toxic labels; null labels
-and ids teach nothing; several labels of one id: the largest holds; input columns are carried in `row`.
+and ids teach nothing; several labels of one id: the largest holds; several texts of one id: the least is learned from;
+repeated rows score alike; of several hits at one word the heaviest counts; input columns are carried in `row`.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -72,10 +75,10 @@ def split_of(doc_id: Column, by: int) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, keep: Column, sample: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(text, y) of at most `sample` labelled documents: those whose id is in `labels` with a label and passes `keep`."""
+    """(text, y) of at most `sample` labelled documents, one for each id: those that are in `labels` and pass `keep`."""
     ids = labels.select(name(key).alias("_id"), name(label).cast("int").alias("y")).where("_id is not null and y is not null").where(keep)
     ids = ids.groupBy("_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64(F.col("_id"), F.lit(17)), "_id").limit(sample)
-    return docs.select(name(key).alias("_id"), name(text).cast("string").alias("text")).where("text is not null").join(F.broadcast(ids), "_id").select("text", "y")
+    return docs.select(name(key).alias("_id"), name(text).cast("string").alias("text")).where("text is not null").join(F.broadcast(ids), "_id").groupBy("_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y")
 
 
 def term_counts(train: DataFrame, most: int = 300_000) -> DataFrame:
@@ -98,7 +101,7 @@ def term_counts(train: DataFrame, most: int = 300_000) -> DataFrame:
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words, into = set(folded((text or "").encode())), held[int(y == 1)]
-                for t in {"=" + w for w in words if len(w) < 40} | {"^" + w[:n] for w in words for n in (4, 5, 6) if len(w) >= n}:
+                for t in {"=" + w for w in words} | {"^" + w[:n] for w in words for n in (4, 5, 6) if len(w) >= n}:
                     into[t] = into.get(t, 0) + 1
                 if len(held[0]) + len(held[1]) > most:
                     yield out()
@@ -138,8 +141,11 @@ class Lexicon:
                 else:
                     at = end - len(t) + (0 if t[0] == "=" else 1)
                     best[at] = max(best.get(at, 0.0), w)
-            if free:
-                best = {k: v for k, v in best.items() if not any(a <= k < z for a, z in free)}
+            if free:  # exceptions in the order of their beginnings, each with the farthest end so far
+                free.sort()
+                ends = list(accumulate((z for _, z in free), max))
+                begins = [a for a, _ in free]
+                best = {k: v for k, v in best.items() if not (n := bisect_right(begins, k)) or ends[n - 1] <= k}
             return len(words), [(line, k, v) for k, v in best.items()]
 
         def score(texts: list) -> list:
@@ -186,8 +192,9 @@ def specific(found: dict[str, tuple[int, float]]) -> dict[str, float]:
     return kept
 
 
-def learn(train: DataFrame, terms: int = 4000, support: int = 6, odds: float = 3.0) -> Lexicon:
-    """A Lexicon from (text, y) rows. Counts are made on the executors; the driver gets the chosen terms only."""
+def learn(train: DataFrame, support: int = 6, odds: float = 3.0) -> Lexicon:
+    """A Lexicon from (text, y) rows. Counts are made on the executors; the driver gets the chosen terms only,
+    which the rows bound."""
     train = stored(train, "toxic-train")
     n = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
     tox, clean = n.get(1, 0), n.get(0, 0)
@@ -196,7 +203,7 @@ def learn(train: DataFrame, terms: int = 4000, support: int = 6, odds: float = 3
         return Lexicon({}, curve=(0.0, math.log(share / (1 - share))))
     counts = term_counts(train)
     w = F.log((F.col("a") + 0.5) / (tox + 1)) - F.log((F.col("b") + 0.5) / (clean + 1))
-    got = counts.where(F.col("a") >= support).withColumn("w", w).where(F.col("w") >= odds).orderBy(F.desc(F.col("a") * F.col("w")), "t").limit(terms).collect()
+    got = counts.where(F.col("a") >= support).withColumn("w", w).where(F.col("w") >= odds).collect()
     weights = specific({r["t"]: (r["a"], float(r["w"])) for r in got})
     first = Lexicon(weights)
 
@@ -222,7 +229,7 @@ def learn(train: DataFrame, terms: int = 4000, support: int = 6, odds: float = 3
 
     near = map_text(train, phrases, "near array<string>", "text", ["y"])
     by = near.select(F.col("row.y").alias("y"), F.explode("near").alias("p")).groupBy("p").agg(F.sum(F.col("y").cast("long")).alias("a"), F.count("*").alias("n"))
-    exceptions = frozenset(r["p"] for r in by.where("a = 0 and n >= 3").orderBy(F.desc("n"), "p").limit(terms).collect())
+    exceptions = frozenset(r["p"] for r in by.where("a = 0 and n >= 3").collect())
     unit = Lexicon(weights, exceptions, (1.0, 0.0))
     scored = map_text(train, unit.matcher, FIELDS, "text", ["y"]).select("row.y", F.log(F.col("score") / (1 - F.col("score"))).alias("x")).toPandas()  # two numbers for each sampled row
     return Lexicon(weights, exceptions, fit_curve(scored["x"].to_numpy(float), scored["y"].to_numpy(float)))
