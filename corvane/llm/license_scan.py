@@ -21,7 +21,7 @@ from corvane.llm.rows import map_text
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Fixed values of the contract.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Label and template.
+#: Label and template: notices of a line, then whole licences and headers. Wording is fixed by the licences.
 TEMPLATES = {
     "apache-2.0": "licensed under the apache license <<opt>>version<</opt>> 2 0",
     "cc-by-family": "<<opt>>this work is<</opt>> licensed under <<opt>>the<</opt>> <<opt>>creative commons<</opt>> cc by <<var 0-3>> <<opt>>international<</opt>> 4 0",
@@ -30,6 +30,34 @@ TEMPLATES = {
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software",
     "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted provided that",
     "reserved-notice": "<<opt>>copyright <<var 1-8>><</opt>> all rights reserved",
+    "apache-2.0-header": """licensed under the apache license version 2 0 the license you may not use this file except in compliance
+        with the license you may obtain a copy of the license at <<var 1-1>> www apache org licenses license 2 0 unless
+        required by applicable law or agreed to in writing software distributed under the license is distributed on an
+        as is basis without warranties or conditions of any kind either express or implied see the license for the
+        specific language governing permissions and limitations under the license""",
+    "bsd-2-clause": """redistribution and use in source and binary forms with or without modification are permitted provided that
+        the following conditions are met <<opt>>1<</opt>> redistributions of source code must retain the above copyright
+        notice this list of conditions and the following disclaimer <<opt>>2<</opt>> redistributions in binary form must
+        reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation
+        and or other materials provided with the distribution this software is provided by <<var 1-12>> as is and any
+        express or implied warranties including but not limited to the implied warranties of merchantability and fitness
+        for a particular purpose are disclaimed""",
+    "bsd-3-clause": """redistribution and use in source and binary forms with or without modification are permitted provided that
+        the following conditions are met <<opt>>1<</opt>> redistributions of source code must retain the above copyright
+        notice this list of conditions and the following disclaimer <<opt>>2<</opt>> redistributions in binary form must
+        reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation
+        and or other materials provided with the distribution <<opt>>3<</opt>> neither the name of <<var 1-12>> nor the
+        names of its contributors may be used to endorse or promote products derived from this software without
+        specific prior written permission""",
+    "isc-text": """permission to use copy modify and <<opt>>or<</opt>> distribute this software for any purpose with or without
+        fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies
+        the software is provided as is and <<var 1-6>> disclaims all warranties with regard to this software""",
+    "mit-text": """permission is hereby granted free of charge to any person obtaining a copy of this software and associated
+        documentation files the software to deal in the software without restriction including without limitation the
+        rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit
+        persons to whom the software is furnished to do so subject to the following conditions the above copyright
+        notice and this permission notice <<opt>>including the next paragraph<</opt>> shall be included in all copies or
+        substantial portions of the software the software is provided as is without warranty of any kind""",
 }
 FIELDS = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
@@ -159,12 +187,3 @@ def scanner(templates: dict = TEMPLATES, phrases: dict = PHRASES):
 def license_scan(docs: DataFrame, text: str = "text", carry: list[str] | None = None, templates: dict = TEMPLATES) -> DataFrame:
     """`row` and the columns of FIELDS. score: 1 where a template accepts, 0.5 where only a base phrase stands, else 0."""
     return map_text(docs, scanner(templates), FIELDS, text, carry)
-
-
-def as_regex(template: str) -> str:
-    """The template as a regular expression over words that each follow one space (for SQL)."""
-
-    def of(parts: list) -> str:
-        return "".join(f" {p}" if isinstance(p, str) else f"(?:{of(p[1])})?" if p[0] == "opt" else f"(?: [^ ]+){{{p[1]},{p[2]}}}" for p in parts)
-
-    return of(parse(template))

@@ -59,6 +59,7 @@ def failures() -> dict:
 def host_rates(measured: DataFrame, max_strength: float = 1e4) -> DataFrame:
     """Per host: n, the failures of each rule and its shrunk rate. `measured` has `host` and the columns of FIELDS."""
     by = measured.where("host is not null").groupBy("host").agg(F.count("*").alias("n"), *[F.sum(v.cast("long")).alias(f"f_{k}") for k, v in failures().items()])
+    by = stored(by, "host-counts")
     rate = {k: F.col(f"f_{k}") / F.col("n") for k in RULES}
     spread = by.agg(*[f(v).alias(f"{a}_{k}") for k, v in rate.items() for a, f in (("m", F.avg), ("v", F.var_pop))]).first()  # one row
     shrunk = []
@@ -72,14 +73,16 @@ def host_rates(measured: DataFrame, max_strength: float = 1e4) -> DataFrame:
 def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", carry: list[str] | None = None, host_limit: float = 0.5) -> DataFrame:
     """`row` (the carried columns), the counts of FIELDS, base_failed, host_rejected and kept, one row per input row.
 
-    The measured rows are written once to the shared folder: the host counts and the join back read that narrow table.
-    Rejected hosts are counted: up to BROADCAST_ROWS are broadcast, so no row moves; more are joined by salted host.
+    Without the text among the carried columns, the measured rows are narrow and written once to the shared folder: the
+    host counts and the join back read that table. With it, no text is written: rows are measured once for the host
+    counts, and again beside the verdicts. Rejected hosts are counted: up to BROADCAST_ROWS are broadcast, so no row
+    moves; more are joined by salted host.
     """
     carry = list(docs.columns if carry is None else carry)
     inner = carry if host in carry else [*carry, host]
-    rows = map_text(docs, lambda: measure, FIELDS, text, inner if text in carry else [c for c in inner if c != text])
-    rows = stored(rows.withColumn("host", F.col("row")[host].cast("string")), "rules")
-    bad = host_rates(rows).where(F.greatest(*[F.col(f"rate_{k}") for k in RULES]) >= host_limit).select("host", F.lit(True).alias("host_rejected"))
+    measured = lambda c: map_text(docs, lambda: measure, FIELDS, text, c).withColumn("host", F.col("row")[host].cast("string"))
+    rows = measured(inner) if text in carry else stored(measured(inner), "rules")
+    bad = host_rates(measured([host]) if text in carry else rows).where(F.greatest(*[F.col(f"rate_{k}") for k in RULES]) >= host_limit).select("host", F.lit(True).alias("host_rejected"))
     rules = failures()
     base = F.coalesce(rules["short"] | rules["repetition"], F.lit(True))
     bad = stored(bad, "hosts")

@@ -101,9 +101,49 @@ WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 LICENSE_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
+#: What op3 must find, written out for SQL: phrases with their words, and each licence wording as a regular expression
+#: over words that follow one space each.
+PHRASE_WORDS = [("cc-by", ["cc", "by"]), ("gpl", ["general", "public", "license"]), ("reserved", ["all", "rights", "reserved"])]
+WORDINGS = {
+    "apache-2.0": r" licensed under the apache license(?: version)? 2 0",
+    "cc-by-family": r"(?: this work is)? licensed under(?: the)?(?: creative commons)? cc by(?: [^ ]+){0,3}(?: international)? 4 0",
+    "gpl-notice": r" licensed under the(?: gnu)?(?: lesser)? general public license(?: version(?: [^ ]+){1,1})?",
+    "mit": r"(?: released)?(?: licensed)? under the mit license",
+    "mit-grant": r" permission is hereby granted free of charge to any person obtaining a copy of this software",
+    "bsd-grant": r" redistribution and use in source and binary forms with or without modification are permitted provided that",
+    "reserved-notice": r"(?: copyright(?: [^ ]+){1,8})? all rights reserved",
+    "apache-2.0-header": r" licensed under the apache license version 2 0 the license you may not use this file except in compliance with the"
+    r" license you may obtain a copy of the license at(?: [^ ]+){1,1} www apache org licenses license 2 0 unless required by"
+    r" applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"
+    r" without warranties or conditions of any kind either express or implied see the license for the specific language"
+    r" governing permissions and limitations under the license",
+    "bsd-2-clause": r" redistribution and use in source and binary forms with or without modification are permitted provided that the"
+    r" following conditions are met(?: 1)? redistributions of source code must retain the above copyright notice this list"
+    r" of conditions and the following disclaimer(?: 2)? redistributions in binary form must reproduce the above copyright"
+    r" notice this list of conditions and the following disclaimer in the documentation and or other materials provided with"
+    r" the distribution this software is provided by(?: [^ ]+){1,12} as is and any express or implied warranties including"
+    r" but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "bsd-3-clause": r" redistribution and use in source and binary forms with or without modification are permitted provided that the"
+    r" following conditions are met(?: 1)? redistributions of source code must retain the above copyright notice this list"
+    r" of conditions and the following disclaimer(?: 2)? redistributions in binary form must reproduce the above copyright"
+    r" notice this list of conditions and the following disclaimer in the documentation and or other materials provided with"
+    r" the distribution(?: 3)? neither the name of(?: [^ ]+){1,12} nor the names of its contributors may be used to endorse"
+    r" or promote products derived from this software without specific prior written permission",
+    "isc-text": r" permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby"
+    r" granted provided that the above copyright notice and this permission notice appear in all copies the software is"
+    r" provided as is and(?: [^ ]+){1,6} disclaims all warranties with regard to this software",
+    "mit-text": r" permission is hereby granted free of charge to any person obtaining a copy of this software and associated"
+    r" documentation files the software to deal in the software without restriction including without limitation the rights"
+    r" to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to"
+    r" whom the software is furnished to do so subject to the following conditions the above copyright notice and this"
+    r" permission notice(?: including the next paragraph)? shall be included in all copies or substantial portions of the"
+    r" software the software is provided as is without warranty of any kind",
+}
+
+
 def license_sql() -> str:
-    hits = " union all ".join(f"select doc_id, i - 1 as place, '{label}' as label from w, unnest(range(1, len(ws) - {len(p.split()) - 2})) t(i) where ws[i:i + {len(p.split()) - 1}] = {p.split()}" for p, label in license_scan.PHRASES.items())
-    extra = ", ".join(f"case when regexp_matches(line, '{license_scan.as_regex(t)} ') then '{label}' end" for label, t in license_scan.TEMPLATES.items())
+    hits = " union all ".join(f"select doc_id, i - 1 as place, '{label}' as label from w, unnest(range(1, len(ws) - {len(p) - 2})) t(i) where ws[i:i + {len(p) - 1}] = {p}" for label, p in PHRASE_WORDS)
+    extra = ", ".join(f"case when regexp_matches(line, '{wording} ') then '{label}' end" for label, wording in WORDINGS.items())
     return f"""
     with w as (select doc_id, {LICENSE_WORDS} as ws from documents),
     hits as ({hits}),

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from array import array
 from collections import Counter
@@ -128,6 +129,15 @@ def test_license_scan(docs, none):
     assert license_scan.license_scan(none).count() == 0
 
 
+def test_whole_licences():
+    scan = license_scan.scanner()()
+    text = {k: re.sub(r"<<opt>>|<</opt>>", "", re.sub(r"<<var \d+-\d+>>", "someone", v)).encode() for k, v in license_scan.TEMPLATES.items()}
+    found = dict(zip(text, [x.split(",") for x in scan(list(text.values()))[5]], strict=True))
+    assert all(k in v for k, v in found.items()) and {"mit-text", "mit-grant"} <= set(found["mit-text"]) and "bsd-2-clause" not in found["bsd-3-clause"]
+    again = scan([text["mit-text"].replace(b" including the next paragraph", b""), text["mit-text"].replace(b"sublicense", b"license"), text["isc-text"].replace(b" or distribute", b", distribute").upper()])[5]
+    assert again == ["mit-grant,mit-text", "mit-grant", "isc-text"]
+
+
 def test_media_round_trip():
     for n in (0, 1, 63, 64, 65, 8064, 8065, 60000):
         p = media.payload_of(RNG.randbytes(n))
