@@ -1,4 +1,8 @@
-"""The corpus pipeline: documents in, packed training sequences out, in five stages that each read a written table."""
+"""The corpus pipeline: documents in, packed training sequences out, in five stages that each read a written table.
+
+In every stage: columns beside doc_id, text, source, lang and n_chars are carried, whatever their names; an empty table
+gives an empty result; very long texts are handled whole; rows that share an id, or have none, are judged one by one.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm import minhash, quality_rules, substring, toxicity
 from corvane.llm.queries import pack_documents, table, toxic_lexicon
+from corvane.llm.rows import name
 from corvane.scratch import stored
 
 #: Near-duplicates of the corpus: percent of common shingles, words of a shingle. op6 has its own, of its contract.
@@ -14,18 +19,29 @@ LIMIT, SHINGLE = 80, 5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules and whose host does."""
+    """Documents that pass the rules and whose host does.
+
+    Null and empty texts fail (too short); a null source is no host; repeated rows each count and share their verdict; a
+    host whose shrunk rate is just the limit is rejected.
+    """
     return quality_rules.quality_rules(docs).where("kept").select("row.*")
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't toxic by the lexicon, which is learned from the labelled ones among them."""
+    """Documents that aren't toxic by the lexicon, which is learned from the labelled ones among them.
+
+    Null and empty texts have no hit; a score of just 0.5 is toxic; repeated rows are judged alike; rows without a label
+    are judged like others; without labels of both kinds all documents get the smoothed share of toxic labels.
+    """
     lexicon = toxic_lexicon(docs, table(spark, sf_dir, "labels"))
     return toxicity.toxicity(docs, lexicon).where("predicted = 0").select("row.*")
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates: the one with the least id (null ids last), then the least row number."""
+    """One row of each group of near-duplicates: the one with the least id (null ids last), then the least row number.
+
+    Texts without words (null, empty, white space) are alike to none, so all their rows stay; repeated rows are one group.
+    """
     numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")  # written, so numbers stay
     near = minhash.near_duplicates(numbered, key="_row", limit=LIMIT, shingle=SHINGLE).select(F.col("doc_id").alias("_row"), "component_id")
     rows = stored(near.join(numbered.select("_row", "doc_id"), "_row"), "grouped")
@@ -33,19 +49,26 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     out = stored(rows.join(kept, "_row", "left_anti").select("_row"), "copies")
     if out.count() <= minhash.BROADCAST_ROWS:
         out = F.broadcast(out)
-    return numbered.join(out, "_row", "left_anti").select(docs.columns)
+    return numbered.join(out, "_row", "left_anti").select(*[name(c) for c in docs.columns])
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the words of passages that repeat; n_chars is that of what stays."""
+    """Every document without the words of passages that repeat; n_chars is that of what stays.
+
+    A null text stays null, with null n_chars; every document stays, even where no word does; repeated rows repeat each
+    other, so both lose passages long enough; white space between words becomes one space.
+    """
     got = substring.substring_dedup(docs)
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
     got = got.select(*[F.col("row")[c].alias(c) for c in rest], F.when(F.col("row.text").isNotNull(), F.col("kept")).alias("text"))
-    return got.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return got.withColumn("n_chars", F.length("text").cast("long")).select(*[name(c) for c in docs.columns])
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces, packed."""
+    """The documents' pieces, packed.
+
+    Null and empty texts are the end id alone; repeated rows are packed each; equal lengths may trade places.
+    """
     return pack_documents(docs)
 
 
