@@ -36,6 +36,7 @@ from corvane.scratch import stored
 
 NONE = 2147483647
 LOW = (1 << 32) - 1
+SLICE = 2 << 20  # bytes of text cut at once
 
 
 class Ranks:
@@ -149,7 +150,7 @@ class Ranks:
 
     def tokens(self) -> pieces.Known:
         """Pieces that are tokens themselves."""
-        return pieces.Known(pa.array(self.vocabulary, pa.binary()), np.fromiter(self.vocabulary.values(), np.int32), np.arange(1, len(self.vocabulary) + 1))
+        return pieces.Known(pa.array(self.vocabulary, pa.binary()), np.fromiter(self.vocabulary.values(), np.int32), np.ones(len(self.vocabulary), np.int64))
 
 
 def _literal(value: list, kind: str) -> Column:
@@ -162,7 +163,7 @@ def _with(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def words(docs: DataFrame, pattern: str, tokens: pieces.Known, text: str = "text", most: int = 400_000) -> DataFrame:
+def words(docs: DataFrame, pattern: str, tokens: pieces.Known, text: str = "text", most: int = 300_000) -> DataFrame:
     """(piece binary, k long): distinct pieces of all texts that are no tokens, and their counts.
 
     A task adds up its own counts and passes them on whenever it holds `most` pieces.
@@ -175,7 +176,7 @@ def words(docs: DataFrame, pattern: str, tokens: pieces.Known, text: str = "text
         def added() -> pa.Table:
             return pa.concat_tables(held).group_by("piece").aggregate([("k", "sum")]).rename_columns(["piece", "k"])
 
-        for batch in (x for whole in batches for x in slices(whole, whole.column(0))):
+        for batch in (x for whole in batches for x in slices(whole, whole.column(0), SLICE)):
             found = pc.value_counts(pieces.cut(batch.column(0), pattern)[0])
             new = pa.array(shared.value.find(found.field(0)) < 0)
             held.append(pa.table({"piece": found.field(0), "k": found.field(1)}).filter(new))
@@ -201,17 +202,25 @@ def frequent(found: DataFrame, ranks: Ranks, most: int) -> pieces.Known:
         if total > most:
             break
         least = r["k"]
-    top = found.where(F.col("k") >= least).select("piece", ranks.encode(F.col("piece")).alias("ids")).toArrow().combine_chunks()
-    own = ranks.tokens()
-    if not top.num_rows:
-        return own
-    word, ids = top["piece"].combine_chunks().cast(pa.binary()), top["ids"].combine_chunks()
-    flat = ids.flatten().to_numpy(zero_copy_only=False)
-    ends = np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))
-    return pieces.Known(pa.concat_arrays([own.words, word]), np.concatenate((own.ids[own.begin], flat)), np.concatenate((np.arange(1, len(own.words) + 1), len(own.words) + ends)))
+    top = found.where(F.col("k") >= least).select("piece", ranks.encode(F.col("piece")).alias("ids"))
 
+    def packed(batches):
+        for batch in batches:
+            word, ids = batch.column(0).cast(pa.binary()), batch.column(1)
+            cols = b"".join(word.to_pylist()), pc.binary_length(word), ids.flatten().cast(pa.int32()), pc.list_value_length(ids)
+            yield pa.RecordBatch.from_pydict({k: pa.array([c if isinstance(c, bytes) else c.to_numpy(zero_copy_only=False).astype("<i4").tobytes()], pa.binary()) for k, c in zip(("words", "lengths", "ids", "sizes"), cols, strict=True)})
 
-def byte_bpe(docs: DataFrame, path: str, pattern: str, text: str = "text", carry: list[str] | None = None, broadcast_words: int = 1_500_000, window: int = 256) -> DataFrame:
+    got = [[b"".join(ranks.vocabulary)], [np.array([*map(len, ranks.vocabulary)], "<i4").tobytes()], [np.array([*ranks.vocabulary.values()], "<i4").tobytes()], [np.ones(len(ranks.vocabulary), "<i4").tobytes()]]
+    for row in top.mapInArrow(packed, "words binary, lengths binary, ids binary, sizes binary").toLocalIterator():
+        for held, new in zip(got, row, strict=True):
+            held.append(bytes(new))
+    lengths, ids, sizes = (np.frombuffer(b"".join(x), "<i4") for x in got[1:])
+    offsets = np.append(0, np.cumsum(lengths)).astype(np.int32)
+    words_ = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(got[0]))])
+    return pieces.Known(words_, ids, sizes.astype(np.int64))
+
+
+def byte_bpe(docs: DataFrame, path: str, pattern: str, text: str = "text", carry: list[str] | None = None, broadcast_words: int = 1_000_000, window: int = 256) -> DataFrame:
     """`row` (the carried columns), ids array<int> and decoded binary."""
     carry = list(docs.columns if carry is None else carry)
     ranks = Ranks(path, window)
@@ -221,13 +230,13 @@ def byte_bpe(docs: DataFrame, path: str, pattern: str, text: str = "text", carry
 
     def run(batches):
         """Ids of known pieces, in runs between the others; each text's other pieces, and their places among the runs."""
-        for batch in (x for whole in batches for x in slices(whole, whole.column(1))):
+        for batch in (x for whole in batches for x in slices(whole, whole.column(1), SLICE)):
             got = shared.value
             found, first = pieces.cut(batch.column(1), pattern)
             coded = found.dictionary_encode()
             index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             at = got.find(coded.dictionary)
-            size, begin = np.append(got.size, 0)[at][index], np.append(got.begin, 0)[at][index]
+            begin, size = (v[index] for v in got.spans(at))
             end = np.cumsum(size, dtype=np.int64)
             start = np.append(end - size, end[-1:] if len(end) else 0)
             flat = got.ids[np.repeat(begin - start[:-1], size) + np.arange(start[-1])]

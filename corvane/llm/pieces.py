@@ -95,23 +95,31 @@ def cut(texts: pa.Array, pattern: str) -> tuple[pa.Array, np.ndarray]:
     return arr, np.searchsorted(at, begins)
 
 
-def hashes(words: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each binary value (none of them empty)."""
-    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
-    if not len(words):
-        return np.zeros(0, np.uint64)
-    return span_hashes(np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets[:-1] - offsets[0])
+def hashes(words: pa.Array, part: int = 1 << 16) -> np.ndarray:
+    """A 64-bit hash of each binary value (none of them empty), `part` values at a time."""
+    out = np.zeros(len(words), np.uint64)
+    for lo in range(0, len(words), part):
+        some = words.slice(lo, part)
+        offsets = np.frombuffer(some.buffers()[1], np.int32)[some.offset : some.offset + len(some) + 1]
+        out[lo : lo + len(some)] = span_hashes(np.frombuffer(some.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets[:-1] - offsets[0])
+    return out
 
 
 class Known:
     """Distinct pieces and their ids, in arrays: found by hash, then compared, so that none is mistaken for another."""
 
-    def __init__(self, words: pa.Array, ids: np.ndarray, ends: np.ndarray):
+    def __init__(self, words: pa.Array, ids: np.ndarray, sizes: np.ndarray):
+        """ids: those of the first word, then of the second, ...; sizes: how many each has."""
         h = hashes(words)
         order = np.argsort(h, kind="stable")
         self.hash, self.words = h[order], words.take(pa.array(order))
-        begin = np.concatenate(([0], ends[:-1]))[order] if len(ends) else ends
-        self.begin, self.size, self.ids = begin.astype(np.int64), (ends[order] - begin).astype(np.int32), ids.astype(np.int32)
+        begin, size = (np.cumsum(sizes) - sizes)[order], sizes[order]
+        self.begin = np.append(0, np.cumsum(size)).astype(np.uint32 if len(ids) < 1 << 32 else np.uint64)
+        self.ids = np.empty(len(ids), np.uint16 if len(ids) and ids.max() < 1 << 16 else np.int32)
+        for lo in range(0, len(order), 1 << 16):
+            n, b = size[lo : lo + (1 << 16)], begin[lo : lo + (1 << 16)]
+            at = int(self.begin[lo])
+            self.ids[at : at + n.sum()] = ids[np.repeat(b - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
     def find(self, pieces: pa.Array) -> np.ndarray:
         """The place of each piece, or -1."""
@@ -123,3 +131,8 @@ class Known:
             same = pc.equal(pieces.take(pa.array(maybe)), self.words.take(pa.array(at[maybe]))).to_numpy(zero_copy_only=False)
             out[maybe[same]] = at[maybe[same]]
         return out
+
+    def spans(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of places begin, and their number; none for -1."""
+        begin = self.begin[at].astype(np.int64)
+        return begin, np.where(at < 0, 0, self.begin[at + 1].astype(np.int64) - begin)
