@@ -211,7 +211,8 @@ def frequent(found: DataFrame, ranks: Ranks, most: int) -> pieces.Known:
             yield pa.RecordBatch.from_pydict({k: pa.array([c if isinstance(c, bytes) else c.to_numpy(zero_copy_only=False).astype("<i4").tobytes()], pa.binary()) for k, c in zip(("words", "lengths", "ids", "sizes"), cols, strict=True)})
 
     got = [[b"".join(ranks.vocabulary)], [np.array([*map(len, ranks.vocabulary)], "<i4").tobytes()], [np.array([*ranks.vocabulary.values()], "<i4").tobytes()], [np.ones(len(ranks.vocabulary), "<i4").tobytes()]]
-    for row in top.mapInArrow(packed, "words binary, lengths binary, ids binary, sizes binary").toLocalIterator():
+    rows = stored(top.mapInArrow(packed, "words binary, lengths binary, ids binary, sizes binary"), "frequent")  # made in parallel
+    for row in rows.toLocalIterator():
         for held, new in zip(got, row, strict=True):
             held.append(bytes(new))
     lengths, ids, sizes = (np.frombuffer(b"".join(x), "<i4") for x in got[1:])
