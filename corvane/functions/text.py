@@ -10,7 +10,7 @@ LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
 # File suffixes and the languages they stand for, in the scan and in the file view.
 SCAN_LANGUAGES = {".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "tsx", ".java": "java", ".go": "go", ".rs": "rust", ".c": "c", ".h": "c", ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".hpp": "cpp", ".rb": "ruby", ".cs": "c_sharp", ".php": "php", ".kt": "kotlin", ".swift": "swift", ".scala": "scala"}
-VIEW_LANGUAGES = {"py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "go": "go", "rs": "rust", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "rb": "ruby", "cs": "csharp", "php": "php", "kt": "kotlin", "swift": "swift", "json": "json", "yaml": "yaml", "yml": "yaml", "md": "markdown", "txt": "text", "toml": "toml", "cfg": "ini", "ini": "ini", "sh": "bash", "bat": "batch"}
+VIEW_LANGUAGES = {"py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "go": "go", "rs": "rust", "c": "c", "h": "c", "cpp": "cpp", "rb": "ruby", "cs": "csharp", "php": "php", "kt": "kotlin", "swift": "swift", "json": "json", "yaml": "yaml", "yml": "yaml", "md": "markdown", "txt": "text", "toml": "toml", "cfg": "ini", "ini": "ini", "sh": "bash", "bat": "batch"}
 # Architecture layers in the order they are tried, and the words that mark them.
 LAYERS = {
     "entry": ["main", "app.py", "index", "manage", "wsgi", "asgi", "__main__"],
@@ -73,7 +73,8 @@ def scan_language(path: Column) -> Column:
 
 
 def view_language(path: Column) -> Column:
-    ext = F.lower(F.element_at(F.split(path, r"\."), -1))
+    """The language of the file name's suffix, letter case kept; an unknown suffix names itself, none the empty string."""
+    ext = F.ltrim(suffix(path), F.lit("."))
     return F.coalesce(lookup(VIEW_LANGUAGES, ext), ext)
 
 
@@ -141,7 +142,7 @@ def followup(question: Column) -> Column:
 
 def intent(question: Column) -> Column:
     low = F.lower(question)
-    return F.when(F.contains(low, F.lit("explain")) | F.contains(low, F.lit("overview")), "repo_analyst").otherwise("retrieval")
+    return F.when(F.contains(low, F.lit("explain")) | F.contains(low, F.lit("overview")), "analyst").otherwise("retrieval")
 
 
 def chunks(c: Column, words: int = 4) -> Column:
@@ -183,3 +184,42 @@ def latency_band(ms: Column) -> Column:
 
 def sse(event: Column) -> Column:
     return F.concat(F.lit("data: "), F.to_json(event), F.lit("\n\n"))
+
+
+def repo_label(name: Column, remote: Column, repo_id: Column) -> Column:
+    """The stored name; else the last part of the remote address, without its `.git`; else the id's first 8 characters."""
+    last = F.regexp_replace(F.substring_index(F.regexp_replace(remote, "/+$", ""), "/", -1), r"\.git$", "")
+    return F.coalesce(F.nullif(name, F.lit("")), F.nullif(last, F.lit("")), F.substring(repo_id, 1, 8))
+
+
+def last_part(url: Column) -> Column:
+    """What follows the last slash, slashes at the end aside."""
+    return F.substring_index(F.regexp_replace(url, "/+$", ""), "/", -1)
+
+
+def byte_slice(source: Column, start: Column, end: Column) -> Column:
+    """Bytes start to end (from 0, end not included) of a text's UTF-8; broken characters are replaced."""
+    raw = F.substring(source.cast("binary"), start + 1, F.greatest(end - start, F.lit(0)))
+    return F.make_valid_utf8(raw.cast("string"))
+
+
+def safe_int(c: Column) -> Column:
+    """A whole number, spaces around it allowed; null for anything else."""
+    t = strip(c)
+    return F.when(t.rlike(r"^[+-]?\d+(_\d+)*$"), F.replace(t, F.lit("_"), F.lit("")).try_cast("bigint"))
+
+
+def code_language(css_class: Column) -> Column:
+    """The language that a code block's class names; empty if it names none."""
+    return F.regexp_extract(css_class, r"language-(\w+)", 1)
+
+
+def more(items: Column, shown: int) -> Column:
+    """The first `shown` items, comma-joined, and how many more there are."""
+    rest = F.size(items) - shown
+    return F.concat(F.array_join(F.slice(items, 1, shown), ", "), F.when(rest > 0, F.concat(F.lit(" +"), rest, F.lit(" more"))).otherwise(""))
+
+
+def offered(has_repo: Column, repo_only: Column) -> Column:
+    """Whether a capability is shown: those for repositories need one."""
+    return has_repo | ~repo_only

@@ -28,7 +28,7 @@ def _merged(best: list[np.ndarray], scores: np.ndarray, ids: np.ndarray, k: int)
     """The k best of each query so far, as (query place, id, score), with a block of rows by queries. Ties: lower id."""
     n = min(k, len(scores))
     least = np.partition(scores, len(scores) - n, axis=0)[len(scores) - n]
-    r, c = np.nonzero(scores >= least)
+    r, c = np.nonzero((scores >= least) & (scores > -np.inf))
     q, i, v = [np.concatenate(x) for x in zip(best, (c, ids[r], scores[r, c]), strict=True)] if best else (c, ids[r], scores[r, c])
     order = np.lexsort((i, -v, q))
     q, i, v = q[order], i[order], v[order]
@@ -37,27 +37,35 @@ def _merged(best: list[np.ndarray], scores: np.ndarray, ids: np.ndarray, k: int)
     return [q[near], i[near], v[near]]
 
 
-def _search(records: DataFrame, key: str, value: Column, names: list, make, k: int) -> DataFrame:
-    """One scan. make() runs in each task and returns the function from a column of values to scores, rows by queries."""
+def _search(records: DataFrame, key: str, value: Column, names: list, make, k: int, scope: Column | None = None, scopes: list | None = None) -> DataFrame:
+    """One scan. make() runs in each task and returns the function from a column of values to scores, rows by queries.
+
+    A score of minus infinity is no hit. With `scope`, only records whose scope is that of the query are hits.
+    """
     kind = "bigint" if records.schema[key].dataType.typeName() in ("byte", "short", "integer", "long") else "string"
     arrow = pa.int64() if kind == "bigint" else pa.string()
 
     def run(batches):
         score, best, step = make(), [], max(1, CELLS // max(1, len(names)))
+        at = {x: i for i, x in enumerate(dict.fromkeys(scopes or []))}
+        own = np.array([at[x] for x in scopes or []])
         for b in batches:
-            for at in range(0, b.num_rows if names and k > 0 else 0, step):
-                part = b.slice(at, step)
-                best = _merged(best, score(part.column(1).to_pylist()), np.array(part.column(0).to_pylist()), k)
+            for lo in range(0, b.num_rows if names and k > 0 else 0, step):
+                part = b.slice(lo, step)
+                scores = score(part.column(1).to_pylist())
+                if scopes is not None:
+                    scores = np.where(np.array([at.get(x, -1) for x in part.column(2).to_pylist()])[:, None] == own[None, :], scores, -np.inf)
+                best = _merged(best, scores, np.array(part.column(0).to_pylist()), k)
         if best:
             yield pa.RecordBatch.from_arrays([pa.array(np.array(names)[best[0]], pa.int64()), pa.array(best[1].tolist(), arrow), pa.array(best[2], pa.float64())], names=["query_id", "record_id", "score"])
 
-    rows = records.where(F.col(key).isNotNull()).select(F.col(key).cast(kind), value)
+    rows = records.where(F.col(key).isNotNull()).select(F.col(key).cast(kind), value, *([] if scope is None else [scope.alias("scope")]))
     return ranked(rows.mapInArrow(run, f"query_id long, record_id {kind}, score double"), k)
 
 
 def in_blocks(queries: DataFrame, search: Callable[[list[tuple]], DataFrame], block: int = BLOCK) -> DataFrame:
-    """search() of all rows (id, value) of `queries`, of which the driver holds two blocks at a time."""
-    rows = ((r[0], r[1]) for r in queries.where(F.col(queries.columns[0]).isNotNull()).toLocalIterator())
+    """search() of all rows (id, value, ...) of `queries`, of which the driver holds two blocks at a time."""
+    rows = (tuple(r) for r in queries.where(F.col(queries.columns[0]).isNotNull()).toLocalIterator())
     part, rest = list(islice(rows, block)), list(islice(rows, block))
     out = search(part)
     if rest:
@@ -73,25 +81,36 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def vector_search(records: DataFrame, queries: list[tuple[int, list[float]]], k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, record_id, score, rank): the k records of highest cosine for each query.
+def vector_search(records: DataFrame, queries: list[tuple], k: int, key: str = "vec_id", vector: str = "embedding", scope: str | None = None) -> DataFrame:
+    """(query_id, record_id, score, rank): the k records of highest cosine for each query (id, vector).
 
-    Zero vectors score 0. Records without id or vector are left out; ids may be integers or strings.
+    With `scope`, queries are (id, vector, scope) and only records whose column of that name has this value are searched.
+    Zero vectors score 0. Queries and records without id or vector are left out, and a record is no hit for a query of
+    another length; so are null scopes. Ids of records may be integers or strings.
     """
-    names = [q for q, _ in queries]
-    m = np.array([v for _, v in queries], np.float64).reshape(len(names), -1) if names else np.zeros((0, 1))
-    n = np.linalg.norm(m, axis=1, keepdims=True)
-    m = m / np.where(n > 0, n, 1)
+    queries = [q for q in queries if q[0] is not None and q[1] is not None and (scope is None or q[2] is not None)]
+    names = [q[0] for q in queries]
+    blocks = {}
+    for n in {len(q[1]) for q in queries}:
+        own = [i for i, q in enumerate(queries) if len(q[1]) == n]
+        m = np.array([queries[i][1] for i in own], np.float64).reshape(len(own), n)
+        size = np.linalg.norm(m, axis=1, keepdims=True)
+        blocks[n] = own, m / np.where(size > 0, size, 1)
 
     def make():
         def score(vectors: list) -> np.ndarray:
-            x = np.array(vectors, np.float64)
-            size = np.linalg.norm(x, axis=1, keepdims=True)
-            return np.round(x / np.where(size > 0, size, 1) @ m.T, 6) + 0.0
+            out = np.full((len(vectors), len(names)), -np.inf)
+            for n, (own, m) in blocks.items():
+                rows = [i for i, v in enumerate(vectors) if len(v) == n]
+                x = np.array([vectors[i] for i in rows], np.float64).reshape(len(rows), n)
+                size = np.linalg.norm(x, axis=1, keepdims=True)
+                out[np.ix_(rows, own)] = np.round(x / np.where(size > 0, size, 1) @ m.T, 6) + 0.0
+            return out
 
         return score
 
-    return _search(records.where(F.col(vector).isNotNull()), key, F.col(vector), names, make, k)
+    given = records.where(F.col(vector).isNotNull())
+    return _search(given, key, F.col(vector), names, make, k, *([] if scope is None else [F.col(scope), [q[2] for q in queries]]))
 
 
 def hash_search(records: DataFrame, queries: list[tuple[int, str]], k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -180,3 +199,9 @@ def citation(path: Column, snippet: Column, start: Column | None = None, end: Co
     two = T.strip(F.array_join(F.slice(T.lines(snippet), 1, 2), " "))
     short = F.when(F.length(two) > 200, F.concat(F.substring(two, 1, 200), F.lit("..."))).otherwise(two)
     return F.when(F.coalesce(short, F.lit("")) == "", head).otherwise(F.concat(head, F.lit(" | "), short))
+
+
+def record_line(path: Column, language: Column, signature: Column) -> Column:
+    """The line of an answer: of a function if there is a signature, else of a file."""
+    plain = F.when(F.coalesce(language, F.lit("")) == "", F.concat(F.lit("- file: "), path)).otherwise(F.concat(F.lit("- "), language, F.lit(" file: "), path))
+    return F.when(signature.isNotNull(), F.concat(F.lit("- function: "), path, F.lit(" :: "), signature)).otherwise(plain)

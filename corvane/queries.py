@@ -41,12 +41,12 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.element_at(names, (F.col("p_partkey") % len(NAMES) + 1).cast("int")).alias("path"))
 
 
-def sql_map(table: dict[str, str], key: str) -> str:
-    return f"case {key} " + " ".join(f"when '{k}' then '{v}'" for k, v in table.items()) + " end"
-
-
 SUFFIX = r"regexp_extract(path, '[^/](\.[^./]+)$', 1)"
-EXT = "lower(list_last(string_split(path, '.')))"
+EXT = f"ltrim({SUFFIX}, '.')"
+#: Tables written out for SQL, apart from those of the implementation.
+SCAN_SQL = "case {} when '.py' then 'python' when '.js' then 'javascript' when '.jsx' then 'javascript' when '.ts' then 'typescript' when '.tsx' then 'tsx' when '.java' then 'java' when '.go' then 'go' when '.rs' then 'rust' when '.c' then 'c' when '.h' then 'c' when '.cpp' then 'cpp' when '.cc' then 'cpp' when '.cxx' then 'cpp' when '.hpp' then 'cpp' when '.rb' then 'ruby' when '.cs' then 'c_sharp' when '.php' then 'php' when '.kt' then 'kotlin' when '.swift' then 'swift' when '.scala' then 'scala' end"
+VIEW_SQL = "case {} when 'py' then 'python' when 'js' then 'javascript' when 'jsx' then 'javascript' when 'ts' then 'typescript' when 'tsx' then 'typescript' when 'java' then 'java' when 'go' then 'go' when 'rs' then 'rust' when 'c' then 'c' when 'h' then 'c' when 'cpp' then 'cpp' when 'rb' then 'ruby' when 'cs' then 'csharp' when 'php' then 'php' when 'kt' then 'kotlin' when 'swift' then 'swift' when 'json' then 'json' when 'yaml' then 'yaml' when 'yml' then 'yaml' when 'md' then 'markdown' when 'txt' then 'text' when 'toml' then 'toml' when 'cfg' then 'ini' when 'ini' then 'ini' when 'sh' then 'bash' when 'bat' then 'batch' end"
+IGNORED_SQL = "['__pycache__', '.git', '.pytest_cache', '.venv', 'node_modules']"
 
 # ---- scans and projections
 
@@ -68,18 +68,18 @@ def file_content(spark, sf_dir):
     return f.select("path", (F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit(""))) + 1).cast("bigint").alias("line_count"), "language")
 
 
-@query(f"select p_partkey, path, case when path like 'src/%' then substr(path, 5) else list_last(string_split(path, '/')) end as rel from ({PATHS}) where not list_has_any(string_split(path, '/'), {T.IGNORED_PARTS})")
+@query(f"select p_partkey, path, case when path like 'src/%' then substr(path, 5) else list_last(string_split(path, '/')) end as rel from ({PATHS}) where not list_has_any(string_split(path, '/'), {IGNORED_SQL})")
 def list_files(spark, sf_dir):
     p = paths(spark, sf_dir).where(T.visible(F.col("path")))
     return p.select("p_partkey", "path", T.relative_path(F.col("path"), F.lit("src"), F.lit("r1")).alias("rel")).orderBy("path", "p_partkey")
 
 
-@query(f"select p_partkey, path, {sql_map(T.SCAN_LANGUAGES, SUFFIX)} as language from ({PATHS})")
+@query(f"select p_partkey, path, {SCAN_SQL.format(SUFFIX)} as language from ({PATHS})")
 def language_from_suffix(spark, sf_dir):
     return paths(spark, sf_dir).select("p_partkey", "path", T.scan_language(F.col("path")).alias("language"))
 
 
-@query(f"select p_partkey, path, coalesce({sql_map(T.VIEW_LANGUAGES, EXT)}, {EXT}) as language from ({PATHS})")
+@query(f"select p_partkey, path, coalesce({VIEW_SQL.format(EXT)}, {EXT}) as language from ({PATHS})")
 def language_from_ext(spark, sf_dir):
     return paths(spark, sf_dir).select("p_partkey", "path", T.view_language(F.col("path")).alias("language"))
 
@@ -89,22 +89,24 @@ def import_grammar(spark, sf_dir):
     return paths(spark, sf_dir).select("p_partkey", T.import_grammar(F.col("path")).alias("grammar"))
 
 
-LINES = "select path, repo_id, doc_id, string_split(content, chr(10)) as ls from ({f})".format(f=FILES)
+LINES = "select path, repo_id, doc_id, content, string_split(content, chr(10)) as ls from ({f})".format(f=FILES)
 
 
-@query(f"""select path as record_id, 'file' as scope, path, null::varchar as name from ({FILES}) union all
-    select path || ':1-1', 'function', path, left(ls[1], 20) from ({LINES})""")
-def index_records(spark, sf_dir):
-    f = files(spark, sf_dir)
-    whole = f.select(F.col("path").alias("record_id"), F.lit("file").alias("scope"), "path", F.lit(None).cast("string").alias("name"))
-    part = f.select(F.concat("path", F.lit(":1-1")).alias("record_id"), F.lit("function").alias("scope"), "path", F.substring(F.get(F.split("content", "\n", -1), 0), 1, 20).alias("name"))
-    return whole.unionByName(part)
+REPOS = "select distinct source as repo_id, case when source like '%0' then 'Named ' || source else '' end as name, case when source like '%1' then 'https://example.org/team/' || source || 'x.git/' end as remote from documents where source is not null"
+
 
+def repos(spark, sf_dir):
+    """The catalogue of repositories: some have a name, some a remote address only, some neither."""
+    r, c = table(spark, sf_dir, "documents").where("source is not null").select(F.col("source").alias("repo_id")).distinct(), F.col("repo_id")
+    return r.select("repo_id", F.when(F.endswith(c, F.lit("0")), F.concat(F.lit("Named "), c)).otherwise("").alias("name"), F.when(F.endswith(c, F.lit("1")), F.concat(F.lit("https://example.org/team/"), c, F.lit("x.git/"))).alias("remote"))
 
-@query(f"select repo_id, upper(left(repo_id, 8)) as name, count(*) as file_count from ({FILES}) group by all")
+
+NAMED = f"select repo_id, case when name <> '' then name when remote is not null then regexp_extract(remote, '/([^/]+)[.]git/$', 1) else left(repo_id, 8) end as name from ({REPOS})"
+
+
+@query(f"{NAMED} order by repo_id")
 def list_repos(spark, sf_dir):
-    f = files(spark, sf_dir).groupBy("repo_id").agg(F.count("*").alias("file_count"))
-    return f.select("repo_id", F.coalesce(F.nullif(F.upper(F.substring("repo_id", 1, 8)), F.lit("")), F.col("repo_id")).alias("name"), "file_count").orderBy("repo_id")
+    return repos(spark, sf_dir).select("repo_id", T.repo_label(F.col("name"), F.col("remote"), F.col("repo_id")).alias("name")).orderBy("repo_id")
 
 
 # ---- text
@@ -126,14 +128,6 @@ def line_snippet(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.line_range(F.col("text"), F.lit(2), F.lit(3)).alias("snippet"))
 
 
-@query(f"select f.path || ':' || s || '-' || s as record_id, ls[s] as snippet from ({LINES}) f, unnest([1, 2]) t(s) where s <= len(ls) and ls[s] <> ''")
-def function_snippets(spark, sf_dir):
-    f = files(spark, sf_dir).select("path", "content")
-    spans = f.select("path", F.posexplode(F.slice(T.lines(F.col("content")), 1, 2)).alias("i", "x")).where("x <> ''").select("path", (F.col("i") + 1).alias("s"))
-    cut = spans.join(f, "path")
-    return cut.select(F.concat("path", F.lit(":"), "s", F.lit("-"), "s").alias("record_id"), T.line_range(F.col("content"), F.col("s"), F.col("s")).alias("snippet"))
-
-
 WHOLE_LINES = f"select f.path, s, ls[s] as x from ({LINES}) f, unnest(range(1, len(ls) + 1)) t(s) where ls[s] <> ''"
 
 
@@ -144,13 +138,13 @@ def line_spans(spark, sf_dir):
 
 
 @query(f"select path || ':' || s || '-' || s as record_id, x as snippet from ({WHOLE_LINES})")
-def function_snippets_whole(spark, sf_dir):
+def function_snippets(spark, sf_dir):
     return line_spans(spark, sf_dir).select("record_id", F.col("x").alias("snippet"))
 
 
 @query(f"""select path as record_id, 'file' as scope, path, null::varchar as name from ({FILES}) union all
     select path || ':' || s || '-' || s, 'function', path, left(x, 20) from ({WHOLE_LINES})""")
-def index_records_whole(spark, sf_dir):
+def index_records(spark, sf_dir):
     whole = files(spark, sf_dir).select(F.col("path").alias("record_id"), F.lit("file").alias("scope"), "path", F.lit(None).cast("string").alias("name"))
     return whole.unionByName(line_spans(spark, sf_dir).select("record_id", F.lit("function").alias("scope"), "path", F.substring("x", 1, 20).alias("name")))
 
@@ -202,8 +196,8 @@ BUCKETS = f"select {{id}}, ({BUCKET})::bigint as bucket, count(*) as tf from (se
 
 
 def buckets(df, key):
-    once = df.select(key, F.explode(T.tokens(F.col("text"))).alias("tok")).groupBy(key, "tok").agg(F.count("*").alias("tf"))
-    return once.groupBy(key, V.bucket(F.col("tok")).alias("bucket")).agg(F.sum("tf").alias("tf"))
+    """One exchange: tokens become buckets in their row, tasks add up before it."""
+    return df.select(key, F.explode(F.transform(T.tokens(F.col("text")), V.bucket)).alias("bucket")).groupBy(key, "bucket").agg(F.count("*").alias("tf"))
 
 
 @query(BUCKETS.format(id="doc_id", t="documents"))
@@ -249,6 +243,16 @@ def knn_join(spark, sf_dir):
     return retrieval.in_blocks(e.where(F.col("vec_id") % EVERY == 0).select("vec_id", "embedding"), lambda q: retrieval.vector_search(e, q, TOP))
 
 
+@query(KNN.format(which=f"% {EVERY} = 0 and q.label = e.label", k=TOP).replace("select query_id, record_id, score, rank from", "select query_id, record_id, e2.label as scope, len(e2.embedding)::bigint as dims, rank from", 1).replace(f") where rank <= {TOP}", f") h join embeddings e2 on e2.vec_id = h.record_id where rank <= {TOP}"))
+def search_in_scope(spark, sf_dir):
+    """Every twentieth vector against those of its own label: record, scope and metadata of each hit."""
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.where(F.col("vec_id") % EVERY == 0).select("vec_id", "embedding", "label")
+    found = small(retrieval.in_blocks(asked, lambda q: retrieval.vector_search(e, q, TOP, scope="label")), "found")
+    rows = e.select(F.col("vec_id").alias("record_id"), F.col("label").alias("scope"), F.size("embedding").cast("bigint").alias("dims"))
+    return rows.join(found, "record_id").select("query_id", "record_id", "scope", "dims", F.col("rank").cast("bigint").alias("rank"))
+
+
 # ---- answers
 
 HITS = f"""qb as ({BUCKETS.format(id='item_id', t='benchmark')}), db as ({BUCKETS.format(id='doc_id', t='documents')}),
@@ -299,30 +303,22 @@ def citations(spark, sf_dir):
 
 @query(CITED + " select query_id, position, case when language is null then '- file: ' || path else '- ' || language || ' file: ' || path end as line from cited")
 def answer_lines(spark, sf_dir):
-    line = F.when(F.col("language").isNull(), F.concat(F.lit("- file: "), "path")).otherwise(F.concat(F.lit("- "), "language", F.lit(" file: "), "path"))
-    return answered(spark, sf_dir).select("query_id", F.col("position").cast("bigint").alias("position"), line.alias("line"))
-
-
-@query(CITED + " select query_id, string_agg('[' || path || ']' || chr(10) || left(citation, 40), chr(10) || chr(10) order by position) as block from cited group by query_id")
-def context_block(spark, sf_dir):
-    a = answered(spark, sf_dir)
-    item = F.concat(F.lit("["), "path", F.lit("]\n"), F.substring(retrieval.citation(F.col("path"), F.col("snippet")), 1, 40))
-    got = a.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("position", item.alias("x")))).alias("xs"))
-    return got.select("query_id", F.array_join(F.col("xs.x"), "\n\n").alias("block"))
+    return answered(spark, sf_dir).select("query_id", F.col("position").cast("bigint").alias("position"), retrieval.record_line(F.col("path"), F.col("language"), F.lit(None)).alias("line"))
 
 
 @query(RERANK + " select query_id, string_agg('[' || path || ']' || chr(10) || content, chr(10) || chr(10) order by position) as block from r join (select doc_id, source || '/' || doc_id as path, coalesce(text, '') as content from documents) on doc_id = record_id group by query_id")
-def context_block_whole(spark, sf_dir):
+def context_block(spark, sf_dir):
     """The context of every question: path and whole content of each of its TOP documents."""
     item = F.concat(F.lit("["), "path", F.lit("]\n"), F.coalesce("snippet", F.lit("")))
     got = answered(spark, sf_dir).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("position", item.alias("x")))).alias("xs"))
     return got.select("query_id", F.array_join(F.col("xs.x"), "\n\n").alias("block"))
 
 
-@query("select conv_id, array_to_string(list_sort(list_distinct(list(role))), '|') as roles from conversations where role <> '' group by conv_id")
+@query("select conv_id, string_agg(role, '|' order by first, role) as roles from (select conv_id, role, min(turn) as first from conversations where role <> '' group by all) group by conv_id")
 def citation_dedupe(spark, sf_dir):
-    g = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_set("role").alias("r"))
-    return g.select("conv_id", F.array_join(F.array_sort(F.filter("r", lambda x: x != "")), "|").alias("roles"))
+    """Each role of a conversation once, where it first occurs; only these few reach one row."""
+    g = table(spark, sf_dir, "conversations").where("role <> ''").groupBy("conv_id", "role").agg(F.min("turn").alias("first"))
+    return g.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("first", "role"))).alias("r")).select("conv_id", F.array_join("r.role", "|").alias("roles"))
 
 
 @query(CITED + " select query_id, position, string_split(citation, ' | ')[1] as file, case when len(string_split(citation, ' | ')) > 1 then 'cited' else '-' end as score from cited")
@@ -339,6 +335,32 @@ def parse_citations(spark, sf_dir):
     return c.select("conv_id", "turn", F.array_join("c", "|").alias("cites"), F.size("c").cast("bigint").alias("n"))
 
 
+RECORDS = f"""select path as record_id, path, language, content as snippet, null::bigint as s from ({FILES}) union all
+    select w.path || ':' || w.s || '-' || w.s, w.path, null, w.x, w.s from ({WHOLE_LINES}) w"""
+MIXED = f"""with rec as ({RECORDS}), qb as ({BUCKETS.format(id='item_id', t='benchmark')}),
+    rb as (select record_id, bucket, sum(n) as tf from (select record_id, tok, ({BUCKET})::bigint as bucket, count(*) as n from (select record_id, unnest({TOK.format('snippet')}) as tok from rec) group by all) group by all),
+    qn as (select item_id, sqrt(sum(tf * tf)::double) as n from qb group by 1), rn as (select record_id, sqrt(sum(tf * tf)::double) as n from rb group by 1),
+    scored as (select item_id as query_id, record_id, round(d / (rn.n * qn.n), 6) as score from (select item_id, record_id, sum(qb.tf * rb.tf)::double as d from qb join rb using (bucket) group by all) join qn using (item_id) join rn using (record_id)),
+    hits as (select *, row_number() over (partition by query_id order by score desc, record_id) as rank from scored qualify rank <= {FETCH}),
+    o as (select h.query_id, h.rank, rec.*, round(case when len({QT}) = 0 then 0.0 else len(list_intersect(list_distinct({QT}), list_distinct({TOK.format('lower(rec.snippet)')}))) / len(list_distinct({QT})) end, 6) as overlap
+        from hits h join rec using (record_id) join benchmark b on b.item_id = h.query_id),
+    r as (select *, row_number() over (partition by query_id order by overlap desc, rank) as position from o qualify position <= {TOP}),
+    c as (select *, {TWO} as two from (select *, string_split(snippet, chr(10)) as ls from r))"""
+
+
+@query(MIXED + r""" select query_id, position, path || case when s is null then '' else ' (lines ' || s || '-' || s || ')' end || case when two = '' then '' when length(two) > 200 then ' | ' || left(two, 200) || '...' else ' | ' || two end as citation,
+    case when s is not null then '- function: ' || path || ' :: ' || left(regexp_replace(snippet, '^\s+|\s+$', '', 'g'), 200) when coalesce(language, '') = '' then '- file: ' || path else '- ' || language || ' file: ' || path end as line from c""")
+def answer_records(spark, sf_dir):
+    """Answers from file and function records: citations with their lines, and a line for each record."""
+    whole = files(spark, sf_dir).select(F.col("path").alias("record_id"), "path", "language", F.col("content").alias("snippet"), F.lit(None).cast("int").alias("s"))
+    part = files(spark, sf_dir).select("path", F.posexplode(T.lines(F.col("content"))).alias("i", "snippet")).where("snippet <> ''").withColumn("s", F.col("i") + 1)
+    records = whole.unionByName(part.select(F.concat("path", F.lit(":"), "s", F.lit("-"), "s").alias("record_id"), "path", F.lit(None).cast("string").alias("language"), "snippet", "s"))
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    found = retrieval.in_blocks(b, lambda q: retrieval.hash_search(records, q, FETCH, "record_id", "snippet"))
+    top = retrieval.reranked(records.join(small(found.join(b, "query_id"), "asked"), "record_id"), TOP)
+    return top.select("query_id", F.col("position").cast("bigint").alias("position"), retrieval.citation(F.col("path"), F.col("snippet"), F.col("s"), F.col("s")).alias("citation"), retrieval.record_line(F.col("path"), F.col("language"), F.when(F.col("s").isNotNull(), T.signature(F.col("snippet")))).alias("line"))
+
+
 # ---- evaluation
 
 TRUTH = "truth as (select item_id as query_id, min(doc_id) as expected from benchmark b join documents d on contains(d.text, b.text) group by 1)"
@@ -421,8 +443,23 @@ def neighbors_outbound(spark, sf_dir):
     return graph.neighbours(page_edges(spark, sf_dir), first, "outbound")
 
 
+#: The layers and their words, written out for SQL.
+LAYER_SQL = """case
+    when regexp_matches(lower({0}), 'main|app\\.py|index|manage|wsgi|asgi|__main__') then 'entry'
+    when regexp_matches(lower({0}), 'controller|route|router|endpoint|api|views') then 'api'
+    when regexp_matches(lower({0}), 'middleware|auth|security|permission|guard') then 'middleware'
+    when regexp_matches(lower({0}), 'service|services|agent|orchestrat|pipeline|trainer|engine') then 'services'
+    when regexp_matches(lower({0}), 'model|schema|entity|dataclass|type') then 'models'
+    when regexp_matches(lower({0}), 'database|db|store|repository|retriev|faiss|embed|index') then 'data'
+    when regexp_matches(lower({0}), 'config|setting|env|constant') then 'config'
+    when regexp_matches(lower({0}), 'util|helper|common|lib|tool|logger|metric|observ') then 'utils'
+    when regexp_matches(lower({0}), 'frontend|component|page|layout|ui|view|template|dashboard') then 'frontend'
+    when regexp_matches(lower({0}), 'test|spec|fixture|conftest|mock') then 'tests'
+    else 'utils' end"""
+
+
 def sql_layer(c: str) -> str:
-    return "case " + " ".join("when regexp_matches(lower({}), '{}') then '{}'".format(c, "|".join(w.replace(".", r"\.") for w in ws), k) for k, ws in T.LAYERS.items()) + " else 'utils' end"
+    return LAYER_SQL.format(c)
 
 
 @query(f"select p_partkey, path, {sql_layer('path')} as layer from ({PATHS})")
@@ -472,16 +509,39 @@ def language_counts(spark, sf_dir):
     return files(spark, sf_dir).groupBy("repo_id", "language").agg(F.count("*").alias("n"))
 
 
-OVERVIEW = f"select repo_id, sum(n)::bigint as file_count, string_agg(language || ':' || n, '|' order by language) as languages from (select repo_id, language, count(*) as n from ({FILES}) group by all) group by repo_id"
+FUNCTIONS = f"select repo_id, sum(len(list_filter(ls, lambda x: x <> '')))::bigint as function_count from ({LINES}) where content is not null group by repo_id"
+PAGE_REPO = f"select distinct 'src' || (page_id % {EVERY}) as repo_id, url as source, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) as target from pages"
+OVERVIEW = f"""select c.repo_id, c.name, coalesce(file_count, 0) as file_count, coalesce(function_count, 0) as function_count, coalesce(dependency_edges, 0) as dependency_edges, languages
+    from ({NAMED}) c left join (select repo_id, sum(n)::bigint as file_count, string_agg(language || ':' || n, '|' order by language) as languages from (select repo_id, language, count(*) as n from ({FILES}) group by all) group by repo_id) using (repo_id)
+    left join ({FUNCTIONS}) using (repo_id) left join (select repo_id, count(*) as dependency_edges from ({PAGE_REPO}) group by 1) using (repo_id)"""
+
+
+@query(FUNCTIONS)
+def repo_functions(spark, sf_dir):
+    """Lines that aren't empty, which stand for functions, of every repository."""
+    n = F.size(F.filter(T.lines(F.col("content")), lambda x: x != ""))
+    return files(spark, sf_dir).where("content is not null").groupBy("repo_id").agg(F.sum(n).cast("bigint").alias("function_count"))
+
+
+@query(f"select repo_id, source, target from ({PAGE_REPO})")
+def repo_edges(spark, sf_dir):
+    """The edges of every repository; each page belongs to one of EVERY repositories, by its id."""
+    p = table(spark, sf_dir, "pages").select(F.concat(F.lit("src"), F.col("page_id") % EVERY).alias("repo_id"), "url", "html")
+    return p.select("repo_id", F.col("url").alias("source"), F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(graph.HREF), F.lit(1)))).alias("target")).distinct()
 
 
 def overview(spark, sf_dir):
+    """The catalogue with the counts of every repository; they are added up before they are joined."""
     by = language_counts(spark, sf_dir)
-    return by.groupBy("repo_id").agg(F.sum("n").alias("file_count"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("language", "n"))), lambda x: F.concat(x["language"], F.lit(":"), x["n"])), "|").alias("languages"))
+    counted = by.groupBy("repo_id").agg(F.sum("n").alias("file_count"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("language", "n"))), lambda x: F.concat(x["language"], F.lit(":"), x["n"])), "|").alias("languages"))
+    edges = repo_edges(spark, sf_dir).groupBy("repo_id").agg(F.count("*").alias("dependency_edges"))
+    got = list_repos(spark, sf_dir).join(counted, "repo_id", "left").join(repo_functions(spark, sf_dir), "repo_id", "left").join(edges, "repo_id", "left")
+    return got.select("repo_id", "name", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("file_count", "function_count", "dependency_edges")], "languages")
 
 
-@query(OVERVIEW.replace("group by repo_id", "group by repo_id having repo_id = 'src1'"))
+@query(OVERVIEW + " where c.repo_id = 'src1'")
 def repo_overview(spark, sf_dir):
+    """The counts of one repository; no row where there is none of this id."""
     return overview(spark, sf_dir).where("repo_id = 'src1'")
 
 
@@ -490,13 +550,6 @@ def repo_stats(spark, sf_dir):
     return overview(spark, sf_dir)
 
 
-@query(f"select repo_id, sum(len(list_filter(ls, lambda x: x <> '')))::bigint as function_count from ({LINES}) group by repo_id")
-def repo_functions(spark, sf_dir):
-    """Lines, which stand for functions, of every repository; `pages` has no repository, so edges can't be counted by it."""
-    n = F.size(F.filter(T.lines(F.col("content")), lambda x: x != ""))
-    return files(spark, sf_dir).groupBy("repo_id").agg(F.sum(F.when(F.col("content").isNotNull(), n)).alias("function_count"))
-
-
 @query(f"select count(*) as total_queries, coalesce(round(avg(latency_ms), 1), 0.0) as avg_latency_ms, coalesce(round(avg(citations), 1), 0.0) as avg_citations from ({LOG})")
 def session_stats(spark, sf_dir):
     return stats.session(query_log(spark, sf_dir))
@@ -545,7 +598,7 @@ def request_counter(spark, sf_dir):
     return query_log(spark, sf_dir).groupBy(F.col("agent").alias("method"), F.col("repo_id").alias("path"), F.when(F.col("agent") == "error", 500).otherwise(200).alias("status")).agg(F.count("*").alias("n"))
 
 
-@query(f"select agent, le, count_if(latency_ms / 100 <= bound)::bigint as count from ({LOG}), (select unnest({[str(b) for b in stats.BOUNDS] + ['+Inf']}) as le, unnest({stats.BOUNDS} || ['inf'::double]) as bound) group by all")
+@query(f"select agent, le, count_if(latency_ms / 100 <= bound)::bigint as count from ({LOG}), (select unnest(['0.005', '0.01', '0.025', '0.05', '0.075', '0.1', '0.25', '0.5', '0.75', '1.0', '2.5', '5.0', '7.5', '10.0', '+Inf']) as le, unnest([0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0, 'inf'::double]::double[]) as bound) group by all")
 def request_latency_histogram(spark, sf_dir):
     return stats.histogram(query_log(spark, sf_dir).withColumn("seconds", F.col("latency_ms") / 100), "agent", "seconds")
 
@@ -608,12 +661,37 @@ def plan_steps(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(steps).alias("step", "s")).select("conv_id", "turn", F.col("step").cast("bigint").alias("step"), "s.agent", "s.instruction")
 
 
-@query("select conv_id, turn, case when contains(lower(text), 'explain') or contains(lower(text), 'overview') then 'repo_analyst' else 'retrieval' end as agent from conversations")
+@query("select conv_id, turn, case when contains(lower(text), 'explain') or contains(lower(text), 'overview') then 'analyst' else 'retrieval' end as agent from conversations")
 def intent_routing(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.intent(F.col("text")).alias("agent"))
 
 
-@query("select item_id, case " + " ".join(f"when contains(lower(text), '{k}') then '{k}'" for k in T.FOLLOWUPS) + " else 'fallback' end as topic from benchmark")
+@query("""select item_id, case
+    when contains(lower(text), 'explain') then 'explain'
+    when contains(lower(text), 'repository') then 'repository'
+    when contains(lower(text), 'structure') then 'structure'
+    when contains(lower(text), 'entry') then 'entry'
+    when contains(lower(text), 'import') then 'import'
+    when contains(lower(text), 'dependency') then 'dependency'
+    when contains(lower(text), 'palindrome') then 'palindrome'
+    when contains(lower(text), 'decorator') then 'decorator'
+    when contains(lower(text), 'big-o') then 'big-o'
+    when contains(lower(text), 'api') then 'api'
+    when contains(lower(text), 'sql') then 'sql'
+    when contains(lower(text), 'async') then 'async'
+    when contains(lower(text), 'sort') then 'sort'
+    when contains(lower(text), 'auth') then 'auth'
+    when contains(lower(text), 'pattern') then 'pattern'
+    when contains(lower(text), 'test') then 'test'
+    when contains(lower(text), 'error') then 'error'
+    when contains(lower(text), 'function') then 'function'
+    when contains(lower(text), 'refactor') then 'refactor'
+    when contains(lower(text), 'class') then 'class'
+    when contains(lower(text), 'database') then 'database'
+    when contains(lower(text), 'config') then 'config'
+    when contains(lower(text), 'pipeline') then 'pipeline'
+    when contains(lower(text), 'model') then 'model'
+    else 'fallback' end as topic from benchmark""")
 def followup_topic(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", T.followup(F.col("text")).alias("topic"))
 
@@ -628,3 +706,18 @@ def memory_commands(spark, sf_dir):
 @query("select conv_id as scope, turn, '[' || turn || '] ' || text as line from conversations where conv_id = 1")
 def memory_by_scope(spark, sf_dir):
     return table(spark, sf_dir, "conversations").where("conv_id = 1").select(F.col("conv_id").alias("scope"), "turn", F.concat(F.lit("["), "turn", F.lit("] "), "text").alias("line"))
+
+
+@query(r"""select conv_id, turn, case when turn % 4 = 0 then turn when turn % 4 = 1 then -turn end as number, case when turn % 2 = 0 then role else '' end as language,
+    left(role, 3) as bytes, case when turn % 5 > 3 then 'p0, p1, p2 +' || (turn % 5 - 3) || ' more' else array_to_string(list_transform(range(turn % 5), lambda i: 'p' || i), ', ') end as listed,
+    turn % 2 = 0 or turn % 3 <> 0 as offered, role as label from conversations""")
+def small_functions(spark, sf_dir):
+    """Safe whole numbers, the language of a code block, byte ranges, shortened lists, offers and labels."""
+    k = F.col("turn")
+    said = F.when(k % 4 == 0, F.concat(F.lit(" "), k)).when(k % 4 == 1, F.concat(F.lit("-"), k)).when(k % 4 == 2, "").otherwise(F.concat(k, F.lit(" lines")))
+    items = F.transform(F.slice(F.array(*[F.lit(i) for i in range(5)]), F.lit(1), (k % 5).cast("int")), lambda i: F.concat(F.lit("p"), i))
+    css = F.when(k % 2 == 0, F.concat(F.lit("hljs language-"), "role", F.lit(" wide"))).otherwise("plain")
+    return table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", T.safe_int(said).alias("number"), T.code_language(css).alias("language"), T.byte_slice(F.concat(F.lit("é"), "role"), F.lit(2), F.lit(5)).alias("bytes"),
+        T.more(items, 3).alias("listed"), T.offered(k % 2 == 0, k % 3 == 0).alias("offered"), T.last_part(F.concat(F.lit("https://example.org/a/"), "role", F.lit("//"))).alias("label"),
+    )

@@ -7,7 +7,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_context_holds_whole_documents(spark):
-    got = {r.query_id: r.block for r in queries.QUERIES["context_block_whole"](spark, SF).collect()}
+    got = {r.query_id: r.block for r in queries.QUERIES["context_block"](spark, SF).collect()}
     want = {}
     for r in queries.answered(spark, SF).select("query_id", "position", "path", "snippet").orderBy("query_id", "position").collect():
         want.setdefault(r.query_id, []).append(f"[{r.path}]\n{r.snippet or ''}")
@@ -16,9 +16,9 @@ def test_context_holds_whole_documents(spark):
 
 def test_every_line_is_a_record(spark):
     want = {(f"{r.path}:{i}-{i}", x) for r in files(spark, SF).collect() for i, x in enumerate((r.content or "").split("\n"), 1) if x}
-    got = [(r.record_id, r.snippet) for r in queries.QUERIES["function_snippets_whole"](spark, SF).collect()]
+    got = [(r.record_id, r.snippet) for r in queries.QUERIES["function_snippets"](spark, SF).collect()]
     assert len(got) == len(want) and set(got) == want and any(not k.endswith(("-1", "-2")) for k, _ in want)
-    index = queries.QUERIES["index_records_whole"](spark, SF).where("scope = 'function'").collect()
+    index = queries.QUERIES["index_records"](spark, SF).where("scope = 'function'").collect()
     assert {(r.record_id, r.name) for r in index} == {(k, x[:20]) for k, x in want}
 
 
