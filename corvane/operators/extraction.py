@@ -1,7 +1,9 @@
 """Definitions and imports out of source files: one file row in, many rows out, in Arrow batches.
 
 Python is parsed by its own grammar (a file that doesn't parse falls back to patterns); the other languages by patterns
-of their definitions. Rows come in order of their place in the file. Lines count from 1 and ends are included.
+of their definitions. Rows come in order of their place in the file. Lines count from 1 and ends are included. Kinds of
+definitions whose node has no name of its own are anonymous: arrow functions, functions of C and C++, Rust's impl blocks
+and Go's type declarations.
 """
 
 from __future__ import annotations
@@ -17,11 +19,11 @@ ANONYMOUS = "<anonymous>"
 #: language: patterns of definitions; group 1 is the name.
 DEFINITIONS = {
     "python": [r"^[ \t]*(?:async[ \t]+)?(?:def|class)[ \t]+(\w+)"],
-    "javascript": [r"\bfunction\b[ \t]*\*?[ \t]*(\w*)", r"\bclass[ \t]+(\w+)", r"(?:\b(?:const|let|var)[ \t]+(\w+)[ \t]*=[ \t]*)?(?:async[ \t]+)?(?:\([^()]*\)|\w+)[ \t]*=>"],
+    "javascript": [r"\bfunction\b[ \t]*\*?[ \t]*(\w*)", r"\bclass[ \t]+(\w+)", r"()(?:\basync[ \t]+)?(?:\([^()]*\)|\b\w+)[ \t]*=>", r"(?:^|(?<=[{};,]))[ \t]*(?:(?:static|async|get|set)[ \t]+|\*[ \t]*)*(?!(?:if|for|while|switch|catch|with|function|return)\b)(#?[A-Za-z_$][\w$]*)[ \t]*\([^()]*\)[ \t]*\{"],
     "java": [r"\b(?:class|interface)[ \t]+(\w+)", r"^[ \t]*(?:public|private|protected|static|final|abstract|synchronized|[ \t])+[\w<>\[\], ]+[ \t]+(\w+)[ \t]*\([^;{]*\)[^;{]*\{"],
-    "go": [r"^func[ \t]+(?:\([^)]*\)[ \t]*)?(\w+)", r"^type[ \t]+(\w+)"],
-    "rust": [r"\b(?:fn|struct|enum|trait)[ \t]+(\w+)", r"\bimpl\b[^{;]*?(\w+)[ \t]*(?:<[^>]*>)?[ \t]*\{"],
-    "c": [r"^[\w*&<>:, \t]+?[ \t*&]([\w:~]+)[ \t]*\([^;{)]*\)[ \t]*(?:const[ \t]*)?\{", r"\b(?:struct|class)[ \t]+(\w+)"],
+    "go": [r"^func[ \t]+(?:\([^)]*\)[ \t]*)?(\w+)", r"^type\b()[ \t]*[\w(]"],
+    "rust": [r"\b(?:fn|struct|enum|trait)[ \t]+(\w+)", r"\bimpl\b()[^{;]*\{"],
+    "c": [r"^()[\w*&<>:, \t]+?[ \t*&][\w:~]+[ \t]*\([^;{)]*\)[ \t]*(?:const[ \t]*)?\{", r"\b(?:struct|class)[ \t]+(\w+)"],
     "ruby": [r"^[ \t]*def[ \t]+(?:self\.)?(\w+[?!=]?)", r"^[ \t]*(?:class|module)[ \t]+([\w:]+)"],
     "php": [r"\bfunction[ \t]+&?(\w+)", r"\bclass[ \t]+(\w+)"],
     "kotlin": [r"\b(?:class|interface)[ \t]+(\w+)", r"\bfun[ \t]+(?:<[^>]*>[ \t]*)?(?:\w+\.)?(\w+)"],

@@ -7,13 +7,14 @@ most imported modules as text; memory has save(content) and listing().
 from __future__ import annotations
 
 import json
+import logging
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 OFFLINE = "No language model is configured."
 #: Who counts as having worked on a question, by the way it took.
-USED = {"ask": ["planner", "retrieval", "mentor"], "fast": ["retrieval", "mentor"], "general": ["llm"], "generate": ["retrieval", "mentor"]}
+USED = {"ask": ["planner", "retrieval", "mentor", "validator"], "fast": ["retrieval", "mentor"], "general": ["mentor"], "generate": ["retrieval", "mentor"]}
 
 
 def offline(prompt: str) -> str:
@@ -34,7 +35,7 @@ class State:
 
 def keyword_plan(question: str) -> dict:
     low = question.lower()
-    agent = "repo_analyst" if "explain" in low or "overview" in low else "retrieval"
+    agent = "analyst" if "explain" in low or "overview" in low else "retrieval"
     return {"steps": [{"agent": agent, "instruction": question}]}
 
 
@@ -61,14 +62,16 @@ class Engine:
     llm: Callable[[str], str] | None = None
 
     def plan(self, question: str) -> dict:
+        """By keywords without a model; with one its own plan, or one retrieval step where it fails or gives no plan."""
         if self.llm is None:
             return keyword_plan(question)
         try:
-            return json.loads(unfenced(self.llm(f"Plan the steps, as JSON, to answer: {question}")))
-        except ValueError:
-            return {"steps": [{"agent": "retrieval", "instruction": question}]}
-        except Exception:
-            return keyword_plan(question)
+            plan = json.loads(unfenced(self.llm(f"Plan the steps, as JSON, to answer: {question}")))
+            if isinstance(plan, dict):
+                return plan
+        except Exception as e:
+            logging.getLogger(__name__).warning("no plan from the model: %s", e)
+        return {"steps": [{"agent": "retrieval", "instruction": question}]}
 
     def say(self, prompt: str) -> str:
         return (self.llm or offline)(prompt)
@@ -91,14 +94,15 @@ class Engine:
         return "Use `save: text` or `list`."
 
     def agent(self, name: str) -> Callable[[str], str] | None:
-        return {"retrieval": self.search, "repo_analyst": lambda p: self.say(f"{p}\n\n{self.overview()}"), "mentor": self.mentor, "memory": self.remember}.get(name)
+        return {"retrieval": self.search, "analyst": lambda p: self.say(f"{p}\n\n{self.overview()}"), "mentor": self.mentor, "memory": self.remember}.get(name)
 
     def route(self, s: State) -> str:
-        """The next agent; `validator` once after the last step; `end` then, and for an unknown agent."""
+        """The next agent; `validator` once after the last step; `end` then, and for an unknown agent. A step without
+        an agent is one of retrieval; letter case doesn't matter."""
         steps = s.plan.get("steps") or []
         if s.step >= len(steps):
             return "end" if s.validated else "validator"
-        name = steps[s.step].get("agent", "")
+        name = str(steps[s.step].get("agent") or "retrieval").lower()
         return name if self.agent(name) else "end"
 
     def execute(self, s: State, name: str) -> None:
@@ -118,9 +122,10 @@ class Engine:
         s.validated = True
         if s.answer:
             try:
-                s.answer = self.mentor(f"Check and finish this answer to: {s.question}\n\n{s.answer}") or s.answer
-            except Exception:
-                return
+                s.answer = self.mentor(f"Check and finish this answer to: {s.question}\n\n{s.answer}")
+            except Exception as e:
+                logging.getLogger(__name__).warning("the answer stays as it is: %s", e)
+            s.results.append("Validation: the answer was gone over.")
 
     def ask(self, question: str, repo_id: str | None = None) -> dict:
         s = State(question, repo_id, self.plan(question))
@@ -150,3 +155,54 @@ class Engine:
         except Exception as e:
             summary = f"Explanation failed: {e}"
         return {"node_id": node, "summary": summary, "snippet": snippet}
+
+
+def overview_text(counts: dict, top: list[tuple[str, int]]) -> str:
+    """What the analyst is told: counts of a repository (as a row of the overview) and its most used modules."""
+    return "\n".join([f"Files: {counts['file_count']}", f"Functions: {counts['function_count']}", f"Dependency edges: {counts['dependency_edges']}", f"Most used modules: {', '.join(f'{m} ({n})' for m, n in top)}"])
+
+
+class NotFound(KeyError):
+    """An unknown repository or node."""
+
+
+class Requests:
+    """The requests a client makes, over an engine's tables; `repo` of an unknown repository raises NotFound.
+
+    overview: (repo_id, name, file_count, function_count, dependency_edges, ...); edges: (repo_id, source, target);
+    search(repo_id, question, k) gives a DataFrame of record_id, scope and metadata, k rows at most.
+    """
+
+    def __init__(self, overview, edges, search):
+        self.overview, self.edges, self.search_in = overview, edges, search
+
+    def repos(self) -> list[dict]:
+        return [r.asDict() for r in self.overview.select("repo_id", "name").orderBy("repo_id").toLocalIterator()]
+
+    def repo(self, repo_id: str) -> dict:
+        row = self.overview.where(self.overview["repo_id"] == repo_id).first()
+        if row is None:
+            raise NotFound(f"Repository not found: {repo_id}")
+        return row.asDict()
+
+    def neighbours(self, repo_id: str, node: str, direction: str = "inbound") -> list[str]:
+        """Sorted neighbours of a node that some edge of the repository has."""
+        from corvane.operators import graph
+
+        self.repo(repo_id)
+        e = self.edges.where(self.edges["repo_id"] == repo_id)
+        if not e.where((e["source"] == node) | (e["target"] == node)).limit(1).count():
+            raise NotFound(f"Node not found: {node}")
+        return sorted(r["neighbour"] for r in graph.neighbours(e, node, direction).toLocalIterator())
+
+    def analysed(self, repo_id: str, k: int = 5) -> str:
+        """The analyst's overview of a repository; ties of modules by name."""
+        from pyspark.sql import functions as F
+
+        e = self.edges.where(self.edges["repo_id"] == repo_id)
+        top = e.groupBy("target").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "target").limit(k).collect()
+        return overview_text(self.repo(repo_id), [(r["target"], r["n"]) for r in top])
+
+    def search(self, repo_id: str, question: str, k: int = 5) -> list[dict]:
+        self.repo(repo_id)
+        return [r.asDict() for r in self.search_in(repo_id, question, k).toLocalIterator()]

@@ -27,11 +27,59 @@ def test_python_definitions_and_imports():
 
 def test_js_definitions_and_imports():
     src = "import a from './a'\nexport { b } from \"b\"\nfunction f() {\n  return 1\n}\nconst g = (x) => x;\nclass C {}\n"
-    assert [(n, s, e) for n, s, e, _ in extraction.definitions(src, "tsx")] == [("f", 3, 5), ("g", 6, 6), ("C", 7, 7)]
+    assert [(n, s, e) for n, s, e, _ in extraction.definitions(src, "tsx")] == [("f", 3, 5), ("<anonymous>", 6, 6), ("C", 7, 7)]
+    methods = "class C { foo(a) { if (a) { return 1 } } }\nclass D {\n  constructor() {\n  }\n  static async bar(x, y) {\n    while (x) { y() }\n  }\n}\n"
+    assert [d[0] for d in extraction.definitions(methods, "typescript")] == ["C", "foo", "D", "constructor", "bar"]
     assert extraction.imports(src, "javascript") == ["./a", "b"]
     assert extraction.definitions("x", "cobol") == [] and extraction.definitions(None, "go") == []
 
 
+def test_kinds_without_a_name():
+    names = lambda src, language: [d[0] for d in extraction.definitions(src, language)]
+    assert names("int main(void) {\n}\nstruct S {\n};\n", "c") == ["<anonymous>", "S"]
+    assert names("impl Foo for Bar {\n  fn x() {}\n}\nstruct Z {}\n", "rust") == ["<anonymous>", "x", "Z"]
+    assert names("type T struct {\n}\nfunc (t T) M() {\n}\nfunc F() {\n}\n", "go") == ["<anonymous>", "M", "F"]
+
+
+def test_view_language_of_suffixes(spark):
+    want = {"a.py": "python", "b.tsx": "typescript", "two.hpp": "hpp", "build.KT": "KT", "Makefile": "", "x/.git/config": "", ".bashrc": "", "d/e.tar.gz": "gz", "s.cs": "csharp", "y.yml": "yaml", "r.bat": "batch", "m.scala": "scala"}
+    df = spark.createDataFrame([(k,) for k in want], "path string")
+    assert {r.path: r.x for r in df.select("path", T.view_language(F.col("path")).alias("x")).collect()} == want
+    assert one(spark, T.scan_language(F.col("p")), p="two.hpp") == "cpp"
+
+
+def test_small_functions(spark):
+    ints = [(" 12 ", 12), ("-3", -3), ("1_000", 1000), ("", None), ("x", None), ("1.5", None), ("99999999999999999999", None), (None, None)]
+    df = spark.createDataFrame(ints, "s string, want long")
+    assert [r.x for r in df.select(T.safe_int(F.col("s")).alias("x")).collect()] == [w for _, w in ints]
+    assert one(spark, T.byte_slice(F.col("s"), F.lit(1), F.lit(4)), s="aéb") == "éb" and one(spark, T.byte_slice(F.col("s"), F.lit(2), F.lit(3)), s="aéb") == "�"
+    assert [one(spark, T.more(F.col("s"), 2), s=x) for x in (["a"], ["a", "b"], ["a", "b", "c", "d"])] == ["a", "a, b", "a, b +2 more"]
+    assert one(spark, T.code_language(F.col("s")), s="x language-py3 y") == "py3" and one(spark, T.code_language(F.col("s")), s="plain") == ""
+    label = lambda n, r: one(spark, T.repo_label(F.col("n"), F.col("r").cast("string"), F.lit("0123456789")), n=n, r=r)
+    assert (label("Name", "u/r.git"), label("", "https://h/o/r.git/"), label("", "")) == ("Name", "r", "01234567")
+
+
+def test_addresses():
+    cases = {" https://h/o/r/ ": ("https://h/o/r", "r"), "https://h/o/r.git": ("https://h/o/r.git", "r"), "https://h/o/digit.git": ("https://h/o/digit.git", "d"), "https://h/o/r/tree/main": ("https://h/o/r", "r"), "https://h/o/r/blob/main/a/b.py": ("https://h/o/r", "r"), "https://h/o/tree": ("https://h/o/tree", "tree"), "": ("", "")}
+    assert {u: repository.address(u) for u in cases} == cases
+
+
+def test_fetching_and_remote_names(tmp_path):
+    ran = []
+    row = repository.fetch("https://h/o/r.git/", str(tmp_path), run=lambda *a, **k: ran.append(a[0]))
+    assert row["name"] == "r" and row["root_path"] == f"{tmp_path}/{row['repo_id']}" and ran == [["git", "clone", "--depth", "1", "https://h/o/r.git", row["root_path"]]]
+
+    class Said:
+        stdout = "https://h/o/name.git\n"
+
+    assert repository.remote_name(["x"], run=lambda *a, **k: Said()) == "name"
+
+    def broken(*a, **k):
+        raise OSError
+
+    assert repository.remote_name(["x"], run=broken) is None
+
+
 def test_scan_extract_and_state(spark, tmp_path):
     root = tmp_path / "r"
     (root / "pkg").mkdir(parents=True)
@@ -144,7 +192,7 @@ class Memory(list):
 def test_agents():
     e = agents.Engine(lambda q, k: ("found", ["a.py | x"]))
     got = e.ask("explain the code")
-    assert got["answer"] == agents.OFFLINE and len(got["reasoning_steps"]) == 2
+    assert got["answer"] == agents.OFFLINE and len(got["reasoning_steps"]) == 3 and "(analyst)" in got["reasoning_steps"][1] and got["reasoning_steps"][2].startswith("Validation")
     got = e.ask("where is f")
     assert got["citations"] == ["a.py | x"]
     plan = {"steps": [{"agent": "memory", "instruction": "save: note"}, {"agent": "nobody", "instruction": "x"}]}
@@ -158,6 +206,51 @@ def test_agents():
     assert e.explain("g.py", lambda *a: None)["summary"] == "Not found."
 
 
+def test_routes_and_plans():
+    def failing(prompt):
+        raise RuntimeError
+
+    e = agents.Engine(lambda q, k: ("found", []), llm=failing)
+    assert e.plan("explain it") == {"steps": [{"agent": "retrieval", "instruction": "explain it"}]}  # a failing model isn't asked for keywords
+    assert agents.Engine(lambda q, k: ("f", []), llm=lambda p: "[1]").plan("q")["steps"][0]["agent"] == "retrieval"
+    route = lambda *steps, **k: e.route(agents.State("q", plan={"steps": list(steps)}, **k))
+    assert [route({"agent": "Analyst"}), route({}), route({"agent": "nobody"}), route(), route(validated=True)] == ["analyst", "retrieval", "end", "validator", "end"]
+    assert agents.USED == {"ask": ["planner", "retrieval", "mentor", "validator"], "fast": ["retrieval", "mentor"], "general": ["mentor"], "generate": ["retrieval", "mentor"]}
+    assert agents.Engine(lambda q, k: ("found", ["a.py"])).fast("q")["citations"] == ["a.py"]
+
+
+def test_requests(spark):
+    overview = spark.createDataFrame([("r1", "One", 2, 3, 2), ("r2", "Two", 0, 0, 0)], "repo_id string, name string, file_count long, function_count long, dependency_edges long")
+    edges = spark.createDataFrame([("r1", "a.py", "os"), ("r1", "b.py", "os"), ("r2", "c.py", "a.py")], "repo_id string, source string, target string")
+    r = agents.Requests(overview, edges, lambda *a: edges.limit(0))
+    assert [x["name"] for x in r.repos()] == ["One", "Two"] and r.repo("r1")["file_count"] == 2
+    assert r.neighbours("r1", "os") == ["a.py", "b.py"] and r.neighbours("r1", "a.py", "outbound") == ["os"] and r.neighbours("r1", "os", "outbound") == []
+    assert r.analysed("r1") == "Files: 2\nFunctions: 3\nDependency edges: 2\nMost used modules: os (2)" and r.search("r1", "q") == []
+    for call in (lambda: r.repo("r9"), lambda: r.neighbours("r1", "c.py"), lambda: r.search("r9", "q")):
+        with pytest.raises(agents.NotFound):
+            call()
+
+
+def test_odd_vectors_and_scopes(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0], "x"), (2, [0.0, 1.0], "y"), (3, [1.0], "x"), (4, None, "x"), (5, [1.0, 0.1], None)], "vec_id long, embedding array<double>, label string")
+    found = lambda qs, **k: {(r.query_id, r.record_id) for r in retrieval.vector_search(df, qs, 5, **k).collect()}
+    assert found([(10, [1.0, 0.0]), (11, None), (12, [2.0])]) == {(10, 1), (10, 2), (10, 5), (12, 3)}
+    assert found([(10, [1.0, 0.0], "x"), (11, [1.0, 0.0], "y"), (12, [1.0], None), (13, [1.0, 0.0], "z")], scope="label") == {(10, 1), (11, 2)}
+    assert found([]) == set()
+
+
+def test_first_occurrences_in_order(spark):
+    from corvane import queries
+
+    got = queries.QUERIES["citation_dedupe"](spark, "/root/testdata/sf0.001")
+    rows = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").orderBy("conv_id", "turn").collect()
+    want = {}
+    for r in rows:
+        if r.role and r.role not in want.setdefault(r.conv_id, []):
+            want[r.conv_id].append(r.role)
+    assert {r.conv_id: r.roles for r in got.collect()} == {k: "|".join(v) for k, v in want.items() if v}
+
+
 @pytest.mark.parametrize("enabled,expected,given,code", [(False, None, None, 200), (True, None, "x", 500), (True, "k", "x", 401), (True, "k", "k", 200)])
 def test_authorized(enabled, expected, given, code):
     assert agents.authorized(enabled, expected, given) == code
