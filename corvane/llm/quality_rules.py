@@ -1,6 +1,6 @@
 """Host-level quality rules: rule failures by host, rates shrunk by an empirical beta prior, verdicts joined back.
 
-Per document: four rules (short, repetition, symbols, repeated lines). Per host: how many documents fail each rule. A
+Per document: four rules (shorter than `min_words`, repetition, symbols, repeated lines). Per host: how many documents fail each rule. A
 host with few documents says little about itself, so each rate is shrunk towards all hosts' mean by a beta prior whose
 strength comes from the spread of the hosts' rates (method of moments). A host whose shrunk rate of any rule reaches
 `host_limit` is rejected with all its documents.
@@ -22,7 +22,7 @@ from corvane.llm.rows import map_text
 from corvane.scratch import stored
 
 SYMBOLS = b"#*$%&|<>"
-BROADCAST_ROWS, SALTS = 1_000_000, 64
+BROADCAST_ROWS, SALTS, MIN_WORDS = 1_000_000, 64, 50
 RULES = ("short", "repetition", "symbols", "lines")
 FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 
@@ -50,15 +50,15 @@ def measure(texts: list) -> list:
     return out
 
 
-def failures() -> dict:
+def failures(min_words: int = MIN_WORDS) -> dict:
     """Each rule as a column: true where a document fails it."""
     c = F.col
-    return {"short": c("n_words") < 50, "repetition": 100 * c("n_repeat_words") > 50 * c("n_words"), "symbols": 100 * c("n_symbols") > 20 * c("word_chars"), "lines": 100 * c("n_dup_lines") > 50 * c("n_lines")}
+    return {"short": c("n_words") < min_words, "repetition": 100 * c("n_repeat_words") > 50 * c("n_words"), "symbols": 100 * c("n_symbols") > 20 * c("word_chars"), "lines": 100 * c("n_dup_lines") > 50 * c("n_lines")}
 
 
-def host_rates(measured: DataFrame, max_strength: float = 1e4) -> DataFrame:
+def host_rates(measured: DataFrame, min_words: int = MIN_WORDS, max_strength: float = 1e4) -> DataFrame:
     """Per host: n, the failures of each rule and its shrunk rate. `measured` has `host` and the columns of FIELDS."""
-    by = measured.where("host is not null").groupBy("host").agg(F.count("*").alias("n"), *[F.sum(v.cast("long")).alias(f"f_{k}") for k, v in failures().items()])
+    by = measured.where("host is not null").groupBy("host").agg(F.count("*").alias("n"), *[F.sum(v.cast("long")).alias(f"f_{k}") for k, v in failures(min_words).items()])
     by = stored(by, "host-counts")
     rate = {k: F.col(f"f_{k}") / F.col("n") for k in RULES}
     spread = by.agg(*[f(v).alias(f"{a}_{k}") for k, v in rate.items() for a, f in (("m", F.avg), ("v", F.var_pop))]).first()  # one row
@@ -70,7 +70,7 @@ def host_rates(measured: DataFrame, max_strength: float = 1e4) -> DataFrame:
     return by.select("host", "n", *[f"f_{k}" for k in RULES], *shrunk)
 
 
-def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", carry: list[str] | None = None, host_limit: float = 0.5) -> DataFrame:
+def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", carry: list[str] | None = None, host_limit: float = 0.5, min_words: int = MIN_WORDS) -> DataFrame:
     """`row` (the carried columns), the counts of FIELDS, base_failed, host_rejected and kept, one row per input row.
 
     Without the text among the carried columns, the measured rows are narrow and written once to the shared folder: the
@@ -82,8 +82,8 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", car
     inner = carry if host in carry else [*carry, host]
     measured = lambda c: map_text(docs, lambda: measure, FIELDS, text, c).withColumn("host", F.col("row")[host].cast("string"))
     rows = measured(inner) if text in carry else stored(measured(inner), "rules")
-    bad = host_rates(measured([host]) if text in carry else rows).where(F.greatest(*[F.col(f"rate_{k}") for k in RULES]) >= host_limit).select("host", F.lit(True).alias("host_rejected"))
-    rules = failures()
+    bad = host_rates(measured([host]) if text in carry else rows, min_words).where(F.greatest(*[F.col(f"rate_{k}") for k in RULES]) >= host_limit).select("host", F.lit(True).alias("host_rejected"))
+    rules = failures(min_words)
     base = F.coalesce(rules["short"] | rules["repetition"], F.lit(True))
     bad = stored(bad, "hosts")
     if bad.count() <= BROADCAST_ROWS:

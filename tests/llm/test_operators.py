@@ -396,3 +396,106 @@ def test_language_id(spark, docs, none):
     assert langid.language_id(none, model).count() == 0
     empty = langid.learn(langid.train_rows(df.where("false"), F.lit(True), 60))
     assert {r.lang_pred for r in langid.language_id(df, empty).collect()} == {"und"}
+
+
+def test_quality_model_by_hand_and_its_gradient():
+    """Scores equal a plain-Python pass over the passages; the gradient equals differences of the loss."""
+    rng = np.random.default_rng(1)
+    n = mil.N_FEATURES + mil.HASHED
+    p = {"mean": rng.normal(size=mil.N_FEATURES), "scale": np.ones(mil.N_FEATURES), "W": rng.normal(size=(n, 3)) / 5, "b": rng.normal(size=3), "V": rng.normal(size=(3, 2)), "U": rng.normal(size=(3, 2)), "w": rng.normal(size=2), "c": rng.normal(size=3), "d": np.array(0.3)}
+    model, texts = mil.Model(p), [b.encode() for b in (BASE[0], BASE[1] * 3, "one", PASSAGE, "")]
+    sig = lambda z: 1 / (1 + np.exp(-z))
+    want = []
+    for b in texts:
+        encoded, weight = [], []
+        for stats, counts in zip(*mil.passages(b), strict=True):
+            x = [*((stats - p["mean"]) / p["scale"]), *np.sqrt(counts / 64)]
+            h = [np.tanh(sum(x[i] * p["W"][i, j] for i in range(n)) + p["b"][j]) for j in range(3)]
+            gate = [np.tanh(sum(h[j] * p["V"][j, g] for j in range(3))) * sig(sum(h[j] * p["U"][j, g] for j in range(3))) for g in range(2)]
+            encoded.append(h), weight.append(np.exp(sum(gate[g] * p["w"][g] for g in range(2))))
+        z = [sum(a * h[j] for a, h in zip(weight, encoded, strict=True)) / sum(weight) for j in range(3)]
+        want.append(sig(sum(z[j] * p["c"][j] for j in range(3)) + 0.3))
+    got = model.scorer()(texts)
+    assert np.allclose(got[0], want, atol=1e-6) and got[1] == [int(v >= 0.5) for v in want]
+    parts = [mil.passages(b) for b in texts]
+    x = np.concatenate([model.features(*q) for q in parts]).astype(float)
+    first, y = np.cumsum([0, *[len(q[0]) for q in parts[:-1]]]), np.array([1.0, 0, 1, 0, 1])
+    _, grad = mil.loss_and_gradient(model, x, first, y)
+    for k, at in (("W", (3, 1)), ("W", (n - 5, 2)), ("b", (0,)), ("V", (1, 1)), ("U", (2, 0)), ("w", (1,)), ("c", (2,)), ("d", ())):
+        ends = []
+        for step in (1e-5, -1e-5):
+            q = {a: v.copy() for a, v in p.items()}
+            q[k][at] += step
+            ends.append(mil.loss_and_gradient(mil.Model(q), x, first, y)[0])
+        assert abs((ends[0] - ends[1]) / 2e-5 - grad[k][at]) < 1e-6, k
+
+
+def test_very_long_texts_of_the_learned_operators():
+    long = ("word " * 300_000 + "vilex ").encode()
+    stats, counts = mil.passages(long)
+    assert len(stats) == -(-300_001 // 64) and counts.sum(dtype=int) == 300_001
+    score = toxicity.Lexicon({"=vilex": 3.0}, frozenset(["word vilex"]), (1.0, 0.0)).matcher()
+    assert score([long, long[5:-6] + b"vilex vilex"])[2] == [0, 1]
+    many = b"a trash b " * 50_000  # as many hits as exceptions
+    assert toxicity.Lexicon({"=trash": 1.0}, frozenset(["trash b"]), (1.0, 0.0)).matcher()([many, b"trash"])[2] == [0, 1]
+
+
+def test_lexicon_against_a_scan():
+    """The automaton's hits equal those of looking at every word and phrase."""
+    weights, exceptions = {"=clown": 5.0, "^tras": 4.0, "^clow": 1.0, "=trasher": 6.0}, frozenset(["clown fish", "old trash"])
+    score = toxicity.Lexicon(weights, exceptions, (0.7, -1.0)).matcher()
+    rng, vocabulary = random.Random(8), ["clown", "cl0wn", "clowns", "fish", "trash", "TRASHER", "old", "a", "extras", "cløwn", "tra5h"]
+    for _ in range(400):
+        text = " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 9)))
+        w = [toxicity.fold(x) for x in toxicity.WORD.findall(text.lower())]
+        hits = {}
+        for i, x in enumerate(w):
+            best = max([v for t, v in weights.items() if (x == t[1:] if t[0] == "=" else x.startswith(t[1:]))], default=0)
+            if best and not any(" ".join(w[j : j + 2]) in exceptions for j in (i - 1, i) if j >= 0):
+                hits[i] = best
+        z = 0.7 * sum(hits.values()) / np.log2(2 + len(w)) - 1
+        got = [c[0] for c in score([text.encode()])]
+        assert got[2] == len(hits) and abs(got[0] - 1 / (1 + np.exp(-z))) < 1e-9, text
+
+
+def test_language_vectors_by_dictionaries():
+    """Cosines to centroids equal those of counted 3-grams; equal cosines go to the first language; far texts are rejected."""
+    dims, texts = 8192, ["Der Hund läuft", "the dog runs, THE DOG", "ÉCOLE école", "x", "日本 語"]
+    table = {i: (chr(i).lower().encode() if chr(i).isalpha() else b" ") if i < 128 else bytes([i]) for i in range(256)}
+    for t in texts:
+        b = b"".join(table[x] for x in (" " + t.lower() + " ").encode())
+        while b"  " in b:
+            b = b.replace(b"  ", b" ")
+        grams = Counter(((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 2654435761 & 0xFFFFFFFF) >> 19 for i in range(len(b) - 2))
+        v = langid.vectors([t.encode()], dims)[0]
+        assert {int(i): round(float(np.expm1(v[i]))) for i in np.flatnonzero(v)} == grams
+    c = np.stack([langid.unit(langid.vectors([t.encode()], dims)[0]) for t in ("the dog", "the dog", "der hund")])
+    model = langid.Model(["aa", "bb", "de"], c, np.ones(dims, np.float32), np.array([0.9, 0.9, 0.9]))
+    pred, score, rejected = model.predictor()([b"the dog", b"der hund", b"zzz qqq", b"", None, b"12 !"])
+    assert pred == ["aa", "de", "aa", "und", "und", "und"] and rejected == [False, False, True, True, True, True] and score[3:] == [0, 0, 0] and score[0] > 0.999
+
+
+def test_rows_learned_from_are_bounded(spark):
+    docs = spark.createDataFrame([(1, f"t{i}") for i in range(50)] + [(2, "x"), (3, None), (None, "y")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (None, 1), (9, None)], "doc_id long, toxic int")
+    assert sorted(map(tuple, toxicity.labelled(docs, labels, "toxic", F.lit(True), 10).collect())) == [("t0", 1), ("x", 0)]
+    assert toxicity.labelled(docs, labels, "toxic", F.lit(True), 1).count() <= 1
+    rows = [(i, f"text {i}", f"l{i % 300}") for i in range(3000)] + [(i, "same", "big") for i in range(3000)] + [(7, "same", "big")] * 500
+    drawn = langid.train_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), 600)
+    by = {r["lang"]: r["count"] for r in drawn.groupBy("lang").count().collect()}
+    assert len(by) == 301 and sum(by.values()) == 3000 + by["big"] and by["big"] < 60
+
+
+def test_rows_repeat_and_names_clash(spark):
+    """Repeated rows give equal rows, and every operator keeps the input's columns whatever their names."""
+    rows = [(1, BASE[0], "a", "b"), (1, BASE[0], "a", "b"), (2, None, "c", "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score string, `x.ids` string")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    model = mil.constant(0.5)
+    for got in (license_scan.license_scan(df), media.media_columns(df), bpe.byte_bpe(df, path, public_tokenizers.PATTERN), mil.quality(df, model), toxicity.toxicity(df, toxicity.Lexicon({})), langid.language_id(df, langid.Model([], np.zeros((0, 8)), np.ones(8), np.zeros(0)))):
+        got = [tuple(r) for r in got.select("row.*", *[F.col(c).alias(f"out_{c}") for c in got.columns if c != "row"]).collect()]
+        assert len(got) == 3 and sum(r[2:4] == ("a", "b") for r in got) == 2
+        same = [r for r in got if r[0] == 1]
+        assert same[0] == same[1]
+    for got in (quality_rules.quality_rules(df, host="score"), substring.substring_dedup(df)):
+        assert sorted(r[3] for r in got.select("row.*").collect()) == ["b", "b", "d"]
