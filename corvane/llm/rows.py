@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES, BATCH_BYTES = 4 << 20, 8 << 20
 
 
 def slices(batch: pa.RecordBatch, texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -27,6 +27,14 @@ def slices(batch: pa.RecordBatch, texts: pa.Array, limit: int = SLICE_BYTES) ->
         at = to
 
 
+def bounded(spark: SparkSession) -> None:
+    """From now on Arrow batches between the JVM and its workers hold BATCH_BYTES at most; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).removesuffix("b")
+    if not now.lstrip("-").isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 Make = Callable[[], Callable[[list], Sequence]]
 
 
@@ -41,6 +49,7 @@ def map_text(df: DataFrame, make: Make, fields: str, text: str = "text", carry:
     make() runs once per task and returns the function that turns a list of texts (UTF-8 bytes or None) into one
     sequence per field. Input columns stay inside `row`, so their names can't clash with those of the fields.
     """
+    bounded(df.sparkSession)
     carry = list(df.columns if carry is None else carry)
     inside = text in carry
     rows = df.select(F.struct(*[name(c) for c in carry]).alias("row"), *([] if inside else [name(text).cast("string").alias("text")]))
