@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm import pieces
-from corvane.llm.rows import name, slices
+from corvane.llm.rows import bounded, name, slices
 from corvane.scratch import stored
 
 NONE = 2147483647
@@ -221,8 +221,9 @@ def frequent(found: DataFrame, ranks: Ranks, most: int) -> pieces.Known:
     return pieces.Known(words_, ids, sizes.astype(np.int64))
 
 
-def byte_bpe(docs: DataFrame, path: str, pattern: str, text: str = "text", carry: list[str] | None = None, broadcast_words: int = 1_000_000, window: int = 256) -> DataFrame:
+def byte_bpe(docs: DataFrame, path: str, pattern: str, text: str = "text", carry: list[str] | None = None, broadcast_words: int = 1_500_000, window: int = 256) -> DataFrame:
     """`row` (the carried columns), ids array<int> and decoded binary."""
+    bounded(docs.sparkSession)
     carry = list(docs.columns if carry is None else carry)
     ranks = Ranks(path, window)
     known = frequent(stored(words(docs, pattern, ranks.tokens(), text), "words"), ranks, broadcast_words)
