@@ -36,7 +36,7 @@ from corvane.scratch import stored
 
 NONE = 2147483647
 LOW = (1 << 32) - 1
-SLICE = 2 << 20  # bytes of text cut at once
+SLICE, PLAN_TEXT = 2 << 20, 1_000_000  # bytes of text cut at once; characters of a plan kept on the driver
 
 
 class Ranks:
@@ -224,6 +224,8 @@ def frequent(found: DataFrame, ranks: Ranks, most: int) -> pieces.Known:
 def byte_bpe(docs: DataFrame, path: str, pattern: str, text: str = "text", carry: list[str] | None = None, broadcast_words: int = 1_500_000, window: int = 256) -> DataFrame:
     """`row` (the carried columns), ids array<int> and decoded binary."""
     bounded(docs.sparkSession)
+    if int(docs.sparkSession.conf.get("spark.sql.maxPlanStringLength").removesuffix("b")) > PLAN_TEXT:  # a plan's description spells its literals
+        docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
     carry = list(docs.columns if carry is None else carry)
     ranks = Ranks(path, window)
     known = frequent(stored(words(docs, pattern, ranks.tokens(), text), "words"), ranks, broadcast_words)
