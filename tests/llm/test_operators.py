@@ -161,6 +161,37 @@ def test_media_faults():
     assert media.demux(b"")["payload"] == b""
 
 
+def test_media_tables_and_clock():
+    m = media.mux(media.payload_of(RNG.randbytes(media.PES_BYTES * 20)))
+    got = media.demux(m)
+    assert got["tables"] == 2 * 3 and got["faults"] == got["cc_errors"] == 0  # sent before elementary packets 0, 8 and 16
+    ahead = {(300 * t - c) % (300 << 33) for t, c in zip(got["pts"], got["pcr"], strict=True)}
+    assert ahead == {300 * media.TICKS}
+    shifted = media.demux(m[:1000] + m[1001:])  # a byte is lost: what follows is found again
+    assert shifted["faults"] >= 1 and shifted["payload"][-5000:] == got["payload"][-5000:]
+
+
+def test_media_of_two_streams():
+    """Two elementary PIDs, interleaved, with a program map that spans packets."""
+    other = media.ES_PID + 1
+    entry = lambda pid, info: bytes([6]) + (0xE000 | pid).to_bytes(2, "big") + (0xF000 | len(info)).to_bytes(2, "big") + info
+    section = media._section(2, 1, (0xE000 | media.ES_PID).to_bytes(2, "big") + b"\xf0\x00" + entry(media.ES_PID, b"\x05\xfa" + bytes(250)) + entry(other, b""))
+    one, two = (media.payload_of(RNG.randbytes(n)) for n in (30000, 20000))
+
+    def body(p):
+        m = media.mux(p)
+        packets = [m[k : k + 188] for k in range(0, len(m), 188)]
+        return [x for x in packets if (x[1] & 31) << 8 | x[2] == media.ES_PID]
+
+    a, b = body(one), [x[:1] + bytes([x[1], other & 255]) + x[3:] for x in body(two)]
+    table = [media._packet(media.PMT_PID, True, 0, (b"\x00" + section)[:184]), media._packet(media.PMT_PID, False, 1, (b"\x00" + section)[184:].ljust(184, b"\xff"))]
+    both = [x for k in range(max(len(a), len(b))) for x in a[k : k + 1] + b[k : k + 1]]
+    got = media.demux(b"".join([media._TABLES[0][0], *table, *both]))
+    assert got["faults"] == got["cc_errors"] == 0 and got["tables"] == 2
+    assert got["elementary"][media.ES_PID]["payload"] == one == got["payload"] and got["elementary"][other]["payload"] == two
+    assert got["elementary"][other]["raps"] == [0] and got["elementary"][media.ES_PID]["raps"] == [0]
+
+
 def test_media_columns(docs, none):
     got = by_id(media.media_columns(docs).select("row.*", "payload_sha256", "payload_bytes", "tail_crc32"))
     for i, t in enumerate(TEXTS):
