@@ -81,15 +81,8 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def vector_search(records: DataFrame, queries: list[tuple], k: int, key: str = "vec_id", vector: str = "embedding", scope: str | None = None) -> DataFrame:
-    """(query_id, record_id, score, rank): the k records of highest cosine for each query (id, vector).
-
-    With `scope`, queries are (id, vector, scope) and only records whose column of that name has this value are searched.
-    Zero vectors score 0. Queries and records without id or vector are left out, and a record is no hit for a query of
-    another length; so are null scopes. Ids of records may be integers or strings.
-    """
-    queries = [q for q in queries if q[0] is not None and q[1] is not None and (scope is None or q[2] is not None)]
-    names = [q[0] for q in queries]
+def _cosines(queries: list[tuple], digits: int) -> Callable:
+    """For a task: from vectors to their rounded cosines with the queries (id, vector), -inf where lengths differ."""
     blocks = {}
     for n in {len(q[1]) for q in queries}:
         own = [i for i, q in enumerate(queries) if len(q[1]) == n]
@@ -99,18 +92,53 @@ def vector_search(records: DataFrame, queries: list[tuple], k: int, key: str = "
 
     def make():
         def score(vectors: list) -> np.ndarray:
-            out = np.full((len(vectors), len(names)), -np.inf)
+            out = np.full((len(vectors), len(queries)), -np.inf)
             for n, (own, m) in blocks.items():
                 rows = [i for i, v in enumerate(vectors) if len(v) == n]
                 x = np.array([vectors[i] for i in rows], np.float64).reshape(len(rows), n)
                 size = np.linalg.norm(x, axis=1, keepdims=True)
-                out[np.ix_(rows, own)] = np.round(x / np.where(size > 0, size, 1) @ m.T, 6) + 0.0
+                out[np.ix_(rows, own)] = np.round(x / np.where(size > 0, size, 1) @ m.T, digits) + 0.0
             return out
 
         return score
 
+    return make
+
+
+def similarities(records: DataFrame, queries: list[tuple], digits: int = 6, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, record_id, score): every record's cosine with each query (id, vector), integer ids, in one scan.
+
+    Zero vectors score 0; queries and records without id or vector, and pairs of unequal lengths, are left out. At most
+    CELLS scores are held at once.
+    """
+    queries = [q for q in queries if q[0] is not None and q[1] is not None]
+    names, make = np.array([q[0] for q in queries], np.int64), _cosines(queries, digits)
+
+    def run(batches):
+        score, step = make(), max(1, CELLS // 8 // max(1, len(names)))
+        for b in batches:
+            for lo in range(0, b.num_rows if len(names) else 0, step):
+                part = b.slice(lo, step)
+                scores = score(part.column(1).to_pylist())
+                r, c = np.nonzero(scores > -np.inf)
+                ids = part.column(0).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(names[c]), pa.array(ids[r]), pa.array(scores[r, c])], names=["query_id", "record_id", "score"])
+
+    rows = records.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("bigint"), vector)
+    return rows.mapInArrow(run, "query_id long, record_id long, score double")
+
+
+def vector_search(records: DataFrame, queries: list[tuple], k: int, key: str = "vec_id", vector: str = "embedding", scope: str | None = None) -> DataFrame:
+    """(query_id, record_id, score, rank): the k records of highest cosine for each query (id, vector).
+
+    With `scope`, queries are (id, vector, scope) and only records whose column of that name has this value are searched.
+    Zero vectors score 0. Queries and records without id or vector are left out, and a record is no hit for a query of
+    another length; so are null scopes. Ids of records may be integers or strings.
+    """
+    queries = [q for q in queries if q[0] is not None and q[1] is not None and (scope is None or q[2] is not None)]
+    names = [q[0] for q in queries]
     given = records.where(F.col(vector).isNotNull())
-    return _search(given, key, F.col(vector), names, make, k, *([] if scope is None else [F.col(scope), [q[2] for q in queries]]))
+    return _search(given, key, F.col(vector), names, _cosines(queries, 6), k, *([] if scope is None else [F.col(scope), [q[2] for q in queries]]))
 
 
 def hash_search(records: DataFrame, queries: list[tuple[int, str]], k: int, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -219,13 +219,13 @@ def vector_norms(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(V.norm(F.col("embedding")), 5).alias("norm"))
 
 
-@query(f"select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 5) as score from embeddings a join embeddings b on a.vec_id = 0")
+@query(f"select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 5) as score from embeddings a join embeddings b on a.vec_id % {EVERY} = 0")
 def pairwise_cosine(spark, sf_dir):
-    """Every vector with the one vector that is asked about."""
+    """Every twentieth vector with every vector."""
     e = table(spark, sf_dir, "embeddings")
-    b = e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
-    one = e.where("vec_id = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
-    return F.broadcast(one).join(b).select("a", "b", F.round(V.cosine(F.col("x"), F.col("y")), 5).alias("score"))
+    asked = e.where(F.col("vec_id") % EVERY == 0).select("vec_id", "embedding")
+    got = retrieval.in_blocks(asked, lambda q: retrieval.similarities(e, q, 5))
+    return got.select(F.col("query_id").alias("a"), F.col("record_id").alias("b"), "score")
 
 
 KNN = "select query_id, record_id, score, rank from (select q.vec_id as query_id, e.vec_id as record_id, round(list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 6) as score, row_number() over (partition by q.vec_id order by round(list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 6) desc, e.vec_id) as rank from embeddings q, embeddings e where q.vec_id {which}) where rank <= {k}"

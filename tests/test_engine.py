@@ -239,6 +239,22 @@ def test_odd_vectors_and_scopes(spark):
     assert found([]) == set()
 
 
+def test_all_similarities(spark, monkeypatch):
+    """Every pair, in slices too, equals the column function; odd vectors as in a search."""
+    from corvane.functions import vectors
+
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.3, 0.7]), (2, [0.3, 0.7]), (3, [1.0]), (4, None), (None, [1.0, 0.1]), (5, [0.0, 0.0])], "vec_id long, embedding array<double>")
+    asked = [(10, [1.0, 0.0]), (11, None), (12, [2.0]), (None, [1.0, 1.0]), (13, [0.2, 0.9])]
+    got = sorted(tuple(r) for r in retrieval.similarities(df, asked).collect())
+    assert [(q, r) for q, r, _ in got] == [(10, 1), (10, 2), (10, 2), (10, 5), (12, 3), (13, 1), (13, 2), (13, 2), (13, 5)]
+    pairs = spark.createDataFrame([(asked[i][0], x, r, v) for i in (0, 4) for r, v in ((1, [1.0, 0.0]), (2, [0.3, 0.7]), (5, [0.0, 0.0])) for x in [asked[i][1]]], "q long, x array<double>, r long, y array<double>")
+    want = {(p.q, p.r): p.s for p in pairs.select("q", "r", F.round(vectors.cosine(F.col("x"), F.col("y")), 6).alias("s")).collect()}
+    assert {(q, r): s for q, r, s in got if q != 12} == want
+    monkeypatch.setattr(retrieval, "CELLS", 8)
+    assert sorted(tuple(r) for r in retrieval.similarities(df, asked).collect()) == got
+    assert retrieval.similarities(df, []).count() == retrieval.similarities(df.limit(0), asked).count() == 0
+
+
 def test_first_occurrences_in_order(spark):
     from corvane import queries
 
