@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.functions.vectors import DIMENSIONS
-from corvane.scratch import stored
+from corvane.scratch import stored_parts
 
 BLOCK, CELLS = 4096, 4_000_000  # queries a scan; scores held at once
 
@@ -64,15 +64,22 @@ def _search(records: DataFrame, key: str, value: Column, names: list, make, k: i
 
 
 def in_blocks(queries: DataFrame, search: Callable[[list[tuple]], DataFrame], block: int = BLOCK) -> DataFrame:
-    """search() of all rows (id, value, ...) of `queries`, of which the driver holds two blocks at a time."""
+    """search() of all rows (id, value, ...) of `queries`, of which the driver holds two blocks at a time.
+
+    What several blocks find is written block by block into one table, so the plan is one scan for any number of them.
+    """
     rows = (tuple(r) for r in queries.where(F.col(queries.columns[0]).isNotNull()).toLocalIterator())
     part, rest = list(islice(rows, block)), list(islice(rows, block))
-    out = search(part)
-    if rest:
-        out = stored(out, "found")
-    while rest:
-        out, rest = out.union(stored(search(rest), "found")), list(islice(rows, block))
-    return out
+    if not rest:
+        return search(part)
+
+    def found():
+        nonlocal part, rest
+        while part:
+            yield search(part)
+            part, rest = rest, list(islice(rows, block))
+
+    return stored_parts(found(), "found")
 
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:

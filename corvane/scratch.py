@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,13 +22,27 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+def fresh(spark: SparkSession, tag: str) -> str:
+    """A path in the shared folder that nothing has used."""
+    return f"{shared_dir(spark)}/corvane/{tag}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """df, written once as Parquet in the shared folder and read back: the plan behind it never runs again."""
-    path = f"{shared_dir(df.sparkSession)}/corvane/{tag}-{uuid.uuid4().hex}"
+    path = fresh(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_parts(parts: Iterable[DataFrame], tag: str) -> DataFrame:
+    """All rows of `parts` (one at least, of one schema), each written in turn, read back as one table: the plan stays one scan."""
+    path = None
+    for k, df in enumerate(parts):
+        path = path or fresh(df.sparkSession, tag)
+        df.write.parquet(f"{path}/part{k}")
+    return df.sparkSession.read.schema(df.schema).option("recursiveFileLookup", True).parquet(path)
+
+
 def small(df: DataFrame, tag: str, most: int = 1_000_000) -> DataFrame:
     """df as written, to be broadcast if it has at most `most` rows; for narrow rows."""
     df = stored(df, tag)
