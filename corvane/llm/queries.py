@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, langid, license_scan, media, mil, minhash, packing, quality_rules, substring, toxicity
+from corvane.llm import bit_codes, bpe, collocations, hard_negatives, langid, license_scan, media, mil, minhash, packing, quality_rules, substring, toxicity
 
 LABELLED, LANG_ROWS = 6000, 4000
 
@@ -95,7 +95,25 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", (split_mod(4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_license_scan, op4_media_columns, op5_best_fit_packing, op6_minhash_near_dedup, op7_substring_dedup, op8_quality_classifier, op9_toxicity, op10_language_id)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives in the score window of each positive, for every hundredth vector; some labels are shifted first."""
+    e = table(spark, sf_dir, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(e.withColumn("label", shifted), F.col("vec_id") % 100 == 0)
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector."""
+    got = bit_codes.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return got.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 2000 collocations of each language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_license_scan, op4_media_columns, op5_best_fit_packing, op6_minhash_near_dedup, op7_substring_dedup, op8_quality_classifier, op9_toxicity, op10_language_id, op11_hard_negatives, op12_nearest_neighbours, op13_collocations)}
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 LICENSE_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -194,4 +212,22 @@ ORACLES = {
     select doc_id, len(ws) as n_words, coalesce(len(ps), 0) as n_removed,
       sha256(array_to_string(case when ps is null then ws else list_filter(ws, lambda v, i: not list_contains(ps, i)) end, ' ')) as kept_sha256
     from w left join gone using (doc_id)""",
+    "op11_hard_negatives": """
+    with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as z from embeddings
+        where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    s as (select a.vec_id as anchor_id, a.label = e.label as same, e.vec_id, list_inner_product(a.z, e.z)::bigint as score from e a join e on a.vec_id % 100 = 0 and a.vec_id <> e.vec_id),
+    p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+    select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, vec_id)::int as rank, vec_id as negative_id, positive_score, score as negative_score
+    from p join s using (anchor_id) where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score qualify rank <= 10""",
+    "op13_collocations": r"""
+    with t as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+    w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from (select lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) as piece from t)),
+    g as (select lang, k, array_to_string(ws[i:i + k - 1], ' ') as phrase, count(*) as f from w, unnest(range(1, 5)) a(k), unnest(range(1, len(ws) - k + 2)) b(i) group by all),
+    c as (select lang, k, phrase, f as a, string_split(phrase, ' ') as ws from g where k > 1 and f >= 30),
+    cuts as (select c.lang, c.phrase, c.a, c.k, j, l.f as l, r.f as r, (2000000::hugeint * a // (l.f + r.f))::bigint as score from c, unnest(range(1, c.k)) t(j)
+        join g l on l.lang = c.lang and l.phrase = array_to_string(ws[1:j], ' ') join g r on r.lang = c.lang and r.phrase = array_to_string(ws[j + 1:], ' ')),
+    weakest as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+    kept as (select * from weakest x where not exists (select 1 from c y where y.lang = x.lang and y.k > x.k and 100 * y.a >= 80 * x.a and contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' ')))
+    select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+    from kept join (select lang, sum(f)::bigint as n from g where k = 1 group by lang) using (lang) qualify rank <= 2000""",
 }
