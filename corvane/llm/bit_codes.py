@@ -8,7 +8,7 @@ Search: for a query q, code.(q - c) times the scale estimates (o - c).(q - c), w
 |o - c| |q - c| sqrt(1 - a^2) / a / sqrt(D - 1) times a number that passes `width` very rarely (`width` = 3: about one in
 a thousand, on the side that matters). Only rows whose estimate plus that error reaches the query's current kth score are
 multiplied with the query exactly, in doubles, from the vectors stored beside the codes. The first page scores its
-rows of best estimate first, which sets the kth score.
+SEEDS * k rows of best estimate first, which sets the kth score.
 
 So scores are exact and a true neighbour is missed only where its error passed the bound; tests measure recall. The
 rotation is three rounds of random signs and a Hadamard transform, drawn from a fixed seed, over coordinates padded with
@@ -34,7 +34,7 @@ from corvane.llm.rows import bounded, name
 from corvane.operators.retrieval import in_blocks
 from corvane.scratch import stored
 
-PAGE_ROWS, BLOCK, GROUP, PAIRS, WIDTH = 4096, 2048, 512, 16384, 3.0
+PAGE_ROWS, BLOCK, GROUP, PAIRS, SEEDS, WIDTH = 4096, 2048, 512, 16384, 8, 3.0
 PAGE = "dims int, n int, centre binary, ids binary, codes binary, numbers binary, vectors binary"
 
 
@@ -118,7 +118,7 @@ class Asked:
             first = self.best.least[asked] == -np.inf
             seeds = np.zeros((n, len(asked)), bool)
             if first.any():
-                k = min(n, self.best.k + 1)  # one more: the query's own row may be among them
+                k = min(n, SEEDS * self.best.k + 1)  # one more: the query's own row may be among them
                 at = np.argpartition(-upper[:, first], k - 1, axis=0)[:k]
                 seeds[at, np.flatnonzero(first)[None, :]] = True
                 self.rerank(ids, vectors, *np.nonzero(seeds), asked)

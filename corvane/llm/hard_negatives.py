@@ -127,7 +127,7 @@ class Requests:
         of = lambda key, kind: np.frombuffer(t[key], kind)
         z = of("grid", np.int32 if len(t["grid"]) == 4 * n * d else np.int64).reshape(n, d).astype(np.int64)
         self.rows = of("ids", np.int64), of("labels", np.int64), z
-        centres, radii, low, high = of("centres", np.float64).reshape(-1, d), of("radii", np.float64), of("lowest", np.int64), of("highest", np.int64)
+        centres, radii, low, high = of("centres", np.float64).reshape((2 << depth(n)) - 1, d), of("radii", np.float64), of("lowest", np.int64), of("highest", np.int64)
         levels, q = depth(n), self.q.T.astype(np.float64)
         c = cuts(n, levels)
         mine = self.labels[self.own]
