@@ -67,7 +67,7 @@ def test_addresses():
 def test_fetching_and_remote_names(tmp_path):
     ran = []
     row = repository.fetch("https://h/o/r.git/", str(tmp_path), run=lambda *a, **k: ran.append(a[0]))
-    assert row["name"] == "r" and row["root_path"] == f"{tmp_path}/{row['repo_id']}" and ran == [["git", "clone", "--depth", "1", "https://h/o/r.git", row["root_path"]]]
+    assert row["url"] == "https://h/o/r.git/" and row["name"] == "r" and row["root_path"] == f"{tmp_path}/{row['repo_id']}" and ran == [["git", "clone", "--depth", "1", "https://h/o/r.git", row["root_path"]]]
 
     class Said:
         stdout = "https://h/o/name.git\n"
@@ -99,6 +99,41 @@ def test_scan_extract_and_state(spark, tmp_path):
     assert repository.load(spark, out, "r1").count() == 1 and repository.load(spark, out).count() == 2
 
 
+def test_scan_sees_every_name(spark, tmp_path, monkeypatch):
+    """Hidden and underscored files and folders too; unwanted content isn't read; what can't be read says so."""
+    names = ["pkg/__init__.py", "pkg/__main__.py", "pkg/_private.py", "pkg/mod.py", "__tests__/t.js", ".github/x.py", "a/b/c/d/e/deep.go", "Makefile", ".py", "x.PY", "deep/.hidden/y.rs"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text(n)
+    with (tmp_path / "pkg/big.bin").open("wb") as f:
+        f.truncate(3_000_000_000)
+    with (tmp_path / "pkg/big.py").open("wb") as f:
+        f.truncate(2000)
+    (tmp_path / "gone.py").symlink_to(tmp_path / "nowhere.py")
+    (tmp_path / "linked.py").symlink_to(tmp_path / "pkg/mod.py")
+    (tmp_path / "loop").symlink_to(tmp_path)
+    (tmp_path / "folder.py").mkdir()
+    want = {n: n for n in names if n not in ("Makefile", ".py", "x.PY")} | {"linked.py": "pkg/mod.py"}
+    for folders in (256, 1, 2):
+        monkeypatch.setattr(repository, "FOLDERS", folders)
+        got = {r.path.removeprefix(f"{tmp_path}/"): r for r in repository.scan(spark, str(tmp_path), "r", most=1000).collect()}
+        assert {k: r.content for k, r in got.items() if r.error is None} == want
+        assert set(got) - set(want) == {"pkg/big.py"} and got["pkg/big.py"].size_bytes == 2000 and "1000 are read" in got["pkg/big.py"].error
+    assert [r.error is None for r in repository.scan(spark, str(tmp_path / "absent"), "r").collect()] == []
+    assert "absent" in repository.listing(spark, str(tmp_path / "absent")).first().error
+
+
+def test_ids_stay_text(spark, tmp_path):
+    ids = ["007", "0042", "1e5", "2024-01-01", "true", "a/b=c d", "x"]
+    rows = spark.createDataFrame([(i, f"{i}.py", [1.0, 2.0]) for i in ids], "repo_id string, path string, vector array<float>")
+    repository.save(rows, str(tmp_path / "s"))
+    assert sorted(r.repo_id for r in repository.load(spark, str(tmp_path / "s")).collect()) == sorted(ids)
+    for i in ids:
+        one = repository.load(spark, str(tmp_path / "s"), i)
+        assert [tuple(r) for r in one.select("repo_id", "path", "vector").collect()] == [(i, f"{i}.py", [1.0, 2.0])]
+    assert "PartitionFilters: [isnotnull(repo_id" in one._jdf.queryExecution().toString()
+
+
 def test_state_documents(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"repo_id": "x", "files": [{"path": "p"}]}))
     (tmp_path / "b.json").write_text("{broken")
