@@ -1,9 +1,9 @@
 """Definitions and imports out of source files: one file row in, many rows out, in Arrow batches.
 
-Python is parsed by its own grammar (a file that doesn't parse falls back to patterns); the other languages by patterns
-of their definitions. Rows come in order of their place in the file. Lines count from 1 and ends are included. Kinds of
-definitions whose node has no name of its own are anonymous: arrow functions, functions of C and C++, Rust's impl blocks
-and Go's type declarations.
+Python is parsed by its own grammar; a file that doesn't parse, and the other languages, by a lexical scanner (lexer,
+definitions), so comments and strings hold none. Rows come in order of their place in the file. Lines count from 1 and ends
+are included. Kinds of definitions whose node has no name of its own are anonymous: arrow functions, functions of C and
+C++, Rust's impl blocks and Go's type declarations.
 """
 
 from __future__ import annotations
@@ -15,24 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ANONYMOUS = "<anonymous>"
-#: language: patterns of definitions; group 1 is the name.
-DEFINITIONS = {
-    "python": [r"^[ \t]*(?:async[ \t]+)?(?:def|class)[ \t]+(\w+)"],
-    "javascript": [r"\bfunction\b[ \t]*\*?[ \t]*(\w*)", r"\bclass[ \t]+(\w+)", r"()(?:\basync[ \t]+)?(?:\([^()]*\)|\b\w+)[ \t]*=>", r"(?:^|(?<=[{};,]))[ \t]*(?:(?:static|async|get|set)[ \t]+|\*[ \t]*)*(?!(?:if|for|while|switch|catch|with|function|return)\b)(#?[A-Za-z_$][\w$]*)[ \t]*\([^()]*\)[ \t]*\{"],
-    "java": [r"\b(?:class|interface)[ \t]+(\w+)", r"^[ \t]*(?:public|private|protected|static|final|abstract|synchronized|[ \t])+[\w<>\[\], ]+[ \t]+(\w+)[ \t]*\([^;{]*\)[^;{]*\{"],
-    "go": [r"^func[ \t]+(?:\([^)]*\)[ \t]*)?(\w+)", r"^type\b()[ \t]*[\w(]"],
-    "rust": [r"\b(?:fn|struct|enum|trait)[ \t]+(\w+)", r"\bimpl\b()[^{;]*\{"],
-    "c": [r"^()[\w*&<>:, \t]+?[ \t*&][\w:~]+[ \t]*\([^;{)]*\)[ \t]*(?:const[ \t]*)?\{", r"\b(?:struct|class)[ \t]+(\w+)"],
-    "ruby": [r"^[ \t]*def[ \t]+(?:self\.)?(\w+[?!=]?)", r"^[ \t]*(?:class|module)[ \t]+([\w:]+)"],
-    "php": [r"\bfunction[ \t]+&?(\w+)", r"\bclass[ \t]+(\w+)"],
-    "kotlin": [r"\b(?:class|interface)[ \t]+(\w+)", r"\bfun[ \t]+(?:<[^>]*>[ \t]*)?(?:\w+\.)?(\w+)"],
-    "swift": [r"\bfunc[ \t]+(\w+)", r"\bclass[ \t]+(\w+)"],
-    "scala": [r"\bdef[ \t]+(\w+)", r"\b(?:class|object|trait)[ \t]+(\w+)"],
-}
-SAME = {"typescript": "javascript", "tsx": "javascript", "cpp": "c", "c_sharp": "java"}
-JS_IMPORT = re.compile(r"""^[ \t]*(?:import|export)\b[^'"`;]*?(?:from[ \t]*)?(['"])([^'"\n]+)\1""", re.M)
-
+from corvane.operators.definitions import FINDERS, SAME, definitions_of, script_imports
 
 def head(line: str) -> str:
     return line.strip()[:200]
@@ -51,44 +34,17 @@ def python_definitions(source: str) -> list[tuple]:
     return sorted(out, key=lambda x: (x[1], -x[2]))
 
 
-def _end(lines: list[str], at: int, language: str) -> int:
-    """The last line of a block that begins at `at`: by braces, or by indent where there are none."""
-    depth, opened = 0, False
-    if language not in ("python", "ruby"):
-        for i in range(at, len(lines)):
-            depth += lines[i].count("{") - lines[i].count("}")
-            opened |= "{" in lines[i]
-            if opened and depth <= 0:
-                return i + 1
-            if not opened and lines[i].rstrip().endswith(";"):
-                return i + 1
-        return len(lines) if opened else at + 1
-    margin, last = len(lines[at]) - len(lines[at].lstrip()), at
-    for i in range(at + 1, len(lines)):
-        if lines[i].strip():
-            if len(lines[i]) - len(lines[i].lstrip()) <= margin:
-                return i + 1 if language == "ruby" and lines[i].strip() == "end" else last + 1
-            last = i
-    return last + 1
-
-
 def definitions(source: str | None, language: str | None) -> list[tuple]:
     """(name, start_line, end_line, signature); nothing for unknown languages and missing sources."""
     kind = SAME.get(language, language)
-    if not source or kind not in DEFINITIONS:
+    if not source or kind not in FINDERS:
         return []
     if kind == "python":
         try:
             return python_definitions(source)
-        except (SyntaxError, ValueError, RecursionError):
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
             pass
-    lines, out = source.split("\n"), set()
-    for pattern in DEFINITIONS[kind]:
-        for m in re.finditer(pattern, source, re.M):
-            begin = m.start() + len(m[0]) - len(m[0].lstrip())
-            row = source.count("\n", 0, begin)
-            out.add((begin, (m[1] or "").strip() or ANONYMOUS, row + 1, _end(lines, row, kind), head(source[begin:].split("\n", 1)[0])))
-    return [x[1:] for x in sorted(out)]
+    return definitions_of(source, kind, language in ("typescript", "tsx"))
 
 
 def imports(source: str | None, language: str | None) -> list[str]:
@@ -98,7 +54,7 @@ def imports(source: str | None, language: str | None) -> list[str]:
     if kind == "python" and source:
         try:
             tree = ast.parse(source)
-        except (SyntaxError, ValueError, RecursionError):
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
             return sorted(set(re.findall(r"^[ \t]*(?:import[ \t]+([\w.]+)[ \t]*$)", source, re.M)) | {x for x in re.findall(r"^[ \t]*from[ \t]+([\w.]+)[ \t]+import\b", source, re.M) if x != "__future__"})
         out = set()
         for node in ast.walk(tree):
@@ -108,7 +64,7 @@ def imports(source: str | None, language: str | None) -> list[str]:
                 out.add("." * node.level + (node.module or ""))
         return sorted(out)
     if kind == "javascript" and source:
-        return sorted({m[2] for m in JS_IMPORT.finditer(source)})
+        return script_imports(source)
     return []
 
 
