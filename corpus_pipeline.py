@@ -44,14 +44,16 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Texts without words (null, empty, white space) are alike to none, so all their rows stay; repeated rows are one group.
     """
-    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")  # written, so numbers stay
-    near = minhash.near_duplicates(numbered, key="_row", limit=LIMIT, shingle=SHINGLE).select(F.col("doc_id").alias("_row"), "component_id")
-    rows = stored(near.join(numbered.select("_row", "doc_id"), "_row"), "grouped")
-    kept = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("k")).select("k._row")
-    out = stored(rows.join(kept, "_row", "left_anti").select("_row"), "copies")
+    inside = F.struct(*[name(c) for c in docs.columns]).alias("doc")  # so no column can clash with `row`
+    numbered = stored(docs.select(inside, F.monotonically_increasing_id().alias("row")), "numbered")  # written, so numbers stay
+    texts = numbered.select("row", F.col("doc")["text"].alias("text"))
+    near = minhash.near_duplicates(texts, key="row", limit=LIMIT, shingle=SHINGLE).select(F.col("doc_id").alias("row"), "component_id")
+    rows = stored(near.join(numbered.select("row", F.col("doc")["doc_id"].alias("doc_id")), "row"), "grouped")
+    kept = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("k")).select("k.row")
+    out = stored(rows.join(kept, "row", "left_anti").select("row"), "copies")
     if out.count() <= minhash.BROADCAST_ROWS:
         out = F.broadcast(out)
-    return numbered.join(out, "_row", "left_anti").select(*[name(c) for c in docs.columns])
+    return numbered.join(out, "row", "left_anti").select("doc.*")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,6 @@ count; repeated rows are scanned alike; input columns are carried in `row`.
 from __future__ import annotations
 
 import re
-from itertools import islice
 
 from pyspark.sql import DataFrame
 
@@ -41,23 +40,41 @@ TEMPLATES = {
         reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation
         and or other materials provided with the distribution this software is provided by <<var 1-12>> as is and any
         express or implied warranties including but not limited to the implied warranties of merchantability and fitness
-        for a particular purpose are disclaimed""",
+        for a particular purpose are disclaimed in no event shall <<var 1-12>> be liable for any direct indirect incidental special exemplary or
+        consequential damages including but not limited to procurement of substitute goods or services loss of use data or
+        profits or business interruption however caused and on any theory of liability whether in contract strict liability
+        or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the
+        possibility of such damage""",
     "bsd-3-clause": """redistribution and use in source and binary forms with or without modification are permitted provided that
         the following conditions are met <<opt>>1<</opt>> redistributions of source code must retain the above copyright
         notice this list of conditions and the following disclaimer <<opt>>2<</opt>> redistributions in binary form must
         reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation
         and or other materials provided with the distribution <<opt>>3<</opt>> neither the name of <<var 1-12>> nor the
         names of its contributors may be used to endorse or promote products derived from this software without
-        specific prior written permission""",
+        specific prior written permission this software is provided by <<var 1-12>> as is and any express or implied
+        warranties including but not limited to the implied warranties of merchantability and fitness for a particular
+        purpose are disclaimed in no event shall <<var 1-12>> be liable for any direct indirect incidental special exemplary or
+        consequential damages including but not limited to procurement of substitute goods or services loss of use data or
+        profits or business interruption however caused and on any theory of liability whether in contract strict liability
+        or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the
+        possibility of such damage""",
     "isc-text": """permission to use copy modify and <<opt>>or<</opt>> distribute this software for any purpose with or without
         fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies
-        the software is provided as is and <<var 1-6>> disclaims all warranties with regard to this software""",
+        the software is provided as is and <<var 1-6>> disclaims all warranties with regard to this software including
+        all implied warranties of merchantability and fitness in no event shall <<var 1-6>> be liable for any special direct
+        indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in
+        an action of contract negligence or other tortious action arising out of or in connection with the use or
+        performance of this software""",
     "mit-text": """permission is hereby granted free of charge to any person obtaining a copy of this software and associated
         documentation files the software to deal in the software without restriction including without limitation the
         rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit
         persons to whom the software is furnished to do so subject to the following conditions the above copyright
         notice and this permission notice <<opt>>including the next paragraph<</opt>> shall be included in all copies or
-        substantial portions of the software the software is provided as is without warranty of any kind""",
+        substantial portions of the software the software is provided as is without warranty of any kind express or implied including
+        but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no
+        event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action
+        of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings
+        in the software""",
 }
 FIELDS = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
@@ -126,28 +143,62 @@ class Automaton:
                     todo.append(t)
         return seen
 
-    def match(self, words: list, i: int) -> bool:
-        """Whether the automaton accepts some run of words that starts at i."""
-        states = self._closed({0})
-        for w in islice(words, i, None):
-            states = {t for s in states for need, t in self.step[s] if need is None or need == w}
-            if not states:
-                return False
-            states = self._closed(states)
-            if self.accept in states:
-                return True
-        return False
+
+class Matcher:
+    """All templates as one automaton that reads a text's words once: a set of states, begun anew at every word.
+
+    A word costs as much as there are states alive, at most those of the templates, whatever stands in the text.
+    """
+
+    def __init__(self, templates: dict):
+        self.first: dict[bytes, set] = {}  # word: states after it, from any template's begin
+        self.step: list[dict] = []  # state: word: states
+        self.any: list[set] = []  # state: states after any word
+        self.accepts: dict[int, str] = {}
+        for label, template in templates.items():
+            a, base = Automaton(template), len(self.step)
+            after = [{base + t for t in a._closed({s})} for s in range(len(a.step))]
+            for arcs in a.step:
+                by, free = {}, set()
+                for w, t in arcs:
+                    if w is None:
+                        free |= after[t]
+                    else:
+                        by[w] = by.get(w, set()) | after[t]
+                self.step.append(by)
+                self.any.append(free)
+            for s in a._closed({0}):
+                for w, t in a.step[s]:
+                    self.first[w] = self.first.get(w, set()) | after[t]
+            self.accepts[base + a.accept] = label
+
+    def labels(self, words: list) -> set:
+        """The labels of templates that accept some run of the words."""
+        found: set = set()
+        done = -1
+        for i in [i for i, w in enumerate(words) if w in self.first]:
+            if i <= done:
+                continue  # already begun on the way
+            alive: set = set()
+            for done in range(i, len(words)):
+                w = words[done]
+                now = set(self.first.get(w, ()))
+                for s in alive:
+                    if w in self.step[s]:
+                        now |= self.step[s][w]
+                    now |= self.any[s]
+                alive = now
+                if not alive:
+                    break
+                found.update(self.accepts[s] for s in alive & self.accepts.keys())
+        return found
 
 
 def scanner(templates: dict = TEMPLATES, phrases: dict = PHRASES):
     """make() for map_text."""
 
     def make():
-        autos = [(label, Automaton(t)) for label, t in templates.items()]
-        starts: dict[bytes, list] = {}
-        for label, a in autos:
-            for w in a.starts:
-                starts.setdefault(w, []).append((label, a))
+        matcher = Matcher(templates)
         plain = [(tuple(p.encode().split()), label) for p, label in phrases.items()]
 
         def scan(texts: list) -> list:
@@ -158,22 +209,11 @@ def scanner(templates: dict = TEMPLATES, phrases: dict = PHRASES):
                 known = set(words)
                 for need, label in plain:
                     if known.issuperset(need):
-                        at = -1
-                        for _ in range(words.count(need[0])):
-                            at = words.index(need[0], at + 1)
-                            if tuple(words[at : at + len(need)]) == need:
-                                places.append(at)
-                                base.add(label)
-                for w in known & starts.keys():
-                    todo = [(label, a) for label, a in starts[w]]
-                    at = -1
-                    for _ in range(words.count(w)):
-                        at = words.index(w, at + 1)
-                        found = {label for label, a in todo if label not in labels and a.match(words, at)}
-                        labels |= found
-                        todo = [x for x in todo if x[0] not in labels]
-                        if not todo:
-                            break
+                        own = [i for i, w in enumerate(words) if w == need[0] and tuple(words[i : i + len(need)]) == need]
+                        places += own
+                        base |= {label} if own else set()
+                if not known.isdisjoint(matcher.first):
+                    labels = matcher.labels(words)
                 row = (len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), 1.0 if labels else 0.5 if base else 0.0)
                 for col, v in zip(out, row, strict=True):
                     col.append(v)

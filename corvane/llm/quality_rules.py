@@ -89,7 +89,7 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", car
     if bad.count() <= BROADCAST_ROWS:
         joined = rows.join(F.broadcast(bad), "host", "left")
     else:  # the rows of a hot host go to `SALTS` places
-        salted = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        salted = bad.select("host", "host_rejected", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
         joined = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS))).join(salted, ["host", "salt"], "left")
     out = joined.withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False))).withColumn("base_failed", base)
     out = out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))

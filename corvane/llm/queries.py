@@ -140,22 +140,38 @@ WORDINGS = {
     r" of conditions and the following disclaimer(?: 2)? redistributions in binary form must reproduce the above copyright"
     r" notice this list of conditions and the following disclaimer in the documentation and or other materials provided with"
     r" the distribution this software is provided by(?: [^ ]+){1,12} as is and any express or implied warranties including"
-    r" but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    r" but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"
+    r" in no event shall(?: [^ ]+){1,12} be liable for any direct indirect incidental special exemplary or consequential damages including but not"
+    r" limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any"
+    r" theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of"
+    r" this software even if advised of the possibility of such damage",
     "bsd-3-clause": r" redistribution and use in source and binary forms with or without modification are permitted provided that the"
     r" following conditions are met(?: 1)? redistributions of source code must retain the above copyright notice this list"
     r" of conditions and the following disclaimer(?: 2)? redistributions in binary form must reproduce the above copyright"
     r" notice this list of conditions and the following disclaimer in the documentation and or other materials provided with"
     r" the distribution(?: 3)? neither the name of(?: [^ ]+){1,12} nor the names of its contributors may be used to endorse"
-    r" or promote products derived from this software without specific prior written permission",
+    r" or promote products derived from this software without specific prior written permission this software is provided by(?: [^ ]+){1,12} as is"
+    r" and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular"
+    r" purpose are disclaimed"
+    r" in no event shall(?: [^ ]+){1,12} be liable for any direct indirect incidental special exemplary or consequential damages including but not"
+    r" limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any"
+    r" theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of"
+    r" this software even if advised of the possibility of such damage",
     "isc-text": r" permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby"
     r" granted provided that the above copyright notice and this permission notice appear in all copies the software is"
-    r" provided as is and(?: [^ ]+){1,6} disclaims all warranties with regard to this software",
+    r" provided as is and(?: [^ ]+){1,6} disclaims all warranties with regard to this software"
+    r" including all implied warranties of merchantability and fitness in no event shall(?: [^ ]+){1,6} be liable for any special direct indirect"
+    r" or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence"
+    r" or other tortious action arising out of or in connection with the use or performance of this software",
     "mit-text": r" permission is hereby granted free of charge to any person obtaining a copy of this software and associated"
     r" documentation files the software to deal in the software without restriction including without limitation the rights"
     r" to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to"
     r" whom the software is furnished to do so subject to the following conditions the above copyright notice and this"
     r" permission notice(?: including the next paragraph)? shall be included in all copies or substantial portions of the"
-    r" software the software is provided as is without warranty of any kind",
+    r" software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of"
+    r" merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any"
+    r" claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the"
+    r" software or the use or other dealings in the software",
 }
 
 
