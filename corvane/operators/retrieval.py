@@ -24,12 +24,19 @@ from corvane.scratch import stored_parts
 BLOCK, CELLS = 4096, 4_000_000  # queries a scan; scores held at once
 
 
-def _merged(best: list[np.ndarray], scores: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
-    """The k best of each query so far, as (query place, id, score), with a block of rows by queries. Ties: lower id."""
+def _merged(best: list[np.ndarray], scores: np.ndarray, ids: np.ndarray, k: int, own: np.ndarray | None = None) -> list[np.ndarray]:
+    """The k best of each query so far, as (query place, id, score), with a block of rows by queries. Ties: lower id.
+
+    own: the places of the queries that the columns of scores stand for, where these aren't all.
+    """
     n = min(k, len(scores))
     least = np.partition(scores, len(scores) - n, axis=0)[len(scores) - n]
     r, c = np.nonzero((scores >= least) & (scores > -np.inf))
-    q, i, v = [np.concatenate(x) for x in zip(best, (c, ids[r], scores[r, c]), strict=True)] if best else (c, ids[r], scores[r, c])
+    if own is not None:
+        i, v, c = ids[r], scores[r, c], own[c]
+    else:
+        i, v = ids[r], scores[r, c]
+    q, i, v = [np.concatenate(x) for x in zip(best, (c, i, v), strict=True)] if best else (c, i, v)
     order = np.lexsort((i, -v, q))
     q, i, v = q[order], i[order], v[order]
     starts = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.functions import vectors as V
-from corvane.operators import graph, retrieval, stats
+from corvane.operators import embedding, graph, retrieval, stats
 from corvane.scratch import small
+from corvane.sources import vector_store
 from corvane.sources.tables import files, query_log, table
 
 QUERIES: dict = {}
@@ -231,10 +232,16 @@ def pairwise_cosine(spark, sf_dir):
 KNN = "select query_id, record_id, score, rank from (select q.vec_id as query_id, e.vec_id as record_id, round(list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 6) as score, row_number() over (partition by q.vec_id order by round(list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 6) desc, e.vec_id) as rank from embeddings q, embeddings e where q.vec_id {which}) where rank <= {k}"
 
 
-@query(KNN.format(which="= 0", k=TOP))
+def embedding_store(spark, sf_dir):
+    """The embeddings, stored in blocks by their label."""
+    return vector_store.indexed(spark, sf_dir, "embeddings", lambda: vector_store.blocks(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("label")), partitioned=True)
+
+
+@query(KNN.format(which=f"% {EVERY} = 0", k=TOP))
 def knn_topk(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    return retrieval.in_blocks(e.where("vec_id = 0").select("vec_id", "embedding"), lambda q: retrieval.vector_search(e, q, TOP))
+    """The nearest of every twentieth vector, from the stored blocks."""
+    asked = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % EVERY == 0).select("vec_id", "embedding")
+    return retrieval.in_blocks(asked, lambda q: vector_store.search(embedding_store(spark, sf_dir), q, TOP))
 
 
 @query(KNN.format(which=f"% {EVERY} = 0", k=TOP))
@@ -245,10 +252,10 @@ def knn_join(spark, sf_dir):
 
 @query(KNN.format(which=f"% {EVERY} = 0 and q.label = e.label", k=TOP).replace("select query_id, record_id, score, rank from", "select query_id, record_id, e2.label as scope, len(e2.embedding)::bigint as dims, rank from", 1).replace(f") where rank <= {TOP}", f") h join embeddings e2 on e2.vec_id = h.record_id where rank <= {TOP}"))
 def search_in_scope(spark, sf_dir):
-    """Every twentieth vector against those of its own label: record, scope and metadata of each hit."""
+    """Every twentieth vector against those of its own label, of which only the stored partitions are read."""
     e = table(spark, sf_dir, "embeddings")
     asked = e.where(F.col("vec_id") % EVERY == 0).select("vec_id", "embedding", "label")
-    found = small(retrieval.in_blocks(asked, lambda q: retrieval.vector_search(e, q, TOP, scope="label")), "found")
+    found = small(retrieval.in_blocks(asked, lambda q: vector_store.search(embedding_store(spark, sf_dir), q, TOP, scoped=True)), "found")
     rows = e.select(F.col("vec_id").alias("record_id"), F.col("label").alias("scope"), F.size("embedding").cast("bigint").alias("dims"))
     return rows.join(found, "record_id").select("query_id", "record_id", "scope", "dims", F.col("rank").cast("bigint").alias("rank"))
 
@@ -262,9 +269,16 @@ HITS = f"""qb as ({BUCKETS.format(id='item_id', t='benchmark')}), db as ({BUCKET
     hits as (select *, row_number() over (partition by query_id order by score desc, record_id) as rank from scored qualify rank <= {FETCH})"""
 
 
+def counted(df, text):
+    """df with the token counts of a text by hash bucket, as vector."""
+    return embedding.embedded(df, text, "counts", {"counts": embedding.token_counts})
+
+
 def hits(spark, sf_dir, k=FETCH):
-    d = table(spark, sf_dir, "documents")
-    return retrieval.in_blocks(table(spark, sf_dir, "benchmark").select("item_id", "text"), lambda q: retrieval.hash_search(d, q, k))
+    """The questions' nearest documents; these are hashed once a session."""
+    store = vector_store.indexed(spark, sf_dir, "documents", lambda: vector_store.blocks(counted(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").drop("text"), "doc_id"))
+    asked = counted(table(spark, sf_dir, "benchmark").select("item_id", "text"), "text").select("item_id", "vector")
+    return retrieval.in_blocks(asked, lambda q: vector_store.search(store, q, k))
 
 
 def answered(spark, sf_dir):
@@ -356,7 +370,8 @@ def answer_records(spark, sf_dir):
     part = files(spark, sf_dir).select("path", F.posexplode(T.lines(F.col("content"))).alias("i", "snippet")).where("snippet <> ''").withColumn("s", F.col("i") + 1)
     records = whole.unionByName(part.select(F.concat("path", F.lit(":"), "s", F.lit("-"), "s").alias("record_id"), "path", F.lit(None).cast("string").alias("language"), "snippet", "s"))
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    found = retrieval.in_blocks(b, lambda q: retrieval.hash_search(records, q, FETCH, "record_id", "snippet"))
+    store = vector_store.indexed(spark, sf_dir, "records", lambda: vector_store.blocks(counted(records.select("record_id", "snippet"), "snippet").drop("snippet"), "record_id"))
+    found = retrieval.in_blocks(counted(b, "question").select("query_id", "vector"), lambda q: vector_store.search(store, q, FETCH))
     top = retrieval.reranked(records.join(small(found.join(b, "query_id"), "asked"), "record_id"), TOP)
     return top.select("query_id", F.col("position").cast("bigint").alias("position"), retrieval.citation(F.col("path"), F.col("snippet"), F.col("s"), F.col("s")).alias("citation"), retrieval.record_line(F.col("path"), F.col("language"), F.when(F.col("s").isNotNull(), T.signature(F.col("snippet")))).alias("line"))
 

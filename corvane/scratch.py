@@ -43,7 +43,11 @@ def stored_parts(parts: Iterable[DataFrame], tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).option("recursiveFileLookup", True).parquet(path)
 
 
-def small(df: DataFrame, tag: str, most: int = 1_000_000) -> DataFrame:
-    """df as written, to be broadcast if it has at most `most` rows; for narrow rows."""
+def small(df: DataFrame, tag: str, most: int = 1_000_000, most_bytes: int = 64 << 20) -> DataFrame:
+    """df as written, to be broadcast if it has at most `most` rows and its texts at most `most_bytes`."""
     df = stored(df, tag)
-    return F.broadcast(df) if df.count() <= most else df
+    texts = [F.octet_length(f"`{c}`") for c, kind in df.dtypes if kind in ("string", "binary")]
+    if not texts:
+        return F.broadcast(df) if df.count() <= most else df
+    rows, size = df.agg(F.count("*"), F.sum(sum((F.coalesce(t, F.lit(0)).cast("long") for t in texts), F.lit(0).cast("long")))).first()
+    return F.broadcast(df) if rows <= most and (size or 0) <= most_bytes else df

@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import extraction, graph, retrieval, stats
+from corvane.operators import embedding, extraction, graph, retrieval, stats
 from corvane.plans import agents
 from corvane.settings import Settings, settings
-from corvane.sources import repository
+from corvane.sources import repository, vector_store
 from corvane.streaming import tracker
 
 
@@ -290,6 +290,78 @@ def test_all_similarities(spark, monkeypatch):
     assert retrieval.similarities(df, []).count() == retrieval.similarities(df.limit(0), asked).count() == 0
 
 
+def test_vector_store(spark, tmp_path, monkeypatch):
+    """What was saved is found after a reload; other repositories aren't read; writing one again replaces its partition."""
+    rng = np.random.default_rng(4)
+    rows = [(f"f{i}.py:1-{i}", f"00{i % 3}", rng.normal(size=6).tolist()) for i in range(90)] + [("short", "001", [1.0]), ("zero", "001", [0.0] * 6), (None, "001", [1.0] * 6), ("none", "002", None)]
+    df = spark.createDataFrame(rows, "record_id string, repo string, vector array<float>").repartition(4)
+    monkeypatch.setattr(vector_store, "BLOCK_ROWS", 7)
+    folder = str(tmp_path / "store")
+    vector_store.save(vector_store.blocks(df, "record_id", scope=F.col("repo")), folder)
+    store = vector_store.load(spark, folder)
+    asked = [(1, rows[5][2], "001"), (2, rows[5][2], "000"), (3, [2.0], "001"), (4, [2.0] * 6, None), (5, None, "001"), (6, rows[0][2], "absent")]
+    got = vector_store.search(store, asked, 4, scoped=True)
+    key = lambda df: sorted((r.query_id, r.rank, r.record_id, r.score) for r in df.collect())
+    plain = retrieval.vector_search(df, asked, 4, key="record_id", vector="vector", scope="repo")
+    assert key(got) == key(plain) and {r[0] for r in key(got)} == {1, 2, 3}
+    assert "PartitionFilters: [repo_id" in got._jdf.queryExecution().toString().replace("isnotnull(repo_id#", "repo_id#") and "002" not in got._jdf.queryExecution().toString().split("PartitionFilters")[1][:120]
+    assert key(vector_store.search(store, [a[:2] for a in asked], 4)) == key(retrieval.vector_search(df, [a[:2] for a in asked], 4, key="record_id", vector="vector"))
+    vector_store.save(vector_store.blocks(df.where("repo = '000'").limit(2), "record_id", scope=F.col("repo")), folder)
+    left = {r.repo_id: r.n for r in vector_store.load(spark, folder).groupBy("repo_id").agg(F.sum(F.size("ids")).alias("n")).collect()}
+    assert left == {"000": 2, "001": 32, "002": 30}
+    assert vector_store.search(vector_store.load(spark, folder), [], 4).count() == 0
+
+
+def test_index_is_made_once(spark, tmp_path):
+    made = []
+
+    def build():
+        made.append(1)
+        return vector_store.blocks(spark.createDataFrame([(1, [1.0, 0.0])], "id long, vector array<float>"), "id")
+
+    for _ in range(2):
+        assert vector_store.search(vector_store.indexed(spark, str(tmp_path), "x", build), [(9, [1.0, 1.0])], 1).first().record_id == 1
+    assert made == [1]
+
+
+def test_providers(spark, tmp_path):
+    """Two providers through one query; each task loads each model once, batches are bounded."""
+    log = str(tmp_path / "loads")
+
+    def stub():
+        import os
+
+        with open(log, "a") as f:
+            f.write(f"load {os.getpid()}\n")
+
+        def model(texts):
+            with open(log, "a") as f:
+                f.write(f"batch {len(texts)}\n")
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return model
+
+    rows = [(i, None if i == 3 else "x" * i, ["stub", "hash", None][i % 3]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vector_id long, text string, provider string").repartition(2).cache()
+    df.count()
+    got = {r.vector_id: r for r in embedding.embedded(df, provider=F.col("provider"), providers={"stub": stub}, batch=4).collect()}
+    assert all(got[i].vector == [0.0 if i == 3 else float(i), 1.0] for i in range(0, 60, 3)) and all(len(got[i].vector) == 384 for i in (1, 2, 4))
+    said = open(log).read().split("\n")
+    assert sum(x.startswith("load") for x in said) == 2 and max(int(x.split()[1]) for x in said if x.startswith("batch")) == 4
+    one = embedding.embedded(spark.createDataFrame([("a b_c a_",)], "text string"), vector="v").first()
+    assert abs(sum(x * x for x in one.v) - 1) < 1e-6 and one.text == "a b_c a_"
+    with pytest.raises(ValueError):
+        embedding.embedded(df, provider="nobody")
+
+
+def test_small_minds_bytes(spark):
+    from corvane.scratch import small
+
+    df = spark.createDataFrame([("x" * 1000, 1)] * 50, "t string, n long")
+    hinted = lambda d: "broadcast" in d._jdf.queryExecution().logical().toString().lower()
+    assert hinted(small(df, "a")) and not hinted(small(df, "b", most_bytes=49_000)) and not hinted(small(df, "c", most=49)) and hinted(small(df.select("n"), "d", most_bytes=0))
+
+
 def test_first_occurrences_in_order(spark):
     from corvane import queries
 
