@@ -33,13 +33,15 @@ LOG = "select event_id, user_id as repo_id, event_type as agent, value as latenc
 EDGES = "select distinct url as source, target from (select url, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) as target from pages)"
 TOK = "regexp_extract_all({}, '[A-Za-z_][A-Za-z0-9_]+')"
 NAMES = ["src/main.py", "web/app/index.tsx", "lib/auth/guard.js", "core/services/engine.java", "api/router.go", "db/store.rs", "model/types.h", "tests/test_all.cpp", "ui/page.jsx", "conf/settings.yml", "docs/readme.md", "tool/helper.rb", "a/b/c.cs", "x/.git/config", "node_modules/m/index.js", "pkg/__init__.py", "Makefile", "build.KT", "util/log.scala", "k/view.swift", "one.php", "two.hpp"]
-PATHS = f"select p_partkey, {NAMES}[(p_partkey % {len(NAMES)} + 1)::int] as path from part"
+#: A path of every document: its repository, a word of its text, and a file name in turn.
+PATHS = f"select doc_id, coalesce(source, 'none') || '/' || coalesce(nullif(lower(regexp_extract(text, '[A-Za-z]+')), ''), 'x') || '/' || {NAMES}[(doc_id % {len(NAMES)} + 1)::int] as path from documents"
 
 
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part keys with a file path each."""
+    """Documents with a file path each."""
     names = F.array(*[F.lit(x) for x in NAMES])
-    return table(spark, sf_dir, "part").select("p_partkey", F.element_at(names, (F.col("p_partkey") % len(NAMES) + 1).cast("int")).alias("path"))
+    word = F.coalesce(F.nullif(F.lower(F.regexp_extract("text", "[A-Za-z]+", 0)), F.lit("")), F.lit("x"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), word, F.lit("/"), F.element_at(names, (F.col("doc_id") % len(NAMES) + 1).cast("int"))).alias("path"))
 
 
 SUFFIX = r"regexp_extract(path, '[^/](\.[^./]+)$', 1)"
@@ -69,25 +71,25 @@ def file_content(spark, sf_dir):
     return f.select("path", (F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit(""))) + 1).cast("bigint").alias("line_count"), "language")
 
 
-@query(f"select p_partkey, path, case when path like 'src/%' then substr(path, 5) else list_last(string_split(path, '/')) end as rel from ({PATHS}) where not list_has_any(string_split(path, '/'), {IGNORED_SQL})")
+@query(f"select doc_id, path, case when starts_with(path, 'src' || doc_id % 7 || '/') then substr(path, length('src' || doc_id % 7) + 2) else list_last(string_split(path, '/')) end as rel from ({PATHS}) where not list_has_any(string_split(path, '/'), {IGNORED_SQL})")
 def list_files(spark, sf_dir):
     p = paths(spark, sf_dir).where(T.visible(F.col("path")))
-    return p.select("p_partkey", "path", T.relative_path(F.col("path"), F.lit("src"), F.lit("r1")).alias("rel")).orderBy("path", "p_partkey")
+    return p.select("doc_id", "path", T.relative_path(F.col("path"), F.concat(F.lit("src"), F.col("doc_id") % 7), F.lit("r1")).alias("rel")).orderBy("path", "doc_id")
 
 
-@query(f"select p_partkey, path, {SCAN_SQL.format(SUFFIX)} as language from ({PATHS})")
+@query(f"select doc_id, path, {SCAN_SQL.format(SUFFIX)} as language from ({PATHS})")
 def language_from_suffix(spark, sf_dir):
-    return paths(spark, sf_dir).select("p_partkey", "path", T.scan_language(F.col("path")).alias("language"))
+    return paths(spark, sf_dir).select("doc_id", "path", T.scan_language(F.col("path")).alias("language"))
 
 
-@query(f"select p_partkey, path, coalesce({VIEW_SQL.format(EXT)}, {EXT}) as language from ({PATHS})")
+@query(f"select doc_id, path, coalesce({VIEW_SQL.format(EXT)}, {EXT}) as language from ({PATHS})")
 def language_from_ext(spark, sf_dir):
-    return paths(spark, sf_dir).select("p_partkey", "path", T.view_language(F.col("path")).alias("language"))
+    return paths(spark, sf_dir).select("doc_id", "path", T.view_language(F.col("path")).alias("language"))
 
 
-@query(f"select p_partkey, case when {SUFFIX} = '.py' then 'python' when {SUFFIX} in ('.js', '.jsx', '.ts', '.tsx') then 'javascript' end as grammar from ({PATHS})")
+@query(f"select doc_id, case when {SUFFIX} = '.py' then 'python' when {SUFFIX} in ('.js', '.jsx', '.ts', '.tsx') then 'javascript' end as grammar from ({PATHS})")
 def import_grammar(spark, sf_dir):
-    return paths(spark, sf_dir).select("p_partkey", T.import_grammar(F.col("path")).alias("grammar"))
+    return paths(spark, sf_dir).select("doc_id", T.import_grammar(F.col("path")).alias("grammar"))
 
 
 LINES = "select path, repo_id, doc_id, content, string_split(content, chr(10)) as ls from ({f})".format(f=FILES)
@@ -144,10 +146,10 @@ def function_snippets(spark, sf_dir):
 
 
 @query(f"""select path as record_id, 'file' as scope, path, null::varchar as name from ({FILES}) union all
-    select path || ':' || s || '-' || s, 'function', path, left(x, 20) from ({WHOLE_LINES})""")
+    select path || ':' || s || '-' || s, 'function', path, coalesce(nullif(regexp_extract(x, '[A-Za-z_][A-Za-z0-9_]+'), ''), '<anonymous>') from ({WHOLE_LINES})""")
 def index_records(spark, sf_dir):
     whole = files(spark, sf_dir).select(F.col("path").alias("record_id"), F.lit("file").alias("scope"), "path", F.lit(None).cast("string").alias("name"))
-    return whole.unionByName(line_spans(spark, sf_dir).select("record_id", F.lit("function").alias("scope"), "path", F.substring("x", 1, 20).alias("name")))
+    return whole.unionByName(line_spans(spark, sf_dir).select("record_id", F.lit("function").alias("scope"), "path", F.coalesce(F.nullif(F.regexp_extract("x", "[A-Za-z_][A-Za-z0-9_]+", 0), F.lit("")), F.lit("<anonymous>")).alias("name")))
 
 
 @query(r"select doc_id, left(regexp_replace(string_split(text, chr(10))[1], '^\s+|\s+$', '', 'g'), 200) as signature from documents")
@@ -182,12 +184,13 @@ def sse_encode(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.sse(F.struct(F.lit("token").alias("type"), "turn")).alias("event"))
 
 
-@query("select conv_id, turn, 'token' as kind, turn as value from conversations where turn % 3 <> 0")
+@query("select conv_id, turn, role as kind, turn as value, text from conversations where turn % 3 <> 0")
 def sse_decode(spark, sf_dir):
     """Events that are broken or have no `data: ` are dropped."""
-    sent = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, "data: {broken").otherwise(F.concat(F.lit('data: {"type":"token","turn":'), "turn", F.lit("}"))).alias("line"))
-    got = sent.where(F.startswith("line", F.lit("data: "))).withColumn("x", F.from_json(F.substring("line", 7, 1_000_000), "type string, turn bigint", {"mode": "PERMISSIVE"}))
-    return got.where("x.type is not null").select("conv_id", "turn", F.col("x.type").alias("kind"), F.col("x.turn").alias("value"))
+    body = F.to_json(F.struct(F.col("role").alias("type"), "turn", "text"))
+    sent = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, F.concat(F.lit("data: {"), "text")).otherwise(F.concat(F.lit("data: "), body)).alias("line"))
+    got = sent.where(F.startswith("line", F.lit("data: "))).withColumn("x", F.from_json(F.expr("substring(line, 7)"), "type string, turn bigint, text string", {"mode": "PERMISSIVE"}))
+    return got.where("x.type is not null").select("conv_id", "turn", F.col("x.type").alias("kind"), F.col("x.turn").alias("value"), "x.text")
 
 
 # ---- embeddings
@@ -477,9 +480,9 @@ def sql_layer(c: str) -> str:
     return LAYER_SQL.format(c)
 
 
-@query(f"select p_partkey, path, {sql_layer('path')} as layer from ({PATHS})")
+@query(f"select doc_id, path, {sql_layer('path')} as layer from ({PATHS})")
 def layer_classify(spark, sf_dir):
-    return paths(spark, sf_dir).select("p_partkey", "path", T.layer(F.col("path")).alias("layer"))
+    return paths(spark, sf_dir).select("doc_id", "path", T.layer(F.col("path")).alias("layer"))
 
 
 @query(f"select layer, path, count(*) over (partition by layer) as files from (select distinct {sql_layer('path')} as layer, path from ({PATHS}))")
@@ -638,40 +641,41 @@ def repo_name(spark, sf_dir):
     return urls(spark, sf_dir).select("page_id", T.repo_name(F.trim("u")).alias("name"))
 
 
-RAW = f"select p_partkey, case p_partkey % 3 when 0 then path when 1 then '/srv/{FOLDER}/repos/0a1b/' || path else 'C:\\{FOLDER}\\repos\\0a1b\\' || replace(path, '/', '\\') end as raw from ({PATHS})"
+RAW = f"select doc_id, case doc_id % 3 when 0 then path when 1 then '/srv/{FOLDER}/repos/0a1b/' || path else 'C:\\{FOLDER}\\repos\\0a1b\\' || replace(path, '/', '\\') end as raw from ({PATHS})"
 
 
 def raw_paths(spark, sf_dir):
-    k = F.col("p_partkey") % 3
+    k = F.col("doc_id") % 3
     back = F.concat(F.lit(f"C:\\{FOLDER}\\repos\\0a1b\\"), F.replace("path", F.lit("/"), F.lit("\\")))
-    return paths(spark, sf_dir).select("p_partkey", F.when(k == 0, F.col("path")).when(k == 1, F.concat(F.lit(f"/srv/{FOLDER}/repos/0a1b/"), "path")).otherwise(back).alias("raw"))
+    return paths(spark, sf_dir).select("doc_id", F.when(k == 0, F.col("path")).when(k == 1, F.concat(F.lit(f"/srv/{FOLDER}/repos/0a1b/"), "path")).otherwise(back).alias("raw"))
 
 
-@query(f"select p_partkey, path from ({PATHS})")
+@query(f"select doc_id, path from ({PATHS})")
 def clean_display_path(spark, sf_dir):
-    return raw_paths(spark, sf_dir).select("p_partkey", T.display_path(F.col("raw"), r"\.engine").alias("path"))
+    return raw_paths(spark, sf_dir).select("doc_id", T.display_path(F.col("raw"), r"\.engine").alias("path"))
 
 
-@query(f"select p_partkey, path from ({PATHS})")
+@query(f"select doc_id, path from ({PATHS})")
 def clean_graph_path(spark, sf_dir):
-    return raw_paths(spark, sf_dir).select("p_partkey", T.graph_path(F.col("raw"), r"\.engine").alias("path"))
+    return raw_paths(spark, sf_dir).select("doc_id", T.graph_path(F.col("raw"), r"\.engine").alias("path"))
 
 
-@query(f"select p_partkey, path, case when p_partkey % 2 = 0 then p_partkey end as first, case when p_partkey % 2 = 0 then p_partkey + 3 end as last from ({PATHS})")
+@query(f"select doc_id, path, case when doc_id % 2 = 0 then doc_id end as first, case when doc_id % 2 = 0 then doc_id + 3 end as last from ({PATHS})")
 def parse_node_id(spark, sf_dir):
-    node = F.when(F.col("p_partkey") % 2 == 0, F.concat("path", F.lit(":"), "p_partkey", F.lit("-"), F.col("p_partkey") + 3)).otherwise(F.col("path"))
-    p = paths(spark, sf_dir).select("p_partkey", node.alias("node"))
-    return p.select("p_partkey", T.node_path(F.col("node")).alias("path"), T.node_line(F.col("node"), 1).alias("first"), T.node_line(F.col("node"), 2).alias("last"))
+    node = F.when(F.col("doc_id") % 2 == 0, F.concat("path", F.lit(":"), "doc_id", F.lit("-"), F.col("doc_id") + 3)).otherwise(F.col("path"))
+    p = paths(spark, sf_dir).select("doc_id", node.alias("node"))
+    return p.select("doc_id", T.node_path(F.col("node")).alias("path"), T.node_line(F.col("node"), 1).alias("first"), T.node_line(F.col("node"), 2).alias("last"))
 
 
-@query("select conv_id, turn, i as step, case turn % 3 when 0 then 'retrieval' else case i when 0 then 'retrieval' else 'mentor' end end as agent, case turn % 3 when 0 then text when 1 then 'a' else 'b' end as instruction from conversations, unnest([0, 1]) t(i) where turn % 3 <> 0 or i = 0")
+@query("select conv_id, turn, i as step, case turn % 3 when 0 then 'retrieval' else case i when 0 then 'retrieval' else 'mentor' end end as agent, case i when 0 then text else role end as instruction from conversations, unnest([0, 1]) t(i) where turn % 3 <> 0 or i = 0")
 def plan_steps(spark, sf_dir):
     """Plans as JSON, fenced or not; what isn't JSON becomes one retrieval step."""
     from corvane.plans.steps import plan_of
 
     k = F.col("turn") % 3
-    body = '{"steps":[{"agent":"retrieval","instruction":"%s"},{"agent":"mentor","instruction":"%s"}]}'
-    said = F.when(k == 0, "no plan").when(k == 1, body % ("a", "a")).otherwise("```json\n" + body % ("b", "b") + "\n```")
+    step = lambda agent, words: F.struct(F.lit(agent).alias("agent"), F.col(words).alias("instruction"))
+    body = F.to_json(F.struct(F.array(step("retrieval", "text"), step("mentor", "role")).alias("steps")))
+    said = F.when(k == 0, "no plan").when(k == 1, body).otherwise(F.concat(F.lit("```json\n"), body, F.lit("\n```")))
     steps = plan_of(said, F.col("text"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(steps).alias("step", "s")).select("conv_id", "turn", F.col("step").cast("bigint").alias("step"), "s.agent", "s.instruction")
 
