@@ -88,11 +88,16 @@ def visible(path: Column) -> Column:
     return ~F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(x) for x in IGNORED_PARTS]))
 
 
-def relative_path(path: Column, root: Column, repo_id: Column) -> Column:
-    """The path below root; else what follows repos/<id>/; else the file name."""
-    mark = F.concat(F.lit("repos/"), repo_id, F.lit("/"))
-    at = F.instr(path, mark)
-    return F.when(F.startswith(path, F.concat(root, F.lit("/"))), F.substring(path, F.length(root) + 2, F.length(path))).when(at > 0, F.substring(path, at + F.length(mark), F.length(path))).otherwise(F.substring_index(path, "/", -1))
+def relative_path(path: Column, root: Column) -> Column:
+    """The path below an absolute root, else the file name; with no such root what follows `repos` and an id, else the name.
+
+    The root itself is `.`; an empty result is null, for a path that ends with the id.
+    """
+    name, parts = F.substring_index(path, "/", -1), F.split(path, "/")
+    below = F.when(path == root, ".").when(F.startswith(path, F.concat(F.rtrim(root, F.lit("/")), F.lit("/"))), F.substring(path, F.length(F.rtrim(root, F.lit("/"))) + 2, F.length(path))).otherwise(name)
+    at = F.array_position(parts, "repos")
+    after = F.array_join(F.slice(parts, at.cast("int") + 2, F.size(parts)), "/")
+    return F.nullif(F.when(F.coalesce(F.startswith(root, F.lit("/")), F.lit(False)), below).when(at > 0, after).otherwise(name), F.lit(""))
 
 
 def display_path(path: Column, folder: str) -> Column:

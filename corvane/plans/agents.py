@@ -162,6 +162,11 @@ def overview_text(counts: dict, top: list[tuple[str, int]]) -> str:
     return "\n".join([f"Files: {counts['file_count']}", f"Functions: {counts['function_count']}", f"Dependency edges: {counts['dependency_edges']}", f"Most used modules: {', '.join(f'{m} ({n})' for m, n in top)}"])
 
 
+def model_of(provider: str, models: dict[str, Callable[[str], str]]) -> Callable[[str], str]:
+    """The configured provider's model; of an unknown one the model that says none is configured."""
+    return models.get(provider, offline)
+
+
 class NotFound(KeyError):
     """An unknown repository or node."""
 
@@ -173,8 +178,20 @@ class Requests:
     search(repo_id, question, k) gives a DataFrame of record_id, scope and metadata, k rows at most.
     """
 
-    def __init__(self, overview, edges, search):
-        self.overview, self.edges, self.search_in = overview, edges, search
+    def __init__(self, overview, edges, search, files=None):
+        self.overview, self.edges, self.search_in, self.files = overview, edges, search, files
+
+    def content(self, repo_id: str, path: str) -> dict:
+        """A file's content, lines and the language of its suffix; files: (repo_id, path, content)."""
+        from pyspark.sql import functions as F
+
+        from corvane.functions.text import view_language
+
+        self.repo(repo_id)
+        row = self.files.where((F.col("repo_id") == repo_id) & (F.col("path") == path)).select("content", view_language(F.col("path")).alias("language")).first()
+        if row is None or row["content"] is None:
+            raise NotFound(f"File not found: {path}")
+        return {"path": path, "content": row["content"], "language": row["language"], "line_count": row["content"].count("\n") + 1}
 
     def repos(self) -> list[dict]:
         return [r.asDict() for r in self.overview.select("repo_id", "name").orderBy("repo_id").toLocalIterator()]

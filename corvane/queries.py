@@ -65,16 +65,22 @@ def scan_embeddings(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("record_id"), F.col("label").alias("scope"), F.size("embedding").cast("bigint").alias("dims"))
 
 
-@query(f"select path, length(content) - length(replace(content, chr(10), '')) + 1 as line_count, language from ({FILES}) where doc_id = 7")
+@query(f"select path, length(content) - length(replace(content, chr(10), '')) + 1 as line_count, coalesce({VIEW_SQL.format(EXT)}, {EXT}) as language from ({FILES}) where doc_id = 7")
 def file_content(spark, sf_dir):
     f = files(spark, sf_dir).where("doc_id = 7")
-    return f.select("path", (F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit(""))) + 1).cast("bigint").alias("line_count"), "language")
+    return f.select("path", (F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit(""))) + 1).cast("bigint").alias("line_count"), T.view_language(F.col("path")).alias("language"))
 
 
-@query(f"select doc_id, path, case when starts_with(path, 'src' || doc_id % 7 || '/') then substr(path, length('src' || doc_id % 7) + 2) else list_last(string_split(path, '/')) end as rel from ({PATHS}) where not list_has_any(string_split(path, '/'), {IGNORED_SQL})")
+@query(f"""select doc_id, full_path as path, case when k = 0 then path when starts_with(full_path, '/src' || k || '/') then substr(full_path, length('/src' || k) + 2) else list_last(string_split(path, '/')) end as rel
+    from (select doc_id, path, doc_id % 7 as k, case when doc_id % 7 = 0 then '/w/repos/' || doc_id else '' end || '/' || path as full_path from ({PATHS}))
+    where not list_has_any(string_split(path, '/'), {IGNORED_SQL})""")
 def list_files(spark, sf_dir):
-    p = paths(spark, sf_dir).where(T.visible(F.col("path")))
-    return p.select("doc_id", "path", T.relative_path(F.col("path"), F.concat(F.lit("src"), F.col("doc_id") % 7), F.lit("r1")).alias("rel")).orderBy("path", "doc_id")
+    """Files of repositories with an absolute root, or (every seventh) known by their folder `repos` only."""
+    k = F.col("doc_id") % 7
+    full = F.concat(F.when(k == 0, F.concat(F.lit("/w/repos/"), "doc_id")).otherwise(""), F.lit("/"), "path")
+    p = paths(spark, sf_dir).withColumn("path", full).where(T.visible(F.col("path")))
+    root = F.when(k > 0, F.concat(F.lit("/src"), k))
+    return p.select("doc_id", "path", T.relative_path(F.col("path"), root).alias("rel")).where("rel is not null").orderBy("path", "doc_id")
 
 
 @query(f"select doc_id, path, {SCAN_SQL.format(SUFFIX)} as language from ({PATHS})")

@@ -266,6 +266,24 @@ def test_requests(spark):
             call()
 
 
+def test_file_content_and_models(spark):
+    overview = spark.createDataFrame([("r1", "One")], "repo_id string, name string")
+    files = spark.createDataFrame([("r1", "a/b.tsx", "x\ny"), ("r1", "gone.py", None)], "repo_id string, path string, content string")
+    r = agents.Requests(overview, files, None, files)
+    assert r.content("r1", "a/b.tsx") == {"path": "a/b.tsx", "content": "x\ny", "language": "typescript", "line_count": 2}
+    for asked in (("r1", "b.tsx"), ("r2", "a/b.tsx"), ("r1", "gone.py")):
+        with pytest.raises(agents.NotFound):
+            r.content(*asked)
+    models = {"local": lambda p: "said " + p}
+    assert agents.model_of("local", models)("x") == "said x" and agents.model_of("other", models)("x") == agents.OFFLINE
+
+
+def test_relative_paths(spark):
+    rel = lambda p, r: one(spark, T.relative_path(F.col("p"), F.col("r").cast("string")), p=p, r=r)
+    cases = [("/a/b/c.py", "/a", "b/c.py"), ("/a/b/c.py", "/a/", "b/c.py"), ("/ab/c.py", "/a", "c.py"), ("/a", "/a", "."), ("/x/repos/id/b/c.py", "", "b/c.py"), ("x/repos/id/c.py", "rel", "c.py"), ("/x/repos/id", "", None), ("x/y.py", "", "y.py"), ("/x/repos/id/c.py", "/q", "c.py"), ("/repos/1/repos/2/z", "", "repos/2/z")]
+    assert [rel(p, r) for p, r, _ in cases] == [w for _, _, w in cases]
+
+
 def test_odd_vectors_and_scopes(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], "x"), (2, [0.0, 1.0], "y"), (3, [1.0], "x"), (4, None, "x"), (5, [1.0, 0.1], None)], "vec_id long, embedding array<double>, label string")
     found = lambda qs, **k: {(r.query_id, r.record_id) for r in retrieval.vector_search(df, qs, 5, **k).collect()}
