@@ -1,6 +1,7 @@
 """Hard negatives by ball-tree branch and bound, over integer grids of the vectors.
 
-1. Index: every partition's vectors, floor(`scale` * x), become ball trees of at most TREE_ROWS rows, written once. A node
+1. Index: every partition's vectors, floor(`scale` * x), become ball trees of at most TREE_ROWS rows, written once; a label
+   with several leaves' worth of rows gets trees of its own, so searches for or without it skip these at the root. A node
    is a centre, a radius and the least and largest label below it; a tree halves its rows, so its nodes follow from its
    number of rows.
 2. Positives: the rows of an anchor's own label with the largest inner products.
@@ -92,6 +93,20 @@ def built(ids: np.ndarray, labels: np.ndarray, z: np.ndarray) -> dict:
     return {"dims": z.shape[1], "n": n} | {k: v.tobytes() for k, v in parts.items()}
 
 
+def groups(labels: np.ndarray) -> Iterator[np.ndarray]:
+    """The rows of each tree: those of one label where it has several leaves' worth, all others together."""
+    order = np.argsort(labels, kind="stable")
+    rest = []
+    for own in np.split(order, np.flatnonzero(np.diff(labels[order])) + 1):
+        if len(own) >= 4 * LEAF:
+            yield from (own[lo : lo + TREE_ROWS] for lo in range(0, len(own), TREE_ROWS))
+        else:
+            rest.append(own)
+    if rest and sum(map(len, rest)):
+        rest = np.concatenate(rest)
+        yield from (rest[lo : lo + TREE_ROWS] for lo in range(0, len(rest), TREE_ROWS))
+
+
 def ball_trees(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", scale: int = SCALE) -> DataFrame:
     """The ball trees of all usable rows, one a row (schema TREE)."""
     bounded(df.sparkSession)
@@ -104,9 +119,10 @@ def ball_trees(df: DataFrame, key: str = "vec_id", vector: str = "embedding", la
                     yield b.column(0).to_numpy()[at], b.column(1).to_numpy()[at], grid(m, scale)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, labels, z in chunks(parts(batches), TREE_ROWS):
-            tree = built(ids, labels, z)
-            yield pa.RecordBatch.from_arrays([pa.array([v], pa.int32() if k in ("dims", "n") else pa.binary()) for k, v in tree.items()], names=list(tree))
+        for ids, labels, z in chunks(parts(batches), 4 * TREE_ROWS):
+            for own in groups(labels):
+                tree = built(ids[own], labels[own], z[own])
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.int32() if k in ("dims", "n") else pa.binary()) for k, v in tree.items()], names=list(tree))
 
     return stored(rows.mapInArrow(run, TREE), "trees")
 
