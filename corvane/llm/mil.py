@@ -6,8 +6,11 @@ weighs the passages, a = softmax(w . (tanh(V h) * sigmoid(U h))), and a logistic
 encodings. Only documents are labelled; the encoder, the attention and the classifier are learned together from them by
 Adam on the driver.
 
-The caller bounds the labelled documents that are learned from; training and scoring use all their passages, encoded in
-parts of `PART`. Defined cases: null and empty texts are one passage without words; nothing to learn from, or one class
+The caller bounds the labelled documents that are learned from, and `LEARNED` bounds their passages, so the driver's
+memory doesn't grow with the length of texts: documents are taken in the order of a hash of their passages, and one that
+no longer fits, or has over an eighth of `LEARNED` alone, is passed over. All passages of the documents taken are used;
+a step adds up its gradient over groups of at most `GROUP` passages or one document. Scoring uses all passages of all
+texts, encoded in parts of `PART`. Defined cases: null and empty texts are one passage without words; nothing to learn from, or one class
 only: the score is the smoothed share of label 1; a score of just 0.5 predicts 1; repeated rows score alike; of equal
 attention the first passage is the top one; an empty table gives an empty result; input columns are carried in `row`.
 """
@@ -16,11 +19,14 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from corvane.llm.rows import map_text
 from corvane.llm.shingles import mix
+from corvane.scratch import stored
 
 PASSAGE, HASHED, PART = 64, 256, 4096
+LEARNED, GROUP = 262_144, 32_768  # passages: 324 bytes each on the driver, 2 KB each while a group's gradient is taken
 CLASSES = (b"#*$%&", b"|<>", b"!?", b".,;:", b"\n", b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"@/\\_=+-~^")
 N_FEATURES = len(CLASSES) + 9
 FIELDS = "score double, predicted int, n_passages long, top_passage long"
@@ -141,6 +147,29 @@ def loss_and_gradient(model: Model, x: np.ndarray, first: np.ndarray, y: np.ndar
     return loss, {"c": z.T @ dz0, "d": np.array(dz0.sum()), "w": (t * s).T @ de, "V": h.T @ dt, "U": h.T @ ds, "W": x.T @ dh, "b": dh.sum(0)}
 
 
+def groups(size: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges (lo, hi) of consecutive bags with at most `most` passages, one bag at least."""
+    ends, out, lo = np.cumsum(size), [], 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        out.append((lo, hi))
+        lo = hi
+    return out
+
+
+def step_gradient(model: Model, stats: np.ndarray, counts: np.ndarray, first: np.ndarray, size: np.ndarray, y: np.ndarray, pick: np.ndarray, most: int = GROUP) -> dict:
+    """The gradient of the mean loss of the picked bags, added up group by group."""
+    total: dict = {}
+    for lo, hi in groups(size[pick], most):
+        part = pick[lo:hi]
+        rows = np.concatenate([np.arange(first[i], first[i] + size[i]) for i in part])
+        at = np.cumsum(np.append(0, size[part][:-1]))
+        _, grad = loss_and_gradient(model, model.features(stats[rows], counts[rows]), at, y[part])
+        for k, v in grad.items():
+            total[k] = total.get(k, 0) + v * (len(part) / len(pick))
+    return total
+
+
 def fit(stats: np.ndarray, counts: np.ndarray, size: np.ndarray, y: np.ndarray, hidden: int = 16, gate: int = 8, steps: int = 500, batch: int = 256, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> Model:
     """Encoder, gated attention and classifier together, by Adam on the logistic loss; size: passages of each bag."""
     if not len(y) or y.min() == y.max():
@@ -153,9 +182,7 @@ def fit(stats: np.ndarray, counts: np.ndarray, size: np.ndarray, y: np.ndarray,
     model = Model(p)
     for step in range(1, steps + 1):
         pick = rng.integers(0, len(y), min(batch, len(y)))
-        rows = np.concatenate([np.arange(first[i], first[i] + size[i]) for i in pick])
-        at = np.cumsum(np.append(0, size[pick][:-1]))
-        _, grad = loss_and_gradient(model, model.features(stats[rows], counts[rows]), at, y[pick])
+        grad = step_gradient(model, stats, counts, first, size, y, pick)
         lr = rate * (1 - step / (steps + 1))
         for k, v in grad.items():
             v = v + decay * p[k]
@@ -164,8 +191,21 @@ def fit(stats: np.ndarray, counts: np.ndarray, size: np.ndarray, y: np.ndarray,
     return model
 
 
-def learn(train: DataFrame, **how) -> Model:
-    """A Model from (text, y) rows, which the caller has bounded. Passages are measured on the executors."""
+def taken(sizes: list[tuple[int, int]], most: int) -> set[int] | None:
+    """Which hashes of (hash, passages) are learned from, in the order of hashes; None if all fit."""
+    left, out = most, set()
+    for h, n in sorted(sizes):
+        if n <= min(left, most // 8):
+            left -= n
+            out.add(h)
+    return None if len(out) == len(sizes) else out
+
+
+def learn(train: DataFrame, learned: int = LEARNED, **how) -> Model:
+    """A Model from (text, y) rows, which the caller has bounded, and `learned` passages of them at most.
+
+    Passages are measured on the executors and written; the driver reads two numbers a row, then the passages it takes.
+    """
 
     def make():
         def run(texts: list) -> list:
@@ -174,8 +214,12 @@ def learn(train: DataFrame, **how) -> Model:
 
         return run
 
-    got = map_text(train, make, "stats binary, counts binary", "text", ["y"]).select("row.y", "stats", "counts").toPandas()
-    got = got.sort_values(["y", "stats", "counts"], kind="stable")
+    got = stored(map_text(train, make, "stats binary, counts binary", "text", ["y"]).select("row.y", "stats", "counts", F.xxhash64("stats", "counts").alias("h")), "passages")
+    sizes = got.groupBy("h").agg(F.sum(F.length("counts") / HASHED).cast("long").alias("n")).collect()
+    chosen = taken([(r["h"], r["n"]) for r in sizes], learned)
+    if chosen is not None:
+        got = got.join(F.broadcast(got.sparkSession.createDataFrame([(h,) for h in chosen], "h long")), "h", "left_semi")
+    got = got.select("y", "stats", "counts").toPandas().sort_values(["y", "stats", "counts"], kind="stable")
     stats = np.frombuffer(b"".join(got["stats"]), "<f4").reshape(-1, N_FEATURES)
     counts = np.frombuffer(b"".join(got["counts"]), np.uint8).reshape(-1, HASHED)
     return fit(stats, counts, np.array([len(b) // HASHED for b in got["counts"]], np.int64), got["y"].to_numpy(float), **how)

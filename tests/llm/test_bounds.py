@@ -3,11 +3,12 @@
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corvane.llm import components, license_scan, minhash, packing, quality_rules, substring
+from corvane.llm import components, license_scan, mil, minhash, packing, quality_rules, substring
 
 RNG = random.Random(11)
 WORDS = [f"w{i}" for i in range(300)]
@@ -128,3 +129,27 @@ def test_cut_licences_are_refused():
         whole, cut, hole = (" ".join(x).encode() for x in (words, words[:-1], words[:60] + words[61:]))
         got = [set(x.split(",")) for x in scan([whole, cut, hole])[5]]
         assert label in got[0] and label not in got[1] and label not in got[2], label
+
+
+def test_passages_learned_from_are_bounded(spark):
+    """A very long labelled text isn't brought to the driver; the rest is learned as without it."""
+    good, bad = [(text(60 + i), 1) for i in range(40)], [("# | # " * (30 + i), 0) for i in range(40)]
+    rows = spark.createDataFrame([*good, *bad], "text string, y int")
+    long = spark.createDataFrame([("long " * 64 * 2000, 1)], "text string, y int")
+    whole, bounded = mil.learn(rows, steps=20), mil.learn(rows.union(long), learned=8000, steps=20)
+    assert all(np.array_equal(v, bounded.p[k]) for k, v in whole.p.items())
+    assert mil.taken([(3, 10), (1, 5), (2, 90)], 800) is None
+    assert mil.taken([(3, 10), (1, 5), (2, 90), (4, 101)], 800) == {1, 2, 3}
+    assert mil.taken([(i, 10) for i in range(20)], 90) == set(range(9))
+
+
+def test_a_step_in_groups_has_the_same_gradient():
+    rng = np.random.default_rng(3)
+    size = rng.integers(1, 9, 12)
+    stats, counts = rng.normal(size=(size.sum(), mil.N_FEATURES)), rng.integers(0, 3, (size.sum(), mil.HASHED))
+    first, y, n = np.cumsum(np.append(0, size[:-1])), rng.integers(0, 2, 12).astype(float), mil.N_FEATURES + mil.HASHED
+    model = mil.Model({"mean": np.zeros(mil.N_FEATURES), "scale": np.ones(mil.N_FEATURES), "W": rng.normal(size=(n, 3)) / 5, "b": rng.normal(size=3), "V": rng.normal(size=(3, 2)), "U": rng.normal(size=(3, 2)), "w": rng.normal(size=2), "c": rng.normal(size=3), "d": np.array(0.3)})
+    pick = rng.integers(0, 12, 10)
+    one, many = (mil.step_gradient(model, stats, counts, first, size, y, pick, most) for most in (10**6, 7))
+    assert len(mil.groups(size[pick], 7)) > 4 and [hi - lo for lo, hi in mil.groups(np.array([9, 1, 1, 9]), 7)] == [1, 2, 1]
+    assert one.keys() == many.keys() and all(np.allclose(one[k], many[k]) for k in one)
