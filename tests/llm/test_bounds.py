@@ -153,3 +153,55 @@ def test_a_step_in_groups_has_the_same_gradient():
     one, many = (mil.step_gradient(model, stats, counts, first, size, y, pick, most) for most in (10**6, 7))
     assert len(mil.groups(size[pick], 7)) > 4 and [hi - lo for lo, hi in mil.groups(np.array([9, 1, 1, 9]), 7)] == [1, 2, 1]
     assert one.keys() == many.keys() and all(np.allclose(one[k], many[k]) for k in one)
+
+
+def test_extension_against_all_pairs():
+    rng = np.random.default_rng(5)
+    n, width, need = 300, 6, 6
+    anchor = rng.integers(0, 6, n)
+    left, right = rng.integers(1, 3, (2, n, width)).astype(np.uint64)
+    n_left, n_right = rng.integers(0, width + 1, (2, n))
+    left[np.arange(width) >= n_left[:, None]] = 0
+    right[np.arange(width) >= n_right[:, None]] = 0
+
+    def common(x, y, most):
+        k = 0
+        while k < most and x[k] == y[k]:
+            k += 1
+        return k
+
+    want = [(-1, -1)] * n
+    for i in range(n):
+        for j in range(n):
+            if i != j and anchor[i] == anchor[j]:
+                a, b = common(left[i], left[j], min(n_left[i], n_left[j])), common(right[i], right[j], min(n_right[i], n_right[j]))
+                if a + b >= need:
+                    want[i] = (max(want[i][0], a), max(want[i][1], b))
+    lo, hi = substring.extended(anchor, left, n_left, right, n_right, need)
+    assert list(zip(lo.tolist(), hi.tolist(), strict=True)) == want and 20 < sum(x >= 0 for x, _ in want) < n
+    none = substring.extended(anchor[:0], left[:0], n_left[:0], right[:0], n_right[:0], need)
+    assert [len(x) for x in none] == [0, 0]
+
+
+@pytest.mark.parametrize("contexts,group", [(4096, 16_384), (4096, 5), (3, 5), (0, 5)])
+def test_repeats_with_many_contexts(spark, monkeypatch, contexts, group):
+    """Pieces of one passage, from any word on and of any length, between other words: many contexts an anchor."""
+    monkeypatch.setattr(substring, "CONTEXTS", contexts)
+    monkeypatch.setattr(substring, "GROUP_ROWS", group)
+    rng = random.Random(13)
+    passage = [f"p{i}" for i in range(90)]
+    texts = []
+    for i in range(40):
+        at, n = rng.randrange(60), rng.randint(25, 60)
+        words = [*(f"{i}a{k}" for k in range(rng.randint(0, 12))), *passage[at : at + n], *(f"{i}b{k}" for k in range(rng.randint(0, 12)))]
+        texts.append(words * (2 if i % 10 == 0 else 1))
+    texts += [["same"] * 80, ["same"] * 34, ["same"] * 35]
+    where = {}
+    for w in texts:
+        for i in range(len(w) - 34):
+            where[tuple(w[i : i + 35])] = where.get(tuple(w[i : i + 35]), 0) + 1
+    got = {r.doc_id: r for r in substring.substring_dedup(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")).select("row.doc_id", "n_removed", "kept").collect()}
+    for k, w in enumerate(texts):
+        gone = {i + d for i in range(len(w) - 34) if where[tuple(w[i : i + 35])] > 1 for d in range(35)}
+        assert (got[k].n_removed, got[k].kept) == (len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)), k
+    assert 500 < sum(r.n_removed for r in got.values()) < sum(map(len, texts))
