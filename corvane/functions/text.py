@@ -55,7 +55,7 @@ def lines(c: Column) -> Column:
 def line_range(c: Column, start: Column, end: Column) -> Column:
     """Lines start to end, counted from 1, both included; empty where there are none."""
     first = F.greatest(start, F.lit(1))
-    return F.array_join(F.slice(lines(c), first, F.greatest(F.greatest(end, start) - first + 1, F.lit(0))), "\n")
+    return F.array_join(F.slice(lines(c), first, F.greatest(end - first + 1, F.lit(0))), "\n")
 
 
 def signature(c: Column, most: int = 200) -> Column:
@@ -202,6 +202,25 @@ def last_part(url: Column) -> Column:
     return F.substring_index(F.regexp_replace(url, "/+$", ""), "/", -1)
 
 
+def memory_line(at: Column, content: Column) -> Column:
+    """`[time] content`; a fraction of a second has six digits, or isn't there if it is 0."""
+    micros = F.date_format(at, "SSSSSS")
+    fraction = F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise("")
+    return F.concat(F.lit("["), F.date_format(at, "yyyy-MM-dd HH:mm:ss"), fraction, F.lit("] "), content)
+
+
+def snippet(c: Column, start: Column, end: Column) -> Column:
+    """Lines start to end of a file; its first 200 where either is missing; empty for a null file."""
+    head = F.array_join(F.slice(lines(c), 1, 200), "\n")
+    return F.coalesce(F.when(start.isNull() | end.isNull(), head).otherwise(line_range(c, start, end)), F.lit(""))
+
+
+def snippet_summary(path: Column, start: Column, end: Column, part: Column) -> Column:
+    """One sentence on where a snippet is from and how many lines it has."""
+    span = F.when(start.isNotNull() & end.isNotNull(), F.concat(F.lit(" (lines "), start, F.lit("-"), end, F.lit(")"))).otherwise("")
+    return F.concat(F.lit("Snippet from "), path, span, F.lit(", "), F.size(lines(part)), F.lit(" lines."))
+
+
 def byte_slice(source: Column, start: Column, end: Column) -> Column:
     """Bytes start to end (from 0, end not included) of a text's UTF-8; broken characters are replaced."""
     raw = F.substring(source.cast("binary"), start + 1, F.greatest(end - start, F.lit(0)))

@@ -177,6 +177,18 @@ def explain_head(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(T.lines(F.col("text")), 1, 200), "\n").alias("head"))
 
 
+@query("""with f as (select doc_id, coalesce(source, 'none') || '/' || doc_id as path, string_split(coalesce(text, ''), chr(10)) as ls, case when doc_id % 4 > 0 then doc_id % 5 + 1 end as lo, case when doc_id % 4 > 0 then doc_id % 5 + 10 end as hi from documents),
+    g as (select doc_id, path, lo, hi, array_to_string(list_slice(case when list_last(ls) = '' then ls[1:len(ls) - 1] else ls end, coalesce(lo, 1), coalesce(hi, 200)), chr(10)) as part from f)
+    select doc_id, 'Snippet from ' || path || case when lo is null then '' else ' (lines ' || lo || '-' || hi || ')' end || ', ' ||
+    (case when part = '' then 0 else len(string_split(part, chr(10))) - (right(part, 1) = chr(10))::int end) || ' lines.' as summary from g""")
+def explain_summary(spark, sf_dir):
+    """A sentence on a snippet of every document: ten lines of three in four, the head of the others."""
+    k = F.col("doc_id")
+    lo, hi = F.when(k % 4 > 0, k % 5 + 1).cast("int"), F.when(k % 4 > 0, k % 5 + 10).cast("int")
+    path = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), k)
+    return table(spark, sf_dir, "documents").select("doc_id", T.snippet_summary(path, lo, hi, T.snippet(F.col("text"), lo, hi)).alias("summary"))
+
+
 CHUNK = "select item_id, i // 4 as n, array_to_string(ws[i + 1:i + 4], ' ') || case when i + 4 < len(ws) then ' ' else '' end as chunk from (select item_id, string_split(text, ' ') as ws from benchmark), unnest(range(0, len(ws), 4)) t(i)"
 
 
@@ -733,6 +745,12 @@ def memory_by_scope(spark, sf_dir):
     return table(spark, sf_dir, "conversations").where("conv_id = 1").select(F.col("conv_id").alias("scope"), "turn", F.concat(F.lit("["), "turn", F.lit("] "), "text").alias("line"))
 
 
+@query("select event_id, 'repo:' || user_id as scope, '[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || case when extract('microseconds' from ts) % 1000000 = 0 then '' else strftime(ts, '.%f') end || '] ' || event_type as line from events")
+def memory_lines(spark, sf_dir):
+    """Lines of entries with a time, each in the scope of its user."""
+    return table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("repo:"), "user_id").alias("scope"), T.memory_line(F.col("ts"), F.col("event_type")).alias("line"))
+
+
 @query(r"""select conv_id, turn, case when turn % 4 = 0 then turn when turn % 4 = 1 then -turn end as number, case when turn % 2 = 0 then role else '' end as language,
     left(role, 3) as bytes, case when turn % 5 > 3 then 'p0, p1, p2 +' || (turn % 5 - 3) || ' more' else array_to_string(list_transform(range(turn % 5), lambda i: 'p' || i), ', ') end as listed,
     turn % 2 = 0 or turn % 3 <> 0 as offered, role as label from conversations""")

@@ -1,5 +1,6 @@
 import json
 import random
+from datetime import UTC, datetime
 
 import numpy as np
 import pytest
@@ -150,6 +151,44 @@ def test_memories(spark, tmp_path):
     assert [r.content for r in repository.memories(spark, f, "global").collect()] == ["one"]
 
 
+def test_memories_in_the_question_loop(spark, tmp_path):
+    f, before = str(tmp_path / "m"), datetime.now(UTC).replace(tzinfo=None)
+    e = agents.Engine(lambda q, k: ("found", []), memory=repository.Memories(spark, f, "repo:1"))
+    assert e.remember("list") == "Nothing saved."
+    assert e.remember("save:  a note ") == "Saved."
+    repository.remember(spark, f, "global", "elsewhere")
+    e.remember("SAVE: second")
+    said = e.remember(" List ").split("\n")
+    assert [x.split("] ", 1)[1] for x in said] == ["a note", "second"]
+    at = repository.memories(spark, f, "repo:1").first()["created_at"]
+    assert said[0] == f"[{at}] a note" and before <= at <= datetime.now(UTC).replace(tzinfo=None)
+
+
+def test_memory_line_is_the_time_as_text(spark):
+    times = [datetime(2024, 1, 2, 3, 4, 5), datetime(2024, 1, 2, 3, 4, 5, 120000), datetime(1999, 12, 31, 23, 59, 59, 7)]
+    for at in times:
+        assert one(spark, T.memory_line(F.col("at").cast("timestamp_ntz"), F.col("c")), at=at, c="x ] y") == f"[{at}] x ] y"
+
+
+@pytest.mark.parametrize("text", ["", "a", "a\n", "a\n\n", "\n\n", "a\r\nb\rc\n", "x\n" * 300, "a\u2028b"])
+@pytest.mark.parametrize("span", [(None, None), (1, 2), (2, 1), (0, 0), (3, 500), (None, 4)])
+def test_snippet_and_its_summary(spark, text, span):
+    lo, hi = span
+    ls = text.splitlines()
+    part = "\n".join(ls[:200] if lo is None or hi is None else ls[max(lo - 1, 0):max(hi, max(lo - 1, 0))])
+    df = spark.createDataFrame([(text, lo, hi)], "t string, lo int, hi int")
+    cut = T.snippet(F.col("t"), F.col("lo"), F.col("hi"))
+    r = df.select(cut.alias("part"), T.snippet_summary(F.lit("p.py"), F.col("lo"), F.col("hi"), cut).alias("said")).first()
+    span_said = f" (lines {lo}-{hi})" if lo is not None and hi is not None else ""
+    assert (r.part, r.said) == (part, f"Snippet from p.py{span_said}, {len(part.splitlines())} lines.")
+
+
+def test_snippet_of_nothing(spark):
+    df = spark.createDataFrame([(None, 1, 2)], "t string, lo int, hi int")
+    cut = T.snippet(F.col("t"), F.col("lo"), F.col("hi"))
+    assert df.select(cut.alias("p"), T.snippet_summary(F.lit("p"), F.col("lo"), F.col("hi"), cut).alias("s")).first() == ("", "Snippet from p (lines 1-2), 0 lines.")
+
+
 def test_lines_match_python(spark):
     for s in ("", "a", "a\n", "\n\n", "a\r\nb\x0bc\x0c\x1cd\x1d\x1e\x85e\u2028f\u2029", "a\n\nb"):
         assert one(spark, T.lines(F.col("s")), s=s) == s.splitlines(), repr(s)
