@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,22 +25,29 @@ BATCH_TEXTS, BATCH_CHARS = 256, 4_000_000
 
 def token_counts(dims: int = DIMENSIONS) -> Callable[[list[str]], np.ndarray]:
     """Texts to counts of their tokens by hash bucket."""
-    token, known = re.compile(T.TOKEN), {}
+    token = re.compile(T.TOKEN)
 
-    def bucket(w: str) -> int:
-        if w not in known:
-            if len(known) > 200_000:
-                known.clear()
-            known[w] = int.from_bytes(hashlib.sha256(w.encode()).digest()[:4], "big") % dims
-        return known[w]
+    class Buckets(dict):
+        def __missing__(self, w: str) -> int:
+            if len(self) > 200_000:
+                self.clear()
+            self[w] = int.from_bytes(hashlib.sha256(w.encode()).digest()[:4], "big") % dims
+            return self[w]
+
+    known = Buckets()
 
     def embed(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dims))
-        for row, t in zip(out, texts, strict=True):
-            words = token.findall(t)
-            if words:
-                row += np.bincount(np.fromiter(map(bucket, words), np.int64, len(words)), minlength=dims)
-        return out
+        sizes: list[int] = []
+
+        def words() -> Iterator[list[str]]:
+            for t in texts:
+                found = token.findall(t)
+                sizes.append(len(found))
+                yield found
+
+        at = np.fromiter(map(known.__getitem__, chain.from_iterable(words())), np.int64)
+        at += np.repeat(np.arange(len(texts)) * dims, sizes)
+        return np.bincount(at, minlength=len(texts) * dims).reshape(len(texts), dims).astype(np.float64)
 
     return embed
 

@@ -479,3 +479,26 @@ def test_quoting(spark):
     asked = [(10, "cat"), (11, "sat"), (12, "dog"), (13, None), (14, "cat"), (15, ""), (16, "ïve")]
     assert {tuple(r) for r in retrieval.quoting(docs, asked).collect()} == {(10, 1), (11, 3), (14, 1), (15, 1), (16, 5)}
     assert retrieval.quoting(docs, []).count() == 0 and retrieval.quoting(docs.limit(0), asked).count() == 0
+
+
+def test_hashed_blocks_are_small_and_alike(spark, tmp_path):
+    """Blocks of hashed texts hold what isn't zero, in rows of bounded size, and are searched as those of whole vectors."""
+    df = spark.createDataFrame([(f"r{i}", " ".join(f"word{(i * j) % 997}" for j in range(i % 9))) for i in range(9000)] + [("none", None)], "id string, text string").coalesce(1)
+    asked = [(q, embedding.token_counts()([f"word{q} word{2 * q} word{3 * q}"])[0].tolist()) for q in range(20)]
+    whole = vector_store.blocks(embedding.embedded(df, provider="counts", providers={"counts": embedding.token_counts}).drop("text"), "id")
+    thin = vector_store.hashed(df, "id")
+    sizes = lambda b: [r.n for r in b.select(sum(F.length(c) for c, kind in b.dtypes if kind == "binary").alias("n")).collect()]
+    assert max(sizes(whole)) <= 1.1 * vector_store.BLOCK_BYTES and sum(sizes(thin)) * 10 < sum(sizes(whole))
+    found = [vector_store.search(b, asked, 10).orderBy("query_id", "rank").collect() for b in (whole, thin)]
+    assert found[0] == found[1] and len(found[0]) == 200
+
+
+def test_ties_hold_few_candidates():
+    """Of many records with one score only the k lowest ids are held, in any order of records."""
+    ids = np.random.default_rng(1).permutation(50_000)
+    best = []
+    for lo in range(0, 50_000, 10_000):
+        scores = np.where(ids[lo : lo + 10_000, None] % 3 == 0, 0.5, np.array([[0.0, 0.5]]))
+        best = retrieval._merged(best, scores, ids[lo : lo + 10_000].astype(str), 4)
+    text = sorted(map(str, range(50_000)))
+    assert best[0].tolist() == [0] * 4 + [1] * 4 and best[1].tolist() == [x for x in text if int(x) % 3 == 0][:4] + text[:4]
