@@ -502,3 +502,15 @@ def test_ties_hold_few_candidates():
         best = retrieval._merged(best, scores, ids[lo : lo + 10_000].astype(str), 4)
     text = sorted(map(str, range(50_000)))
     assert best[0].tolist() == [0] * 4 + [1] * 4 and best[1].tolist() == [x for x in text if int(x) % 3 == 0][:4] + text[:4]
+
+
+def test_buckets_are_counted_in_their_row(spark):
+    """No exchange carries (id, bucket) of rows with an id of their own; rows that share an id, or have none, are added up."""
+    from corvane import queries
+
+    df = spark.createDataFrame([(1, "aa bb aa"), (2, None), (3, "cc cc"), (3, "cc dd"), (None, "aa"), (None, "aa"), (4, "")], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.bucket, r.tf) for r in queries.buckets(df, "doc_id").collect())
+    at = {w: int(embedding.token_counts()([w]).argmax()) for w in ("aa", "bb", "cc", "dd")}
+    assert got == sorted([("1", at["aa"], 2), ("1", at["bb"], 1), ("3", at["cc"], 3), ("3", at["dd"], 1), ("None", at["aa"], 2)])
+    plan = queries.buckets(df.where("doc_id < 3"), "doc_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union") and plan.count("Aggregate") == 1
