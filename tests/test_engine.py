@@ -514,3 +514,20 @@ def test_buckets_are_counted_in_their_row(spark):
     assert got == sorted([("1", at["aa"], 2), ("1", at["bb"], 1), ("3", at["cc"], 3), ("3", at["dd"], 1), ("None", at["aa"], 2)])
     plan = queries.buckets(df.where("doc_id < 3"), "doc_id")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.startswith("Union") and plan.count("Aggregate") == 1
+
+
+def test_all_cosines_without_a_table_of_scores(spark, monkeypatch):
+    """Blocks of both sides meet in tasks: only vectors are written, whatever the number of blocks."""
+    from corvane import queries
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 8)).round(3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(100, [1.0]), (120, None), (None, [0.0] * 8), (140, [0.0] * 8)], "vec_id long, embedding array<double>").repartition(3)
+    monkeypatch.setattr(retrieval, "PAIR_ROWS", 7)
+    monkeypatch.setattr(queries, "table", lambda *a: df)
+    monkeypatch.setattr(retrieval, "stored_parts", lambda *a: 1 / 0)
+    got = {(r.a, r.b): r.score for r in queries.pairwise_cosine(spark, "").collect()}
+    unit = np.vstack([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros(8)])
+    ids = [*range(90), 140]
+    want = {(a, b): round(float(unit[i] @ unit[j]), 5) for i, a in enumerate(ids) if a % 20 == 0 for j, b in enumerate(ids)} | {(100, 100): 1.0}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 2e-5
