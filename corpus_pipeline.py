@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corvane.llm import minhash, quality_rules, substring, toxicity
 from corvane.llm.queries import pack_documents, table, toxic_lexicon
 from corvane.llm.rows import name
-from corvane.scratch import stored
+from corvane.scratch import dropped, stored
 
 #: Near-duplicates of the corpus: percent of common shingles, words of a shingle. op6 has its own, of its contract.
 LIMIT, SHINGLE = 80, 5
@@ -51,6 +51,7 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     rows = stored(near.join(numbered.select("row", F.col("doc")["doc_id"].alias("doc_id")), "row"), "grouped")
     kept = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("k")).select("k.row")
     out = stored(rows.join(kept, "row", "left_anti").select("row"), "copies")
+    dropped(rows)
     if out.count() <= minhash.BROADCAST_ROWS:
         out = F.broadcast(out)
     return numbered.join(out, "row", "left_anti").select("doc.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.scratch import small, stored
+from corvane.scratch import dropped, few, small, stored
 
 
 def components(edges: DataFrame, most: int = 100, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -19,10 +19,14 @@ def components(edges: DataFrame, most: int = 100, broadcast_rows: int = 1_000_00
     repeated edges change nothing.
     """
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
+    n = e.count()  # no later table has more rows
     for _ in range(most):
-        least = small(e.groupBy("a").agg(F.min("b").alias("m")), "least", broadcast_rows)
+        least = small(few(e.groupBy("a").agg(F.min("b").alias("m")), n), "least", broadcast_rows)
         pairs = F.when(F.col("b") == F.col("m"), F.struct("a", F.col("m").alias("b"), F.lit(False).alias("moved"))).otherwise(F.struct(F.col("b").alias("a"), F.col("m").alias("b"), F.lit(True).alias("moved")))
-        e = stored(e.join(least, "a").select(pairs.alias("p")).select("p.*").groupBy("a", "b").agg(F.max("moved").alias("moved")), "cc")
+        old = [e, least]
+        e = stored(few(e.join(least, "a").select(pairs.alias("p")).select("p.*").groupBy("a", "b").agg(F.max("moved").alias("moved")), n), "cc")
+        for x in old:
+            dropped(x)
         if not e.where("moved").limit(1).count():
             break
         e = e.select("a", "b")
@@ -30,8 +34,11 @@ def components(edges: DataFrame, most: int = 100, broadcast_rows: int = 1_000_00
         raise RuntimeError("components did not settle")
     up = e.select("a", "b")
     for _ in range(most):
-        above = small(up.select(F.col("a").alias("b"), F.col("b").alias("c")), "above", broadcast_rows)
-        up = stored(up.join(above, "b", "left").select("a", F.coalesce("c", "b").alias("b"), F.col("c").isNotNull().alias("moved")), "cc")
+        above = small(few(up.select(F.col("a").alias("b"), F.col("b").alias("c")), n), "above", broadcast_rows)
+        old = [up, above]
+        up = stored(few(up.join(above, "b", "left").select("a", F.coalesce("c", "b").alias("b"), F.col("c").isNotNull().alias("moved")), n), "cc")
+        for x in old:
+            dropped(x)
         if not up.where("moved").limit(1).count():
             break
         up = up.select("a", "b")

@@ -30,7 +30,7 @@ from corvane.llm.components import components
 from corvane.llm.rows import map_text, name
 from corvane.llm.shingles import shingle_set, word_hashes
 from corvane.llm.sketch import bands, fill, short
-from corvane.scratch import small, stored
+from corvane.scratch import dropped, few, small, stored
 
 T, SHINGLE, LIMIT = 96, 5, 85  # op6 and the pipeline each pass their own words and percent
 BLOCK_ROWS, BLOCK_BYTES = 512, 24 << 20
@@ -147,15 +147,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", li
 
     picked = stored(classes.join(clusters, "node").select("node", "cluster", "class", "least", "sketch"), "picked")
     texts = docs.select(name(key).alias("_id"), name(text).cast("string").alias("_text"))
-    if picked.count() <= BROADCAST_ROWS:  # then only the texts of candidates are shuffled
+    n = picked.count()
+    if n <= BROADCAST_ROWS:  # then only the texts of candidates are shuffled
         texts = texts.join(F.broadcast(picked.select("least")), F.col("_id").eqNullSafe(F.col("least")), "left_semi")
     found = texts.join(picked, F.col("_id").eqNullSafe(F.col("least")))
     found = map_text(found, _sets(shingle), "own binary, shingles binary", "_text", ["node", "cluster", "class", "sketch"])
-    members = stored(found.where("own = row.class").select("row.node", "row.cluster", "row.sketch", "shingles").dropDuplicates(["node"]), "members")
+    written = members = stored(found.where("own = row.class").select("row.node", "row.cluster", "row.sketch", "shingles").dropDuplicates(["node"]), "members")
 
     sizes = members.groupBy("cluster").agg(F.count("*").alias("rows"), F.sum(F.length("shingles")).alias("bytes"))
     sizes = sizes.select("cluster", F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    members = members.join(small(sizes, "sizes", BROADCAST_ROWS), "cluster")  # written, which leaves a hot cluster to be split
+    members = members.join(small(few(sizes, n), "sizes", BROADCAST_ROWS), "cluster")  # written, which leaves a hot cluster to be split
     wide = members.where("blocks > 1")
 
     def dealt(salt: int) -> Column:
@@ -165,13 +166,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", li
         block = part.withColumn("block", dealt(salt)).select("cluster", "block", F.col("node").alias("label"), "node", F.lit(None).cast("int").alias("side"), "sketch", "shingles")
         return block.groupBy("cluster", "block").applyInArrow(_linker(limit), "a long, b long")
 
-    verified = stored(resolve(members, 0), "links")
+    verified, parts = stored(resolve(members, 0), "links"), None
     if wide.limit(1).count():
         verified = verified.union(stored(resolve(wide, 1), "links"))
         inside = verified.join(wide.select(F.col("node").alias("a")), "a", "left_semi")
-        wide = stored(wide.join(components(inside), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "wide")
+        wide = parts = stored(wide.join(components(inside), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "wide")
         part = wide.groupBy("cluster", "label").agg(F.count("*").alias("k"))
-        core = small(part.groupBy("cluster").agg(F.max_by("label", F.struct("k", "label")).alias("core")), "core", BROADCAST_ROWS)
+        core = small(few(part.groupBy("cluster").agg(F.max_by("label", F.struct("k", "label")).alias("core")), n), "core", BROADCAST_ROWS)
         banded = stored(wide.join(core, "cluster").select("node", "label", (F.col("label") != F.col("core")).alias("out"), F.length("shingles").alias("bytes"), F.posexplode("sketch").alias("band", "value")), "banded")
         # buckets of several parts: every block of outsiders against every block of the bucket's members
         outside = F.when(F.col("out"), F.col("bytes"))
@@ -185,9 +186,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", li
         blocks = left.union(right).join(wide.select("node", "label", "sketch", "shingles"), "node")
         verified = verified.union(stored(blocks.groupBy("band", "value", "x", "y").applyInArrow(_linker(limit), "a long, b long"), "links"))
 
+    dropped(written)
+    if parts is not None:
+        dropped(parts), dropped(banded)
     roots = components(verified)
     joined = classes.join(roots, "node", "left").select("class", "least", "copies", "root", F.coalesce("root", "node").alias("part"))
     ids = joined.where("root is not null").groupBy("part").agg(F.min("least").alias("component_id"))
     named = joined.join(ids, "part", "left").where("copies > 1 or root is not null").select("class", F.coalesce("component_id", "least").alias("component_id"))
     named = small(named, "named", BROADCAST_ROWS)  # classes of several rows or with links; any other row is its own component
+    for x in (picked, classes):
+        dropped(x)
     return rows.join(named, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

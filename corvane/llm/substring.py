@@ -27,10 +27,11 @@ from pyspark.sql import types as T
 
 from corvane.llm.rows import map_text, name, slices
 from corvane.llm.shingles import mix, runs, word_hashes
-from corvane.scratch import small, stored
+from corvane.scratch import dropped, small, stored
 
 LENGTH, ANCHOR = 35, 8
 BROADCAST_ROWS = 1_000_000  # narrow rows; more are joined by shuffle
+BROADCAST_BYTES = 64 << 20  # of rows with lists
 CONTEXTS, GROUP_ROWS = 4096, 16_384  # contexts of an anchor that are extended in one task; contexts a task extends at once
 
 
@@ -153,10 +154,12 @@ def repeated(docs: DataFrame, text: str, key: str, length: int, gram: int) -> tu
     """The texts (d, their columns in `row`) and, by d, what is repeated: `whole` anchors' contexts and `spans` of words."""
     texts = docs.select(F.struct(*[name(c) for c in docs.columns]).alias("row"), name(text).cast("string").alias("_text"), F.xxhash64(name(key), F.xxhash64(name(text), F.lit(1))).alias("d"))
     spans = map_text(texts, _seeds(length, gram), "spans array<struct<a:long,c:long>>", "_text", ["d"])
-    seeds = stored(spans.where(F.size("spans") > 0).select("row.d", "spans"), "spans").select("d", F.posexplode("spans").alias("j", "s")).select("d", "j", "s.a", "s.c")
+    found = stored(spans.where(F.size("spans") > 0).select("row.d", "spans"), "spans")
+    seeds = found.select("d", F.posexplode("spans").alias("j", "s")).select("d", "j", "s.a", "s.c")
     # rows that are counted small are broadcast; beyond, a written side leaves a hot anchor to be split
     often = seeds.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").select("a")
     seeds = stored(seeds.join(small(often, "often", BROADCAST_ROWS), "a"), "seeds")
+    dropped(found)
 
     contexts = seeds.groupBy("a", "c").agg(F.count("*").alias("k"), F.min(F.struct("d", "j")).alias("one"))
     contexts = stored(contexts, "contexts")
@@ -165,11 +168,16 @@ def repeated(docs: DataFrame, text: str, key: str, length: int, gram: int) -> tu
     whole = seeds.join(again, ["a", "c"], "left_semi").groupBy("d").agg(F.collect_set("j").alias("whole"))
     asked = contexts.join(mixed, "a").select("one.d", "one.j", "k", "hot").groupBy("d").agg(F.collect_list(F.struct("j", (F.col("k") > 1).alias("known"), "hot")).alias("asked"))
     asked = stored(asked, "asked")
+    dropped(contexts)
 
     some = texts.select("_text", "d")
-    if asked.count() <= BROADCAST_ROWS:
-        some = some.join(F.broadcast(asked.select("d")), "d", "left_semi")
-    pending = some.join(asked, "d")
+    rows, entries = asked.agg(F.count("*"), F.sum(F.size("asked"))).first()
+    if rows <= BROADCAST_ROWS and 32 * rows + 40 * (entries or 0) <= BROADCAST_BYTES:  # then no text is shuffled
+        pending = some.join(F.broadcast(asked), "d")
+    else:
+        if rows <= BROADCAST_ROWS:
+            some = some.join(F.broadcast(asked.select("d")), "d", "left_semi")
+        pending = some.join(asked, "d")
 
     def listing(batches):
         import pyarrow as pa
@@ -229,7 +237,10 @@ def substring_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", le
     texts = texts.select(F.struct(*[F.col("row")[c].alias(c) for c in carry]).alias("row"), "_text", "d")
     places = stored(places, "places")
     held = places.select("d")
-    if places.count() <= BROADCAST_ROWS:  # then only texts with places are shuffled
+    rows, entries = places.agg(F.count("*"), F.sum(F.coalesce(F.size("whole"), F.lit(0)) + 4 * F.coalesce(F.size("spans"), F.lit(0)))).first()
+    if rows <= BROADCAST_ROWS and 40 * rows + 8 * (entries or 0) <= BROADCAST_BYTES:  # then no text is shuffled
+        joined = texts.join(F.broadcast(places), "d", "left").select("row", "_text", "whole", "spans")
+    elif rows <= BROADCAST_ROWS:  # then only texts with places are shuffled
         none = texts.join(F.broadcast(held), "d", "left_anti").select("row", "_text", F.lit(None).cast("array<int>").alias("whole"), F.lit(None).cast("array<struct<b:int,e:int>>").alias("spans"))
         joined = texts.join(F.broadcast(held), "d", "left_semi").join(places, "d").select("row", "_text", "whole", "spans").union(none)
     else:

@@ -205,3 +205,20 @@ def test_repeats_with_many_contexts(spark, monkeypatch, contexts, group):
         gone = {i + d for i in range(len(w) - 34) if where[tuple(w[i : i + 35])] > 1 for d in range(35)}
         assert (got[k].n_removed, got[k].kept) == (len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)), k
     assert 500 < sum(r.n_removed for r in got.values()) < sum(map(len, texts))
+
+
+def test_components_leave_few_files(spark, tmp_path, monkeypatch):
+    """However many partitions a shuffle has, rounds on few edges write few files, and only the last table stays."""
+    from corvane import scratch
+
+    monkeypatch.setattr(scratch, "shared_dir", lambda s: f"file://{tmp_path}")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "20")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = components.components(spark.createDataFrame([(i, i + 1) for i in range(20)] + [(300, 301)], "a long, b long"))
+        assert {(r.node, r.root) for r in got.collect()} == {(i, 0) for i in range(21)} | {(300, 300), (301, 300)}
+        assert len(list((tmp_path / "corvane").iterdir())) == 1 and len(list(tmp_path.rglob("part-*"))) == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
