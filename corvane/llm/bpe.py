@@ -210,14 +210,15 @@ def frequent(found: DataFrame, ranks: Ranks, most: int) -> pieces.Known:
             cols = b"".join(word.to_pylist()), pc.binary_length(word), ids.flatten().cast(pa.int32()), pc.list_value_length(ids)
             yield pa.RecordBatch.from_pydict({k: pa.array([c if isinstance(c, bytes) else c.to_numpy(zero_copy_only=False).astype("<i4").tobytes()], pa.binary()) for k, c in zip(("words", "lengths", "ids", "sizes"), cols, strict=True)})
 
-    got = [[b"".join(ranks.vocabulary)], [np.array([*map(len, ranks.vocabulary)], "<i4").tobytes()], [np.array([*ranks.vocabulary.values()], "<i4").tobytes()], [np.ones(len(ranks.vocabulary), "<i4").tobytes()]]
+    own = ranks.vocabulary
+    got = [bytearray(x) for x in (b"".join(own), np.array([*map(len, own)], "<i4").tobytes(), np.array([*own.values()], "<i4").tobytes(), np.ones(len(own), "<i4").tobytes())]
     rows = stored(top.mapInArrow(packed, "words binary, lengths binary, ids binary, sizes binary"), "frequent")  # made in parallel
     for row in rows.toLocalIterator():
         for held, new in zip(got, row, strict=True):
-            held.append(bytes(new))
-    lengths, ids, sizes = (np.frombuffer(b"".join(x), "<i4") for x in got[1:])
+            held += new  # in place: the driver has each array once
+    lengths, ids, sizes = (np.frombuffer(x, "<i4") for x in got[1:])
     offsets = np.append(0, np.cumsum(lengths)).astype(np.int32)
-    words_ = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(got[0]))])
+    words_ = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(got[0])])
     return pieces.Known(words_, ids, sizes.astype(np.int64))
 
 
