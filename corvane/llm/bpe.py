@@ -2,7 +2,7 @@
 
 A text is cut by the pattern; equal pieces have equal ids, so every distinct piece is encoded once. A piece that is a
 token is that token. Any other is folded: from its bytes, each step merges the leftmost adjacent pair of least rank.
-Ranks of pairs are literals of the plan: a perfect hash over all pairs, each slot with its key (two 32-bit ids) and its
+Ranks of pairs are a literal of the plan: a perfect hash over all pairs, each slot with its key (of two ids) and its
 rank, so a look-up is three array reads. The rank of a merged pair is its token's id. A piece longer than `window`
 bytes is folded window by window, each beginning at the last token kept of the one before; should it not begin with
 that token, the piece is begun again with windows four times as long, so results stay exact and the work stays near
@@ -50,17 +50,17 @@ class Ranks:
         self.vocabulary, self.none = vocabulary, max(vocabulary.values()) + 1
         self.window = max(window, 2 * max(map(len, vocabulary)))
         pairs = {(vocabulary[t[:i]], vocabulary[t[i:]]): r for t, r in vocabulary.items() for i in range(1, len(t)) if t[:i] in vocabulary and t[i:] in vocabulary}
-        self._hash(pairs)
         one = [vocabulary[bytes([i])] for i in range(256)]
-        self.byte = _literal(one, "array<bigint>")
-        self.two = _literal([vocabulary.get(bytes([i, j]), NONE) << 32 | one[i] for i in range(256) for j in range(256)], "array<bigint>")
+        pair = [vocabulary.get(bytes([i, j])) for i in range(256) for j in range(256)]
+        two = [None if r is None else r << 32 | one[k >> 8] for k, r in enumerate(pair)]  # most are none: null is short
         back = {r: t for t, r in vocabulary.items()}
         known = [back.get(i, b"") for i in range(self.none)]
-        self.length = _literal([len(t) for t in known], "array<int>")
+        hashed = {k: v.tolist() for k, v in self._hash(pairs).items()}
+        self.tables = _literal(hashed | {"byte": one, "two": two, "length": [*map(len, known)]}, "struct<move:array<bigint>,keys:array<bigint>,ranks:array<bigint>,byte:array<bigint>,two:array<bigint>,length:array<int>>")
         self.text = _literal([t.decode("latin-1") for t in known], "array<string>")
 
-    def _hash(self, pairs: dict) -> None:
-        """A slot for every pair: pairs of one bucket are moved together until all their slots are free."""
+    def _hash(self, pairs: dict) -> dict:
+        """A slot for every pair: pairs of one bucket are moved together until all their slots are free. The moves, keys and ranks."""
         key = np.array(list(pairs), np.int64).reshape(-1, 2)
         rank = np.fromiter(pairs.values(), np.int64, len(pairs))
         bits = max(4, int(1.3 * len(key)).bit_length())
@@ -77,31 +77,38 @@ class Ranks:
                 if d is None:
                     break
                 at = slot[g] ^ d
-                taken[at], move[bucket[g]], keys[at], ranks[at] = True, d, key[g, 0] << 32 | key[g, 1], rank[g]
+                taken[at], move[bucket[g]], keys[at], ranks[at] = True, d, key[g, 0] * (self.none + 1) + key[g, 1], rank[g]
             else:
-                self.move, self.keys, self.ranks = (_literal(v.tolist(), "array<bigint>") for v in (move, keys, ranks))
-                return
+                return {"move": move, "keys": keys, "ranks": ranks}
         raise ValueError("no perfect hash found")
 
-    def rank(self, a: Column, b: Column) -> Column:
+    def near(self, use) -> Column:
+        """use(encode), encode being a function of a non-empty binary piece.
+
+        The tables are one literal at the expression's top, and a variable in it: each level of nesting copies the text
+        of what is below whenever Spark describes the plan, and a literal in several places is parsed and held for each.
+        """
+        return _with(self.tables, lambda t: use(lambda piece: self.encode(piece, t)))
+
+    def rank(self, t: Column, a: Column, b: Column) -> Column:
         """The rank of a pair of ids (bigint), or NONE."""
-        move = F.get(self.move, (a * self.mix[0] + b).bitwiseAND(self.buckets - 1).cast("int"))
+        move = F.get(t["move"], (a * self.mix[0] + b).bitwiseAND(self.buckets - 1).cast("int"))
         at = (a * self.mix[1] + b * self.mix[2]).bitwiseAND(self.slots - 1).bitwiseXOR(move).cast("int")
-        return F.when(F.get(self.keys, at) == F.shiftleft(a, 32) + b, F.get(self.ranks, at)).otherwise(F.lit(NONE).cast("bigint"))
+        return F.when(F.get(t["keys"], at) == a * (self.none + 1) + b, F.get(t["ranks"], at)).otherwise(F.lit(NONE).cast("bigint"))
 
-    def fold(self, piece: Column) -> Column:
+    def fold(self, piece: Column, t: Column) -> Column:
         """Ids of a non-empty binary piece. The state holds, for each part, its rank with the next (high) and its id (low)."""
         low, edge = lambda x: x.bitwiseAND(LOW), F.lit((NONE << 32) + self.none)
 
         def begin(c: Column) -> Column:
-            inner = F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c)), lambda x, y: F.get(self.two, x * 256 + y))
-            return F.concat(F.array(edge), inner, F.array(F.get(self.byte, F.element_at(c, -1)) + F.lit(NONE << 32), edge))
+            inner = F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c)), lambda x, y: F.coalesce(F.get(t["two"], x * 256 + y), F.get(t["byte"], x) + F.lit(NONE << 32)))
+            return F.concat(F.array(edge), inner, F.array(F.get(t["byte"], F.element_at(c, -1)) + F.lit(NONE << 32), edge))
 
         def merged(x: Column, least: Column) -> Column:
             new = F.shiftright(least, 32)
 
             def put(i: Column) -> Column:
-                beside = F.zip_with(F.array(low(F.get(x, i - 1)), new), F.array(new, low(F.get(x, i + 2))), lambda a, b: F.shiftleft(self.rank(a, b), 32) + a)
+                beside = F.zip_with(F.array(low(F.get(x, i - 1)), new), F.array(new, low(F.get(x, i + 2))), lambda a, b: F.shiftleft(self.rank(t, a, b), 32) + a)
                 return F.concat(F.slice(x, F.lit(1), i - 1), beside, F.slice(x, i + 3, F.size(x)))
 
             return _with(low(least).cast("int"), put)
@@ -113,8 +120,8 @@ class Ranks:
         first = _with(F.transform(F.split(F.decode(piece, "ISO-8859-1"), ""), F.ascii), begin)
         return F.aggregate(F.sequence(F.lit(2), F.greatest(F.octet_length(piece), F.lit(2))), first, step, lambda x: F.transform(F.slice(x, F.lit(2), F.size(x) - 2), lambda v: low(v).cast("int")))
 
-    def encode(self, piece: Column) -> Column:
-        """Ids of a non-empty binary piece of any length, window by window."""
+    def encode(self, piece: Column, t: Column) -> Column:
+        """Ids of a non-empty binary piece of any length, window by window; t: the tables."""
         n = F.octet_length(piece)
         state = "struct<at:int,first:int,width:int,out:array<array<int>>>"
 
@@ -125,7 +132,7 @@ class Ranks:
             """Tokens that end in the window's first half: their number, and where the last of them begins."""
 
             def add(s: Column, i: Column) -> Column:
-                end = s["end"] + F.get(self.length, i)
+                end = s["end"] + F.get(t["length"], i)
                 return F.when(s["done"] | (end * 2 > width), F.struct(s["k"].alias("k"), s["begin"].alias("begin"), s["end"].alias("end"), F.lit(True).alias("done"))).otherwise(F.struct((s["k"] + 1).alias("k"), s["end"].alias("begin"), end.alias("end"), F.lit(False).alias("done")))
 
             return F.aggregate(ids, F.struct(F.lit(0).alias("k"), F.lit(0).alias("begin"), F.lit(0).alias("end"), F.lit(False).alias("done")), add)
@@ -139,7 +146,7 @@ class Ranks:
             return F.when((s["first"] >= 0) & (F.get(ids, 0) != s["first"]), again).otherwise(good)
 
         def step(s: Column, _: Column) -> Column:
-            return F.when(s["at"] >= n, s).otherwise(_with(self.fold(F.substring(piece, s["at"] + 1, s["width"])), lambda ids: used(s, ids)))
+            return F.when(s["at"] >= n, s).otherwise(_with(self.fold(F.substring(piece, s["at"] + 1, s["width"]), t), lambda ids: used(s, ids)))
 
         turns = F.when(n <= self.window, 1).otherwise(F.ceil(n / self.window).cast("int") * 12 + 24)
         return F.aggregate(F.sequence(F.lit(1), turns), of(F.lit(0), F.lit(-1), F.lit(self.window), F.array()), step, lambda s: F.when(s["at"] >= n, F.flatten(s["out"])).otherwise(F.raise_error(F.lit("a piece was not encoded"))))
@@ -153,7 +160,7 @@ class Ranks:
         return pieces.Known(pa.array(self.vocabulary, pa.binary()), np.fromiter(self.vocabulary.values(), np.int32), np.ones(len(self.vocabulary), np.int64))
 
 
-def _literal(value: list, kind: str) -> Column:
+def _literal(value: list | dict, kind: str) -> Column:
     """A literal of any nested kind; the optimizer folds the call."""
     return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), kind)
 
@@ -202,7 +209,7 @@ def frequent(found: DataFrame, ranks: Ranks, most: int) -> pieces.Known:
         if total > most:
             break
         least = r["k"]
-    top = found.where(F.col("k") >= least).select("piece", ranks.encode(F.col("piece")).alias("ids"))
+    top = found.where(F.col("k") >= least).select("piece", ranks.near(lambda encode: encode(F.col("piece"))).alias("ids"))
 
     def packed(batches):
         for batch in batches:
@@ -260,5 +267,5 @@ def byte_bpe(docs: DataFrame, path: str, pattern: str, text: str = "text", carry
     kind = T.StructType([texts.schema["row"], *T._parse_datatype_string("runs array<array<int>>, rare array<binary>, places array<int>").fields])
     got = texts.mapInArrow(run, kind)
     put = lambda codes: F.flatten(F.zip_with("runs", "places", lambda r, k: F.concat(r, F.coalesce(F.get(codes, k), F.array().cast("array<int>")))))
-    ids = got.select("row", _with(F.transform("rare", ranks.encode), put).alias("ids"))
+    ids = got.select("row", _with(ranks.near(lambda encode: F.transform("rare", encode)), put).alias("ids"))
     return ids.select("row", "ids", ranks.decode(F.col("ids")).alias("decoded"))

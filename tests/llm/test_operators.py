@@ -86,6 +86,14 @@ def test_bpe_against_tiktoken(docs, none, spark):
     assert bpe.byte_bpe(none, path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_tables_of_the_fold_are_spelled_once_at_the_top(spark):
+    """Every level above a literal copies its text when the plan is described: that filled the driver's memory."""
+    got = bpe.byte_bpe(spark.createDataFrame([(1, "hello qzxvj")], "doc_id long, text string"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    text = got._jdf.queryExecution().optimizedPlan().children().apply(0).simpleString(25)
+    above = [text.count("(", 0, m.start()) - text.count(")", 0, m.start()) for m in re.finditer(r"(?<![\d,])(?:-?\d+,){250}", text)]
+    assert above and max(above) <= 4 and len(text) < 3_000_000
+
+
 def test_a_word_of_100000_letters(spark):
     path, word = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "".join(RNG.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000))
     got = bpe.byte_bpe(spark.createDataFrame([(1, word)], "doc_id long, text string"), path, public_tokenizers.PATTERN).first()
