@@ -531,3 +531,45 @@ def test_all_cosines_without_a_table_of_scores(spark, monkeypatch):
     ids = [*range(90), 140]
     want = {(a, b): round(float(unit[i] @ unit[j]), 5) for i, a in enumerate(ids) if a % 20 == 0 for j, b in enumerate(ids)} | {(100, 100): 1.0}
     assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 2e-5
+
+
+def test_all_cosines_take_few_bytes_a_row(spark, monkeypatch, tmp_path):
+    """Written, the scores are coded by a dictionary in every file, and one file's vectors are dealt to several tasks."""
+    import pyarrow.parquet as pq
+
+    from corvane import queries
+
+    x = np.random.default_rng(5).normal(size=(4000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").coalesce(1)
+    monkeypatch.setattr(queries, "table", lambda *a: df)
+    monkeypatch.setattr(retrieval, "TASK_PAIRS", 400_000, raising=False)
+    monkeypatch.setattr(retrieval, "CELLS", 1_000_000)
+    queries.pairwise_cosine(spark, "").write.parquet(f"{tmp_path}/got")
+    files = [*(tmp_path / "got").glob("*.parquet")]
+    chunks = [m.row_group(g).column(2) for m in map(pq.read_metadata, files) for g in range(m.num_row_groups)]
+    assert sum(c.num_values for c in chunks) == 4000 * 200
+    assert all(c.has_dictionary_page for c in chunks) and sum(f.stat().st_size for f in files) < 5 * 4000 * 200
+    assert len(files) == 2
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    got = pq.read_table(f"{tmp_path}/got")
+    a, b, score = (got[c].to_numpy() for c in ("a", "b", "score"))
+    assert len(np.unique(a * 4000 + b)) == len(a) and not (a % 20).any() and np.abs((unit[a] * unit[b]).sum(1) - score).max() < 6e-6
+
+
+def test_all_cosines_where_queries_are_not_broadcast(spark, monkeypatch):
+    """Queries of many blocks meet the records part by part, with the same rows; no queries give no rows."""
+    x = np.random.default_rng(6).normal(size=(90, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    want = sorted(retrieval.all_similarities(df, df.where("vec_id % 3 = 0")).collect())
+    monkeypatch.setattr(retrieval, "PAIR_ROWS", 4)
+    monkeypatch.setattr(retrieval, "PAIR_BLOCKS", 2)
+    monkeypatch.setattr(retrieval, "TASK_PAIRS", 100, raising=False)
+    known = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = retrieval.all_similarities(df, df.where("vec_id % 3 = 0"))
+        assert "CartesianProduct" in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(got.collect()) == want and len(want) == 2700
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", known)
+    assert retrieval.all_similarities(df, df.where("vec_id < 0")).count() == 0
